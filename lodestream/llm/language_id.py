@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 PROFILE_SIZE = 400
 MAX_LANGUAGES = 1000  # bounds the broadcast profiles: MAX_LANGUAGES * PROFILE_SIZE entries
 FOLDS = 5
+HELD_GRAMS = 1_000_000  # n-grams that a task holds before it counts them
 MIN_SCORE = 0.05  # below it the pipeline takes a text for no language that was learned
 
 
@@ -65,29 +66,38 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
             for t, name in zip(batch["t"], batch["lang"], strict=True):
-                parts.setdefault(name.as_py(), []).append(grams_of(t.as_py()))
-            for name, found in parts.items():
-                if name in kept:
-                    old, n = kept[name]
-                    found.append(old)
-                    weights = np.concatenate([np.ones(sum(map(len, found[:-1])), np.int64), n])
-                    values, at = np.unique(np.concatenate(found), return_inverse=True)
-                    kept[name] = values, np.bincount(at, weights, len(values)).astype(np.int64)
-                else:
-                    values, n = np.unique(np.concatenate(found), return_counts=True)
-                    kept[name] = values, n.astype(np.int64)
-            if sum(len(v) for v, _ in kept.values()) > 2_000_000:  # bounded memory: what was counted goes on
-                yield from _counted(kept)
-                kept = {}
+                found = grams_of(t.as_py())
+                waiting.setdefault(name.as_py(), []).append(found)
+                held += len(found)
+                if held >= HELD_GRAMS:  # bounded memory at any batch size
+                    _fold(kept, waiting)
+                    held = 0
+                    if sum(len(v) for v, _ in kept.values()) > HELD_GRAMS:
+                        yield from _counted(kept)
+                        kept.clear()
+        _fold(kept, waiting)
         yield from _counted(kept)
 
     rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _fold(kept: dict[str, tuple[np.ndarray, np.ndarray]], waiting: dict[str, list[np.ndarray]]) -> None:
+    """Add the n-grams that wait to the counts kept by language."""
+    for name, found in waiting.items():
+        values, n = np.unique(np.concatenate(found), return_counts=True)
+        if name in kept:
+            old, m = kept[name]
+            both, at = np.unique(np.concatenate([old, values]), return_inverse=True)
+            values, n = both, np.bincount(at, np.concatenate([m, n]), len(both))
+        kept[name] = values, n.astype(np.int64)
+    waiting.clear()
+
+
 def _counted(kept: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for name, (values, n) in kept.items():
         if len(values):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, language_id, quality_rules, url_filter
+from lodestream.llm import decontamination, language_id, license_scan, line_dedup, packing, quality_rules, url_filter
 from lodestream.session import load
 
 
@@ -34,9 +34,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", *quality_rules.MEASURES, (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op4_decontamination, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op4_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op4_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op7_line_dedup": line_dedup.oracle(), "op10_license_scan": license_scan.oracle()}
