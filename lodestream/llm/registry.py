@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, language_id, license_scan, line_dedup, packing, quality_rules, url_filter
+from lodestream.llm import decontamination, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, url_filter
 from lodestream.session import load
 
 
@@ -16,6 +16,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -46,13 +50,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan_licenses(docs).select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op9_html_extraction, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
