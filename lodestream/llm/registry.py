@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, url_filter
+from lodestream.llm import decontamination, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, url_filter
 from lodestream.session import load
 
 
@@ -50,6 +50,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op9_html_extraction, op10_license_scan)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_html_extraction, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
