@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestream.plans import tracker_queries  # noqa: F401  registers its queries
+from lodestream.plans.catalog import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "distinct_window"
 
-from lodestream.session import load
 
-FLAGSHIP = "event_counts"
-
-
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"event_counts": event_counts}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+    return dict(SQL)
