@@ -55,7 +55,7 @@ def cipher_rank(name: Column) -> Column:
     n = F.upper(F.regexp_replace(name, "-", "_"))
     forward, aead = n.rlike("ECDHE|DHE|^TLS_(AES|CHACHA20)"), n.rlike("GCM|CCM|CHACHA20")
     return (
-        F.when(n.rlike("NULL|ANON|EXPORT"), 0).when(n.rlike("RC4|RC2|(^|_)DES(_|$)|MD5"), 1).when(n.rlike("3DES"), 2)
+        F.when(n.rlike("NULL|ANON|EXPORT"), 0).when(n.rlike("3DES|DES_CBC3"), 2).when(n.rlike("RC4|RC2|(^|_)DES(_|$)|MD5"), 1)
         .when(forward & aead, 5).when(aead | (forward & n.rlike("SHA(256|384)")), 4).when(n.rlike("AES|CAMELLIA|ARIA|SEED"), 3)
     )
 

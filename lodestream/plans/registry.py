@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.plans import tracker_queries  # noqa: F401  registers its queries
+from lodestream.plans import feature_queries, search_queries, tracker_queries  # noqa: F401  they register their queries
 from lodestream.plans.catalog import QUERIES, SQL, Query
 
 FLAGSHIP = "distinct_window"

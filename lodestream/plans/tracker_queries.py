@@ -140,7 +140,7 @@ def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E}, c AS (SELECT *, v IN ('view', 'click') AS up, CAST(floor(x) AS BIGINT) AS ch FROM e),
  p AS (SELECT *, lag(up) OVER w AS s, lag(ch) OVER w AS c FROM c WINDOW w AS (PARTITION BY entity ORDER BY t, seq)),
  f AS (SELECT *, CASE WHEN s IS NULL THEN NULL WHEN ch < c THEN 2 WHEN up <> s THEN 1 WHEN ch > c THEN 2 ELSE 0 END AS flaps FROM p)
- SELECT a.seq, any_value(a.flaps) AS flaps, CAST(sum(coalesce(b.flaps, 0)) AS BIGINT) AS flaps_in_window FROM f a JOIN f b ON {_rows()} AND b.t > a.t - {W1D} GROUP BY a.seq""")
+ SELECT a.seq, CAST(any_value(a.flaps) AS BIGINT) AS flaps, CAST(sum(coalesce(b.flaps, 0)) AS BIGINT) AS flaps_in_window FROM f a JOIN f b ON {_rows()} AND b.t > a.t - {W1D} GROUP BY a.seq""")
 def link_flap(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumns({"up": F.col("v").isin("view", "click"), "ch": F.floor("x").cast("long")})
     return trackers.link_flap(df, "up", "ch", W1D).select("seq", "flaps", "flaps_in_window")
