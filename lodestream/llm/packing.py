@@ -15,7 +15,9 @@ id and the text are not carried.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,7 +33,8 @@ from lodestream.session import written
 CAPACITY = 4096
 END = 1
 GROUP_PIECES = 8192
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
+STOPS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,]+)(?=\s|$)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -74,7 +77,19 @@ class Encoder:
             return []
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
             return [text]
-        return text.split()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        # Latin-1 is composed already and has one lower case, and letters never share a token with a stop:
+        # fewer different chunks, the same ids
+        return STOPS.sub(r" \1", text.lower()).split()
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One a Python worker, so that its cache outlives a task."""
+    return Encoder(path)
 
 
 def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -84,7 +99,7 @@ def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
