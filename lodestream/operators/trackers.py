@@ -188,7 +188,7 @@ def level_forecast(df: DataFrame, reading: str, floor_level: float, window_ns: i
     ok = (F.col("fit_n") >= min_samples) & (F.col("_sxx") > 0)
     out = out.withColumn("slope_per_day", F.when(ok, F.col("_sxy") / F.col("_sxx")))
     sse = F.greatest(F.col("_syy") - F.col("slope_per_day") * F.col("_sxy"), F.lit(0.0))
-    out = out.withColumns({"residual_rms": F.sqrt(sse / F.col("fit_n")), "_se": F.sqrt(sse / (F.col("fit_n") - 2) / F.col("_sxx"))})
+    out = out.withColumns({"residual_rms": F.when(ok, F.sqrt(sse / F.col("fit_n"))), "_se": F.when((F.col("fit_n") > 2) & ok, F.sqrt(sse / (F.col("fit_n") - 2) / F.col("_sxx")))})
     out = out.withColumn("t_stat", F.when(F.col("_se") > 0, F.col("slope_per_day") / F.col("_se")))
     level = F.col("_my") + F.col("slope_per_day") * (F.col("_x") - F.col("_mx"))
     status = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestream.functions import identity, network, text
@@ -98,10 +98,11 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("seq", identity.pseudonymize(F.col("v"), b"secret-key").alias("pseudonym"))
 
 
-@query(f"""WITH {E}, d AS (SELECT *, t // 86400000000000 AS day FROM e)
+@query(f"""WITH {E}, d AS (SELECT *, t // 86400000000000 AS day FROM e), z AS (
  SELECT seq, row_number() OVER (PARTITION BY entity, day ORDER BY t, seq) - 1 AS log_count,
  (SELECT count(DISTINCT b.v) FROM d b WHERE b.entity = a.entity AND b.day = a.day AND (b.t, b.seq) <= (a.t, a.seq)) AS kinds,
- entity AS user_id, v IN ('purchase') AS bought, v || '/' || entity AS label FROM d a WHERE v <> 'error'""".replace("FROM d a WHERE", "FROM d a WHERE"))
+ entity AS user_id, v IN ('purchase') AS bought, v || '/' || entity AS label FROM d a)
+ SELECT * FROM z WHERE NOT starts_with(label, 'error')""")
 def feature_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumn("at", F.timestamp_micros((F.col("t") / 1000).cast("long")))
     df = df.withColumn("day", F.floor(F.col("t") / 86400000000000))
@@ -109,7 +110,7 @@ def feature_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
         (
             schema.column("seq", "long"),
             schema.Feature("log_count", "long", lambda: F.row_number().over(_by_day()) - 1),
-            schema.Feature("kinds", "long", lambda: F.size(F.collect_set("v").over(_by_day().rowsBetween(_by_day().unboundedPreceding, 0)))),
+            schema.Feature("kinds", "long", lambda: F.size(F.collect_set("v").over(_by_day().rowsBetween(Window.unboundedPreceding, 0)))),
             schema.column("user_id", "long", "entity"),
             schema.boolean("bought", "v", ("purchase",), ("click", "view", "signup", "error")),
             schema.concatenated("label", ("v", "entity"), "/"),
@@ -119,9 +120,7 @@ def feature_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.apply_schema(df, wanted)
 
 
-def _by_day():  # noqa: ANN202
-    from pyspark.sql import Window
-
+def _by_day() -> WindowSpec:
     return Window.partitionBy("entity", "day").orderBy("t", "seq")
 
 
