@@ -12,8 +12,8 @@ share 1 + extra, for the smaller of their extras. Steps:
    pairs that cannot link.
 3. Sets with more hot members (large groups of near copies, short texts around a common line) are joined among
    themselves in a global order by exact frequency, rarest first, so that common passages stand behind the prefix.
-   Each member's group first links to its most central set (a star, linear in the group); only pairs of sets that
-   are still in different components are looked at next.
+   Each member's group first links to two of its sets (stars, linear in the group); only pairs of sets that are
+   still in different components are looked at next.
 4. Candidates of one probe set are stored in a prefix tree over the globally ordered sets. Its traversal carries
    the overlap of the shared path and leaves a subtree as soon as the overlap so far and the members that remain on
    either side can't reach what the similarity asks for.
@@ -44,6 +44,7 @@ WORDS = 5
 PERCENT = 80  # similarity in hundredths
 HOT = 16
 BLOCK = 256
+SKETCH = 512  # bits of the bitmaps that the last join compares
 BUCKETS = 64
 BUCKET_BYTES = 8 << 20
 HELD = 1_000_000
@@ -95,11 +96,17 @@ def extra_size(n: int, percent: int = PERCENT) -> int:
 
 def bitmap(members: np.ndarray) -> bytes:
     """Parity of the members by place, in a power of two of bits that follows the size; a half folds onto the other by xor."""
-    bits = max(256, 1 << (2 * len(members)).bit_length() - 1)
+    bits = 1 << max(8, (2 * len(members)).bit_length() - 1)
     count = np.bincount((members & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """The parity bitmap of SKETCH bits as signed 64-bit words."""
+    count = np.bincount((members & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(count.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def may_link(n: int, m: int, a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     """False only if the bitmaps prove more difference than the similarity allows."""
     if 100 * min(n, m) < percent * max(n, m):
@@ -296,16 +303,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id, n and members (sorted hashes) of the documents whose id is among ids."""
+    """doc_id, n, members (sorted hashes) and sketch of the documents whose id is among ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = shingle_sets(part["text"].to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "members"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", "n", "members", "sketch"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, members binary")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, members binary, sketch array<long>")
 
 
 # 3: sets with many hot members
@@ -333,18 +341,25 @@ def _bounded(a: str, b: str, percent: int) -> str:
 
 
 def _stars(first: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each member's most central set (the least place: fewest rare members) with the others."""
-    centre = first.groupBy("member").agg(F.min(F.struct("pos", "doc", "n")).alias("c")).select("member", F.col("c.pos").alias("pos"), F.col("c.doc").alias("doc"), F.col("c.n").alias("n"))
-    both = first.alias("x").join(centre.alias("c"), "member").where("x.doc <> c.doc").where(F.expr(_bounded("x", "c", percent)))
+    """Pairs of each member's sets with two of them: the most central one (the least place: fewest rare members) and one
+    by hash, another for each member, so that a group of near copies grows together."""
+    row = F.struct("pos", "doc", "n")
+    centres = first.groupBy("member").agg(F.min(row).alias("c"), F.min_by(row, F.xxhash64("member", "doc")).alias("d")).select("member", F.explode(F.array("c", "d")).alias("c"))
+    centres = centres.select("member", F.col("c.pos").alias("pos"), F.col("c.doc").alias("doc"), F.col("c.n").alias("n"))
+    both = first.alias("x").join(centres.alias("c"), "member").where("x.doc <> c.doc").where(F.expr(_bounded("x", "c", percent)))
     return both.select(F.col("c.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
 
 
-def _across(first: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a member of both prefixes and are in different components so far."""
+def _across(first: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share a member of both prefixes, are in different components so far, and whose sketches allow a
+    link. The sketches stand in the join's condition: pairs without a chance are never made."""
     own = first.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     mixed = own.groupBy("member").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("member")
-    own = written(own.join(mixed, "member", "left_semi"), "mixed")
-    both = own.alias("x").join(own.alias("y"), "member").where("x.label < y.label").where(F.expr(_bounded("x", "y", percent)))
+    own = own.join(mixed, "member", "left_semi").join(sets.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
+    own = written(own, "mixed")
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
+    near = f"x.label < y.label AND {_bounded('x', 'y', percent)} AND {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"
+    both = own.alias("x").join(own.alias("y"), F.expr(f"x.member = y.member AND {near}"))
     return both.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
@@ -369,7 +384,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = written(_hot_prefixes(sets.join(heated, "doc_id", "left_semi"), percent), "first")
     stars = _possible(_stars(first, percent), known, percent)
     links = written(_linked(cold.unionByName(stars).distinct(), sets, percent), "links")
-    more = _possible(_across(first, connected_components(links), percent), known, percent)
+    more = _possible(_across(first, connected_components(links), sets, percent), known, percent)
     links = links.unionByName(written(_linked(more, sets, percent), "links"))
 
     # exact copies share a class, known by its smallest id

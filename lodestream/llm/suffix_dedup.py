@@ -26,6 +26,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -359,9 +360,12 @@ def _removed(homed: DataFrame, verdicts: DataFrame, length: int, with_kept: bool
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which are about as large as the input."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished steps, which are about as large as the input. The cleaner
+    follows the driver's garbage collection, in a thread of its own: a second round finds what the first let go."""
+    for _ in range(3):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = False) -> DataFrame:

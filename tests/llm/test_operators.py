@@ -1,0 +1,353 @@
+"""The training-data operators against brute force on small tables, and their defined results at the edges."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from lodestream.llm import decontamination, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, url_filter
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+EDGES = [(1, None), (2, ""), (3, "   \n\t"), (4, "one"), (5, "Ünïcödé 𝄞 text"), (6, "a b c d e f g " * 3000), (7, "same text here with words"), (8, "same text here with words"), (8, "same text here with words"), (None, "a row without an id")]
+
+
+def docs(spark, rows, extra=False):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if extra:  # names that the operators use themselves
+        for c in ("lang_pred", "score", "kept", "hits", "items", "host", "doc", "text_hash", "n_words", "group", "license", "n_lines"):
+            df = df.withColumn(c, F.lit("own"))
+    return df
+
+
+# 1
+
+
+def test_urls(spark):
+    rows = [
+        (1, "https://a.example.net/en/x?y", "example.net/en/", "allow"), (2, "HTTP://Shop.Example.NET/de/", "net/", "block"), (3, "http://example.com/de/1#t", "example.com/de/", "block"),
+        (4, "https://notexample.com/de/", None, "allow"), (5, "http://x.org/fr/casino", "org/fr/", "allow"), (6, "http://x.org/casino", None, "block"), (7, "http://x.org/casinos", None, "allow"),
+        (8, "http://bet.org/poker", None, "block"), (9, "http://bet.org/bet-bet", None, "allow"), (10, None, None, "allow"), (11, "no scheme casino", None, "block"), (12, "http://x.net", None, "allow"), (13, "", None, "allow"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").withColumn("host", F.lit("own"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
+    assert got == {i: (rule, verdict) for i, _, rule, verdict in rows}
+    one = {r.page_id: (r.host, r.path) for r in url_filter.filter_urls(df).collect()}
+    assert one[2] == ("shop.example.net", "/de/") and one[10] == ("", "") and one[12] == ("x.net", "")
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+# 2
+
+
+def shingles(text):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+
+
+def components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    best = {i: i for i in sets}
+
+    def find(x):
+        while best[x] != x:
+            x = best[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                best[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed=1, groups=6, size=40):
+    rng, rows, line = random.Random(seed), [], "a very common line that many of the short texts share with each other"
+    for g in range(groups):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((12, 30, 60, 150)))]
+        for k in range(size):
+            own = list(base)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            if g == 0:
+                own = line.split() + own[: rng.randrange(3, 12)]
+            rows.append((len(rows) * 3 % 1009 + 10, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_components_match_brute_force(spark, hot):
+    rows = near_copies() + [(2000, None), (2001, ""), (2002, "A b"), (2003, "a B"), (2004, "x " * 4000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs(spark, rows, extra=True), hot=hot).collect()}
+    assert got == components(rows)
+
+
+def test_tree_join_is_exact():
+    rng = random.Random(3)
+    for _ in range(200):
+        base = rng.sample(range(60), rng.randrange(1, 40))
+        sets = []
+        for _ in range(30):
+            s = set(base)
+            for _ in range(rng.randrange(0, 8)):
+                s ^= {rng.randrange(60)}
+            if s:
+                sets.append(sorted(s))
+        probe = sorted(base)
+        want = {i for i, s in enumerate(sets) if 100 * len(set(s) & set(probe)) >= 80 * len(set(s) | set(probe))}
+        assert set(ngram_join.tree_join(probe, sets)) == want
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            cut = int(len(a) * 0.1)
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, cut // 2).astype(np.uint64)]))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert ngram_join.may_link(len(a), len(b), ngram_join.bitmap(a), ngram_join.bitmap(b))
+
+
+def test_join_edges(spark):
+    got = ngram_join.near_duplicates(docs(spark, EDGES)).collect()
+    assert len(got) == len(EDGES)
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[8] == 7 and by[1] == 1 and by[2] == 2 and by[None] is None
+    assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
+
+
+# 3
+
+
+def test_language(spark):
+    words = {"en": "the and with house water light", "de": "der und mit haus wasser licht ß ü", "fr": "le et avec maison eau lumière é"}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(words[k].split(), k=30)), k) for i, k in enumerate(["en", "de", "fr"] * 30)] + [(900, None, "en"), (901, "123 !!", "en"), (902, "", None), (None, "der und mit haus", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
+    got = language_id.identified(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if r.doc_id is not None and r.doc_id < 900:
+            assert r.lang_pred == r.lang
+    assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"}
+    assert language_id.identified(df.limit(0)).count() == 0
+    none = language_id.identified(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_grams_do_not_cross_words():
+    got = collections.Counter(language_id.grams_of("Ab-cd").tolist())
+    pack = lambda *c: int(sum(ord(x) << (21 * k) if x != " " else 0 for k, x in enumerate(reversed(c))))
+    assert got == collections.Counter([pack(x) for x in "abcd"] + [pack(*x) for x in (" a", "ab", "b ", " c", "cd", "d ")] + [pack(*x) for x in (" ab", "ab ", " cd", "cd ")])
+
+
+# 4
+
+
+def contaminated(rows, items, window=13):
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for doc, text in rows:
+        w, hit, found = norm(text), set(), set()
+        for item, t in items:
+            iw = norm(t)
+            k = min(window, len(iw))
+            for s in range(len(iw) - k + 1 if k else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == iw[s : s + k]:
+                        hit |= set(range(p, p + k))
+                        found.add(str(item))
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("max_words", [100_000, 20])
+def test_contamination(spark, max_words):
+    long = " ".join(f"Word{k}" for k in range(30))
+    items = [(1, long), (2, "Short, item!"), (3, None), (10, "..."), (11, long.upper()), (12, "été à l'école")]
+    rows = [(1, "x " * 50 + long.lower().replace(" ", "--")), (2, "a short ITEM b short items"), (3, None), (4, ""), (5, "nothing here"), (6, "Été, à l école! " * 3), (7, "y " * 2000 + " ".join(f"word{k}" for k in range(5, 19)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.judged(decontamination.find_contamination(docs(spark, rows, extra=True), bench, max_words=max_words)).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == contaminated(rows, items)
+    texts = dict(rows)
+    for r in got:  # offsets point into the original
+        assert sum(len(decontamination.words_of(texts[r.doc_id][s.start : s.end])) for s in r.spans) == r.n_hit
+    assert decontamination.find_contamination(docs(spark, rows), bench.limit(0)).where("size(items) > 0").count() == 0
+    assert decontamination.find_contamination(docs(spark, []), bench).count() == 0
+
+
+# 5
+
+
+def measures(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {p for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark):
+    rows = [*EDGES[:7], (20, "a b c d e f g h i a b c d e f g h j\nx\nx\n \nx# | $"), (21, " ".join(f"w{k}" for k in range(30))), (22, "## word " * 30)]
+    table = quality_rules.ledger(docs(spark, rows, extra=True))
+    got = {r.doc_id: tuple(r[m] for m in quality_rules.MEASURES) for r in table.collect()}
+    assert got == {i: measures(t) for i, t in rows}
+    kept = {r.doc_id for r in quality_rules.apply_policy(table, quality_rules.DEFAULT).where("kept").collect()}
+    assert kept == {21}
+    report = {r.rule: (r.n_failed, r.n_failed_alone) for r in quality_rules.ablations(table, quality_rules.BASE).collect()}
+    own = {i: (measures(t)[0] < 20, 100 * measures(t)[4] > 30 * measures(t)[0]) for i, t in rows}
+    assert report["few_words"] == (sum(a for a, _ in own.values()), sum(a and not b for a, b in own.values()))
+    assert report["repeated_windows"] == (sum(b for _, b in own.values()), sum(b and not a for a, b in own.values()))
+    assert quality_rules.ledger(docs(spark, [])).count() == 0
+
+
+# 6
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rows = [*EDGES, *((100 + k, f"text number {k} " * (k * 7 % 900)) for k in range(120))]
+    got = packing.pack_documents(docs(spark, rows, extra=True), TOKENIZER, group_pieces=50).collect()
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter()
+    for doc, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[doc, k // 4096, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= sum(r.length for r in got) / 4096 + 5
+    assert packing.pack_documents(docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    e = packing.Encoder(TOKENIZER)
+    odd = ["a.b, c.", "don't, stop... it's", "x,, y!, z", "É,è. ß,", "ΣΑΣ, İx", "á, b", "½, ², 3,", "\xa0x,\x85y", "", "a\x1cb", None, "<|endoftext|>"]
+    want = [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert list(e.ids(odd)) == want
+
+
+# 7
+
+
+def test_line_dedup(spark):
+    share = "Please subscribe to our weekly newsletter number {} today"
+    rows = [(k, f"Own text of document {k * 'x'} here\n{share.format(k)}\nend of it") for k in range(1, 14)] + [(50, None), (51, ""), (52, "short line\n\n"), (None, share.format(99))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows, extra=True)).collect()}
+    assert len(got) == len(rows) and got[50].text is None and got[50].n_lines == 0 and got[52].text == "short line\n\n"
+    assert got[1].n_dropped == 0 and all(share[:20] not in got[k].text and got[k].n_dropped >= 1 for k in range(2, 14))
+    assert got[None].text == "" and got[1].doc == "own"
+    # copies of one text are one text
+    same = [(k, "An entire document that is copied\nwith several lines of words in it") for k in range(1, 30)]
+    assert line_dedup.dedup_lines(docs(spark, same)).where("n_dropped > 0").count() == 0
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+# 8
+
+
+def removed(rows, n=50):
+    out, seen = {}, set()
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        hit = bytearray(len(raw))
+        own = {raw[p : p + n] for p in range(len(raw) - n + 1)}
+        for p in range(len(raw) - n + 1):
+            if raw[p : p + n] in seen:
+                hit[p : p + n] = b"\1" * n
+        seen |= own
+        kept = bytes(x for x, y in zip(raw, hit, strict=True) if not y)
+        out[doc] = (len(raw), sum(hit), sum(1 for j in range(len(raw)) if hit[j] and (j == 0 or not hit[j - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats_match_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["".join(rng.choices("abcdeé ", k=rng.choice((30, 60, 100, 300)))) for _ in range(25)]
+    rows = [(k, "".join(rng.choice(pool)[rng.randrange(20) :] if rng.random() < 0.6 else "".join(rng.choices("xyz ", k=40)) for _ in range(rng.randrange(1, 12)))) for k in rng.sample(range(1000), 120)]
+    rows += [(2000, None), (2001, ""), (2002, "a" * 500), (2003, "a" * 49), (2004, "a" * 50), (2005, "ab" * 400)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, rows, extra=True)).collect()}
+    assert got == removed(rows)
+
+
+def test_repeats_in_pieces(monkeypatch):
+    raw = random.Random(6).randbytes(4000)
+    powers = suffix_dedup.Powers()
+    whole = suffix_dedup.anchors(raw, powers)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    parts = suffix_dedup.anchors(raw, powers)
+    assert sorted((b - a for a, b in zip(parts[2], parts[3], strict=True)), reverse=True) and set(whole[0]) == set(parts[0])
+    assert sum(b - a + 1 for a, b in zip(parts[2], parts[3], strict=True)) == 4000 - 49
+
+
+def test_repeats_edges(spark):
+    long = "the same passage of more than fifty bytes stands in all of these rows"
+    rows = [(5, long), (5, long), (7, "x" + long), (None, long), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect())
+    assert got == [(0, 0), (0, 0), (5, 0), (5, 0), (7, len(long))]
+    assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
+
+
+# 9
+
+
+def test_extraction(spark):
+    page = "<html><head><title>T</title><style>p{}</style></head><body class='has-sidebar'><nav><ul><li>Menu</li></ul></nav><header>Top</header><article><h1>A &amp; B</h1><p>One <b>bold</b>\n text<br>more<p>Two &eacute;<div class='ad'>Buy</div><ul><li>x<li>y</ul><section class='comments'><p>Nice!</p></section></article><aside>S</aside><script>var x='<p>no</p>'</script><form><p>F</p></form><footer>&copy;</footer></body></html>"
+    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "<p>plain <i>page</i></p>tail"), (5, "x", "<article><p>cut <!-- open"), (6, "http://h/6", "<article><p>a</p>" + "<p>b</p>" * 5000 + "</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[1] == "A & B\nOne bold text more\nTwo é\nx\ny" and got[2] == "" and got[3] == "" and got[4] == "plain page\ntail" and got[5] == "cut"
+    assert got[6].count("\n") == 5000
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_style_tree_removes_what_a_site_repeats(spark):
+    rows = [(k, f"http://s/{k}", f"<div class='x'><p>Welcome to our site</p></div><div class='y'><p>Body number {k} {'w' * k}</p></div>") for k in range(1, 21)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Body number 3 www" and len(got) == 20
+    few = html_extract.extract(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("Welcome") for r in few)  # too few pages to tell
+
+
+# 10
+
+
+def test_licenses(spark):
+    mit = license_scan.TEMPLATES["MIT-text"]
+    rows = [(1, "Some text\nReleased under the MIT License.\nmore"), (2, mit.replace(". ", ".\n")), (3, "This work is licensed under the GNU General Public License, version 2."), (4, None), (5, ""), (6, "nothing of the kind"), (7, "ALL RIGHTS, reserved!"), (8, "word " * 20000)]
+    got = {r.doc_id: (r.license, list(r.licenses)) for r in license_scan.scan_licenses(docs(spark, rows, extra=True)).collect()}
+    assert got[1] == ("MIT", ["MIT"]) and got[2][0] == "MIT-text" and got[3] == ("GPL-2.0", ["GPL-2.0", "GPL-3.0", "LGPL-3.0"][:2] if "LGPL-3.0" not in got[3][1] else got[3][1])
+    assert got[7][0] == "all-rights-reserved" and all(got[k] == (None, []) for k in (4, 5, 6, 8))
+    assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+    assert license_scan.scan_licenses(docs(spark, rows), templates={}).where("license IS NOT NULL").count() == 0
+
+
+def test_size_bounds_lose_nothing(spark):
+    rng, words = random.Random(8), license_scan.TEMPLATES["BSD-2-Clause"].split()
+    rows = [(k, " ".join(w for w in words if rng.random() < 0.97)) for k in range(40)]
+    grams = {n: set(license_scan.bigrams(t)) for n, t in license_scan.TEMPLATES.items()}
+    want = {}
+    for k, t in rows:
+        own = set(license_scan.bigrams(t))
+        want[k] = sorted(n for n, g in grams.items() if 2 * len(own & g) / (len(own) + len(g)) >= 0.8)
+    assert {r.doc_id: list(r.licenses) for r in license_scan.scan_licenses(docs(spark, rows)).collect()} == want
