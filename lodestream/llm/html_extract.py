@@ -2,15 +2,17 @@
 
 Each page is parsed once into text blocks, each with the path of its ancestors (tag and first class). Pages of
 one host are merged by path: a node of the site's tree gathers, over the host's pages of different body text,
-which contents and which presentations (kinds of neighbours) it shows. A node with the same contents on every
-page has entropy near 1 and so importance near 0; presentation alone can't save it. Branches below the
-importance threshold are removed from each page, along with what is no article by its markup: menus, headers,
-footers, asides, forms, scripts, styles and blocks named as adverts, notices, sidebars or comments. If a page
-marks its article (or main), only what is inside counts, and its prose is never removed for being repeated on
-the site: copies of an article are still articles.
+which contents it shows. The contents are the tree's leaves. One that stands on every page with its node has
+entropy near 1 and so importance near 0; a node's importance is the mean of its contents'. Blocks whose node or
+content lies below the importance threshold are removed from each page, along with what is no article by its
+markup: menus, headers, footers, asides, forms, scripts, styles and blocks named as adverts, notices, sidebars
+or comments. All other blocks are in the tree, those inside an article (or main) too; there importance counts
+``ARTICLE_WEIGHT`` times. Pages of equal body, their article where they mark one, count once: copies of an
+article are still articles. If the tree would leave nothing of a page's article and nothing else stands on the
+page, the article stays.
 
 Hot hosts are counted by partial aggregation over (host, node, content), and pages meet their host's short list
-of noise nodes over salted keys, so no host's pages are gathered in one task.
+of noise nodes and contents over salted keys, so no host's pages are gathered in one task.
 
 Defined results: null or empty html gives an empty text. A ``br`` is white space. Unclosed and stray tags are
 tolerated: a block's start closes an open paragraph, an unclosed inline tag doesn't matter, an open comment,
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from lodestream.session import written
 
-MIN_PAGES = 8  # different pages of a host before its tree decides
+MIN_PAGES = 4  # different pages of a host with a node before the tree decides about it
 MIN_IMPORTANCE = 0.2
+ARTICLE_WEIGHT = 2.0  # of importance inside an article
 SALTS = 32
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -48,11 +51,11 @@ NOISE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsbygoogle|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|site-?header|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
-PARSED = "page_id long, url string, host string, body_hash long, blocks array<struct<node:long,text:string,article:boolean,sure:boolean>>"
+PARSED = "page_id long, url string, host string, body_hash long, blocks array<struct<node:long,text:string,article:boolean>>"
 
 
 class _Open:
-    __slots__ = ("article", "kind", "noise", "prose", "tag")
+    __slots__ = ("article", "kind", "noise", "tag")
 
     def __init__(self, tag: str, attributes: str, above: _Open | None) -> None:
         self.tag = tag
@@ -64,14 +67,13 @@ class _Open:
         if not own and names and tag not in ("html", "body", "main"):
             own = any(NOISE_NAME.search(v) for _, v in names) or any(k == "role" and v.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert") for k, v in names)
         self.noise = bool(above and above.noise) or own or bool(above and above.tag == "header" and above.article and tag not in HEADINGS | INLINE | PROSE)
-        self.prose = self.article and (not above or not above.article or above.prose) and tag in PROSE
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, in an article, prose of an article) of each block of text that isn't noise by its markup."""
+def blocks_of(html: str | None) -> list[tuple[str, str, bool]]:
+    """(path, text, in an article) of each block of text that isn't noise by its markup."""
     if not html:
         return []
-    out: list[tuple[str, str, bool, bool]] = []
+    out: list[tuple[str, str, bool]] = []
     stack: list[_Open] = []
     text: list[str] = []
 
@@ -80,7 +82,7 @@ def blocks_of(html: str | None) -> list[tuple[str, str, bool, bool]]:
             if words := unescape("".join(text)).split():
                 top = stack[-1] if stack else None
                 if not (top and top.noise):
-                    out.append((top.kind if top else "", " ".join(words), bool(top and top.article), bool(top and top.prose)))
+                    out.append((top.kind if top else "", " ".join(words), bool(top and top.article)))
             text.clear()
 
     def close(upto: int) -> None:
@@ -144,17 +146,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def signed(s: str) -> int:
         return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    block = pa.struct([("node", pa.int64()), ("text", pa.string()), ("article", pa.bool_()), ("sure", pa.bool_())])
+    block = pa.struct([("node", pa.int64()), ("text", pa.string()), ("article", pa.bool_())])
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             hashes, lists = [], []
             for html in part["html"].to_pylist():
                 found = blocks_of(html)
-                if any(article for _, _, article, _ in found):
-                    found = [x for x in found if x[2]]
-                hashes.append(signed("\n".join(x[1] for x in found)))
-                lists.append([{"node": signed(p), "text": t, "article": a, "sure": s} for p, t, a, s in found])
+                hashes.append(signed("\n".join(x[1] for x in [x for x in found if x[2]] or found)))
+                lists.append([{"node": signed(p), "text": t, "article": a} for p, t, a in found])
             yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(hashes, pa.int64()), pa.array(lists, pa.list_(block))], ["page_id", "url", "host", "body_hash", "blocks"])
 
 
@@ -166,32 +166,40 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
 
 def style_tree(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The site style tree's nodes: host, node, pages, importance. Nodes of article prose are left out.
+    """The site style tree's leaves: host, node, content, article, pages, n, importance, node_importance.
 
-    Contents: of c different ones, each on n of the m pages, one has entropy 1 if n = m and 0 if n = 1, measured as
-    log n / log m; a node's importance is 1 less their mean. Presentation: a node is also judged by how often it
-    stands on the host's pages at all; on a single page it is left alone.
+    Of a node on m pages of a host, a content on n of them has entropy log n / log m: 1 if it stands on all, 0 if on
+    one. Importance is 1 less that; a node's is the mean over its different contents. Nodes on under ``min_pages``
+    pages are left alone. The host is given by its hash.
     """
-    rows = parsed.select("host", "body_hash", F.explode("blocks").alias("b")).where(~F.col("b.sure"))
-    # pages of equal body count once; each block of a page once
-    seen = rows.select("host", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("content"), "body_hash").distinct()
-    contents = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
-    on = seen.select("host", "node", "body_hash").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    logs = contents.groupBy("host", "node").agg(F.avg(F.log("n")).alias("mean_log"))
-    both = logs.join(on, ["host", "node"]).where(F.col("pages") >= min_pages)
-    return both.select("host", "node", "pages", (1 - F.col("mean_log") / F.log("pages")).alias("importance"))
+    rows = parsed.select(F.xxhash64("host").alias("host"), "body_hash", F.explode("blocks").alias("b"))
+    # pages of equal body count once; each content of a page once
+    seen = rows.select("host", F.col("b.node").alias("node"), F.xxhash64("b.text").alias("content"), F.col("b.article").alias("article"), "body_hash").distinct()
+    contents = seen.groupBy("host", "node", "article", "content").agg(F.count("*").alias("n"))
+    on = rows.select("host", F.col("b.node").alias("node"), "body_hash").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
+    on = on.where(F.col("pages") >= min_pages)
+    nodes = contents.groupBy("host", "node").agg(F.avg(F.log("n")).alias("mean_log")).join(on, ["host", "node"])
+    # a content on one page only has importance 1, and so goes only with its node
+    leaves = contents.where("n > 1").join(nodes, ["host", "node"])
+    both = {"importance": 1 - F.log("n") / F.log("pages"), "node_importance": 1 - F.col("mean_log") / F.log("pages")}
+    return leaves.withColumns(both).drop("mean_log")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, salts: int = SALTS) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     parsed = written(parse_pages(pages, page_id, url, html), "blocks")
-    noise = style_tree(parsed, min_pages).where(F.col("importance") < min_importance)
-    lists = noise.groupBy("host").agg(F.collect_set("node").alias("noise")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # only pages with a block that the tree may remove have to meet their host's list
-    asks = F.exists("blocks", lambda b: ~b["sure"])
-    dealt = parsed.where(asks).withColumn("salt", F.pmod(F.xxhash64("page_id", "body_hash"), F.lit(salts)).cast("int"))
-    keep = F.filter("blocks", lambda b: b["sure"] | F.col("noise").isNull() | ~F.array_contains(F.col("noise"), b["node"]))
-    judged = dealt.join(lists, ["host", "salt"], "left").select("page_id", "url", keep.alias("blocks"))
-    all_kept = judged.unionByName(parsed.where(~asks).select("page_id", "url", "blocks"))
+    # a node below the threshold has a content on several pages, so each noise node has a leaf here
+    least = F.when(F.col("article"), min_importance / ARTICLE_WEIGHT).otherwise(min_importance)
+    leaves = style_tree(parsed, min_pages)
+    nodes = F.collect_set(F.when(F.col("node_importance") < least, F.col("node"))).alias("nodes")
+    contents = F.collect_set(F.when(F.col("importance") < least, F.struct("node", "content"))).alias("contents")
+    noise = written(leaves.where((F.col("importance") < least) | (F.col("node_importance") < least)).groupBy("host").agg(nodes, contents), "noise")
+    lists = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = parsed.withColumns({"host": F.xxhash64("host"), "salt": F.pmod(F.xxhash64("page_id", "body_hash"), F.lit(salts)).cast("int")})
+    judged = dealt.join(lists, ["host", "salt"], "left")
+    keep = F.filter("blocks", lambda b: ~F.array_contains("nodes", b["node"]) & ~F.array_contains("contents", F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("content"))))
+    kept = F.when(F.col("nodes").isNull(), F.col("blocks")).otherwise(keep)
+    articles = F.filter("blocks", lambda b: b["article"])
+    judged = judged.withColumn("kept", kept).select("page_id", "url", F.when(F.size("kept") > 0, F.col("kept")).otherwise(articles).alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
-    return all_kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -329,6 +329,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(r.text.startswith("Welcome") for r in few)  # too few pages to tell
 
 
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    notice, cards = "<p>Read our terms of use</p>", "<article><h2>Teaser {}</h2></article>"
+    rows = [(k, f"http://a/{k}", f"<article><h1>Title {k}</h1>{notice}<p>Prose {k}</p><div>Follow us</div></article>") for k in range(1, 6)]
+    rows += [(k, f"http://b/{k}", f"<div class='text'><p>Main text {k}</p></div>{cards.format(k)}{cards.format(-k)}") for k in range(11, 16)]
+    copy = "<article><p>One article that a site holds twice</p></article>"
+    rows += [(k, f"http://c/{k}", copy) for k in range(21, 29)] + [(30, "http://d/1", f"<div>Own text</div>{copy}")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nProse {k}" for k in range(1, 6))
+    assert all(got[k].startswith(f"Main text {k}\nTeaser {k}") for k in range(11, 16))
+    assert all(got[k] == "One article that a site holds twice" for k in range(21, 29))
+    assert got[30] == "Own text\nOne article that a site holds twice"
+
+
 # 10
 
 
