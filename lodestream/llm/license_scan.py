@@ -2,9 +2,11 @@
 DataFrame functions only.
 
 Text is lower-cased (A-Z) and cut into words of letters and digits. A unit is a line, a paragraph (between
-blank lines) or the whole text; each is compared to every template whose size allows the threshold at all:
+blank lines), the whole text, or a run of neighbouring lines, over blank ones too, of up to (2-t)/t times the
+template's words at threshold t. Each is compared to every template whose size allows the threshold at all:
 with sets of a and b bigrams Dice is at most 2*min(a,b)/(a+b). Units that share no bigram with any template
-are left out first.
+are left out first. Runs are formed only for templates of which the text holds t/(2-t) of the bigrams, without
+which no part of it can reach t, and from and to lines with bigrams of the template: others only lower Dice.
 
 Defined results: null text, or text without words, matches nothing; equal scores go to the name that sorts
 first; a unit of one word has the word itself as its only member. Repeated rows stay repeated; input columns
@@ -13,6 +15,8 @@ with the names of results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +32,40 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "all-rights-reserved": "All rights reserved.",
 }
 
 
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a template, sorted."""
-    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with license (the best template, or null), dice, and licenses (every template matched, sorted)."""
-    table = {name: grams for name, t in sorted((TEMPLATES if templates is None else templates).items()) if (grams := bigrams(t))}
+    given = TEMPLATES if templates is None else templates
+    table = {name: grams for name, t in sorted(given.items()) if (grams := bigrams(t))}
     out = docs.drop("license", "dice", "licenses", "_units", "_found")
     if not table:
         return out.withColumns({"license": F.lit(None).cast("string"), "dice": F.lit(0.0), "licenses": F.array().cast("array<string>")})
-    literal = "array(" + ", ".join(f"named_struct('name', '{n}', 'grams', array({', '.join(repr(g) for g in grams)}), 'size', {len(grams)})" for n, grams in table.items()) + ")"
+    literal = "array(" + ", ".join(f"named_struct('name', '{n}', 'grams', array({', '.join(repr(g) for g in grams)}), 'size', {len(grams)}, 'words', {len(words_of(given[n]))})" for n, grams in table.items()) + ")"
     every = "array(" + ", ".join(repr(g) for g in sorted({g for grams in table.values() for g in grams})) + ")"
     least, most = (f(len(g) for g in table.values()) for f in (min, max))
     low, high = threshold / (2 - threshold) * least, (2 - threshold) / threshold * most
@@ -59,7 +73,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     def words(c: str) -> str:
         return f"filter(split(translate({c}, '{UPPER}', '{LOWER}'), '[^0-9a-z]+'), w -> w != '')"
 
-    grams = "CASE WHEN size(w) = 1 THEN w ELSE array_distinct(transform(slice(w, 1, size(w) - 1), (x, i) -> concat(x, ' ', w[i + 1]))) END"
+    def grams_of(w: str) -> str:
+        return f"CASE WHEN size({w}) < 2 THEN {w} ELSE array_distinct(transform(slice({w}, 1, size({w}) - 1), (x, i) -> concat(x, ' ', {w}[i + 1]))) END"
+
+    grams = grams_of("w")
     units = r"filter(array_distinct(concat(split(_t, '\n'), split(_t, '\n[\\x20\\x09-\\x0D]*\n'), array(_t))), u -> u rlike '[0-9A-Za-z]')"
     out = out.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn("_u", F.expr(units))
@@ -68,6 +85,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     dice = "2.0D * size(array_intersect(g, x.grams)) / (size(g) + x.size)"
     bound = f"2.0D * least(size(g), x.size) >= {threshold} * (size(g) + x.size)"
     out = out.withColumn("_found", F.expr(f"flatten(transform(_g, g -> filter(transform(filter({literal}, x -> {bound}), x -> named_struct('d', {dice}, 'name', x.name)), m -> m.d >= {threshold})))"))
+    out = out.withColumn("_found", F.concat("_found", F.expr(_runs(words, grams_of, literal, every, threshold))))
     best = "array_sort(_found, (a, b) -> CASE WHEN a.d > b.d THEN -1 WHEN a.d < b.d THEN 1 WHEN a.name < b.name THEN -1 WHEN a.name > b.name THEN 1 ELSE 0 END)"
     out = out.withColumn("_best", F.expr(f"get({best}, 0)"))
     return out.withColumns({
@@ -77,6 +95,32 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     }).drop("_t", "_u", "_w", "_g", "_found", "_best")
 
 
+def _runs(words: Callable[[str], str], grams_of: Callable[[str], str], literal: str, every: str, threshold: float) -> str:
+    """SQL for the matches of runs of lines in _t: array of (d, name)."""
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    share = threshold / (2 - threshold)
+    members = every.removeprefix("array")
+    # the templates of which the text holds enough; the one look at all of its words, and hashed
+    whole = let("w", words("_t"), f"filter(concat(w, {grams_of('w')}), y -> y IN {members})")
+    near = f"filter({literal}, z -> size(array_intersect(s, z.grams)) >= {share} * z.size - 1e-9)"
+    near = let("s", whole, near)
+    lines = f"filter(transform(split(_t, '\\n'), c -> {words('c')}), l -> size(l) > 0)"
+    ends = "aggregate(n, array(0), (a, l) -> concat(a, array(element_at(a, -1) + size(l))))"
+    # a line with the words on both sides of it, as bigrams go over its ends
+    round_ = "concat(CASE WHEN j > 0 THEN slice(n[j - 1], -1, 1) ELSE array() END, n[j], CASE WHEN j + 1 < size(n) THEN slice(n[j + 1], 1, 1) ELSE array() END)"
+    hits = f"filter(sequence(0, size(n) - 1), j -> arrays_overlap({let('r', round_, f'concat(r, {grams_of("r")})')}, z.grams))"
+    spans = f"filter(h, j -> j > i AND e[j + 1] - e[i] BETWEEN {share} * z.size - 1e-9 AND z.words / {share} + 1e-9)"
+    run = "flatten(slice(n, i + 1, j - i + 1))"
+    dice = let("v", run, let("q", grams_of("v"), "2.0D * size(array_intersect(q, z.grams)) / (size(q) + z.size)"))
+    found = f"flatten(transform(h, i -> transform({spans}, j -> named_struct('d', {dice}, 'name', z.name))))"
+    found = let("n", lines, let("e", ends, f"flatten(transform(m, z -> {let('h', hits, found)}))"))
+    found = f"CASE WHEN size(m) > 0 THEN filter({found}, y -> y.d >= {threshold}) END"
+    return f"coalesce({let('m', near, found)}, array())"
+
+
 def oracle() -> str:
     """DuckDB SQL for op10."""
     rows = ", ".join(f"('{n}', [{', '.join(repr(g) for g in bigrams(t))}])" for n, t in sorted(TEMPLATES.items()))

@@ -364,3 +364,15 @@ def test_size_bounds_lose_nothing(spark):
         own = set(license_scan.bigrams(t))
         want[k] = sorted(n for n, g in grams.items() if 2 * len(own & g) / (len(own) + len(g)) >= 0.8)
     assert {r.doc_id: list(r.licenses) for r in license_scan.scan_licenses(docs(spark, rows)).collect()} == want
+
+
+def test_licenses_of_several_paragraphs_inside_a_document(spark):
+    own = ["A program of our own, with a file for the reader.", "It does many things that the other one does not."]
+    three = ("Apache-2.0-notice", "BSD-2-Clause", "GPL-3.0-header")
+    rows = []
+    for k, name in enumerate(three):
+        parts = license_scan.TEMPLATES[name].replace(". ", ".\n\n")
+        rows += [(k, "\n\n".join([*own * 20, parts, *own * 20])), (10 + k, "\n".join([*own * 20, *license_scan.TEMPLATES[name].replace(". ", ".\n").split("\n"), *own * 20]))]
+    rows += [(20, "\n".join(own * 40))]
+    got = {r.doc_id: (r.license, r.dice) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    assert all(got[k + at] == (name, 1.0) for k, name in enumerate(three) for at in (0, 10)) and got[20] == (None, 0.0)
