@@ -43,14 +43,16 @@ class Encoder:
     """Token ids of whole texts.
 
     The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of
-    its space-separated chunks in a row; chunks met before come from a cache of bounded size.
+    its space-separated chunks in a row; chunks met before come from a cache of bounded size. A text that may hold
+    an added token's literal, such as ``<|endoftext|>``, is encoded whole and as it is.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the tokenizer looks for added tokens before it lower-cases and splits
+        self.added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,12 +73,13 @@ class Encoder:
         for own in chunks:
             yield b"".join(map(self.young.__getitem__, own))
 
-    @staticmethod
-    def _chunks(text: str | None) -> list[str]:
+    def _chunks(self, text: str | None) -> list[str]:
         if not text:
             return []
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
             return [text]
+        if any(x in text for x in self.added):
+            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

@@ -247,6 +247,15 @@ def test_encoder_agrees_with_the_tokenizer():
     assert list(e.ids(odd)) == want
 
 
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    odd = ["a <|endoftext|> b", "A<|startoftext|>B.", "x  <|ENDOFTEXT|>\n\ny", "<|endoftext|><|endoftext|>", "Ω <|endoftext|> é", "a <| b |> c", "plain Text, here."]
+    assert list(e.ids(odd)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert e.added == {"<|"} and 49407 in plain.encode(odd[0], add_special_tokens=False).ids
+
+
 # 7
 
 
