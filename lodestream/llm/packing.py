@@ -33,7 +33,8 @@ from lodestream.session import written
 CAPACITY = 4096
 END = 1
 GROUP_PIECES = 8192
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000  # of either generation: some 40 MB
+ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python only
 STOPS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,]+)(?=\s|$)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -48,9 +49,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         # the tokenizer looks for added tokens before it lower-cases and splits
         self.added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.young: dict[str, bytes] = {}
@@ -61,24 +60,41 @@ class Encoder:
         chunks = [self._chunks(t) for t in texts]
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
-        fresh = []
+        fresh, whole = [], []
         for w in set(chain.from_iterable(chunks)):
             if w not in self.young:
                 if w in self.old:
                     self.young[w] = self.old[w]
                 else:
-                    fresh.append(w)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, "<u4").tobytes()
+                    (whole if self._is_whole(w) else fresh).append(w)
+        for w in whole:
+            self.young[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        self._learn(fresh)
         for own in chunks:
             yield b"".join(map(self.young.__getitem__, own))
+        for w in whole:  # whole texts do not recur as words do
+            del self.young[w]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the words in one go, a space between any two; where each one's ids end is read from the offsets."""
+        if not words:
+            return
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        first = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = np.searchsorted(first, starts) * 4
+        raw = ids.tobytes()
+        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self.young[w] = raw[a:b]
+
+    def _is_whole(self, chunk: str) -> bool:
+        return any(x in chunk for x in self.added) or any(c in chunk for c in ODD_SPACE)
 
     def _chunks(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
-            return [text]
-        if any(x in text for x in self.added):
+        if self._is_whole(text):
             return [text]
         try:
             text.encode("latin-1")
@@ -90,9 +106,11 @@ class Encoder:
 
 
 @functools.cache
-def _encoder(path: str) -> Encoder:
-    """One a Python worker, so that its cache outlives a task."""
-    return Encoder(path)
+def _tokenizer(path: str):  # noqa: ANN202
+    """One a Python worker: some 30 MB, of no growth. The words met are kept by each task alone."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -102,7 +120,7 @@ def cut(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = _encoder(tokenizer)
+        encoder = Encoder(tokenizer)  # ends with the task, as do the words it keeps
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
