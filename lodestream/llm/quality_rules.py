@@ -71,7 +71,10 @@ def measured(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
     out = out.withColumn("_p", F.expr("array_sort(transform(filter(_s, (x, i) -> x.g = get(_s, i - 1).g OR x.g = get(_s, i + 1).g), x -> x.i))"))
     covered = f"aggregate(transform(_p, (p, j) -> least({window}, coalesce(get(_p, j + 1) - p, {window}))), 0, (a, b) -> a + b)"
     out = out.withColumn("n_repeat_words", F.coalesce(F.expr(covered), F.lit(0)).cast("long"))
-    return out.drop("_t", "_w", "_l", "_h", "_g", "_s", "_p")
+    # a generator of one row: filters on measurements stay above it, so no condition has the arrays made anew for each element
+    names = [*MEASURES, "n_lines"]
+    out = out.withColumn("_m", F.explode(F.array(F.struct(*names)))).drop("_t", "_w", "_l", "_h", "_g", "_s", "_p", *names)
+    return out.withColumns({n: F.col(f"_m.{n}") for n in names}).drop("_m")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
