@@ -3,7 +3,8 @@ DataFrame functions only.
 
 Text is lower-cased (A-Z) and cut into words of letters and digits. A unit is a line, a paragraph (between
 blank lines), the whole text, or a run of neighbouring lines, over blank ones too, of up to (2-t)/t times the
-template's words at threshold t. Each is compared to every template whose size allows the threshold at all:
+template's words at threshold t. A text is looked at if it holds one of a few long words, of which any match with
+some template must hold one (``probes``). Each unit is compared to every template whose size allows the threshold at all:
 with sets of a and b bigrams Dice is at most 2*min(a,b)/(a+b). Units that share no bigram with any template
 are left out first. Runs are formed only for templates of which the text holds t/(2-t) of the bigrams, without
 which no part of it can reach t, and from and to lines with bigrams of the template: others only lower Dice.
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words that say little of a licence; they only come last where words to look for are chosen.
+PLAIN = {"0", "1", "2", "3", "4", "a", "all", "and", "any", "as", "by", "following", "for", "in", "is", "it", "of", "or", "possible", "provided", "public", "published", "received", "source", "subject", "that", "the", "this", "to", "under", "with", "work", "you"}
+
 #: Public licence notices and short licences by SPDX-like name: fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -44,6 +48,8 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "all-rights-reserved": "All rights reserved.",
 }
 
@@ -58,6 +64,21 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words))
 
 
+def probes(table: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every match holds one. A match lacks at most (2-2t)/(2-t) of a template's bigrams, so for each
+    template more bigrams than that hold one of these words; long words come first, those that any prose holds last."""
+    chosen: set[str] = set()
+    for grams in table.values():
+        spare = len(grams) * (1 - threshold / (2 - threshold)) + 1e-9
+        held = lambda words: sum(any(w in words for w in g.split()) for g in grams)
+        for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in PLAIN, -len(w), w)):
+            if held(chosen) > spare:
+                break
+            chosen.add(w)
+    # a word that holds another one as a part says no more than that
+    return sorted(w for w in chosen if not any(len(v) > 3 and v in w for v in chosen - {w}))
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with license (the best template, or null), dice, and licenses (every template matched, sorted)."""
     given = TEMPLATES if templates is None else templates
@@ -78,7 +99,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
     grams = grams_of("w")
     units = r"filter(array_distinct(concat(split(_t, '\n'), split(_t, '\n[\\x20\\x09-\\x0D]*\n'), array(_t))), u -> u rlike '[0-9A-Za-z]')"
-    out = out.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    looked = probes(table, threshold)
+    possible = " OR ".join(f"contains(_t, '{w}')" for w in looked if len(w) > 3)
+    if short := [w for w in looked if len(w) <= 3]:
+        possible += f"{' OR ' * bool(possible)}_t rlike '(^|[^0-9a-z])({'|'.join(short)})([^0-9a-z]|$)'"
+    out = out.withColumn("_t", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("_t", F.expr(f"CASE WHEN {possible} THEN {{text}} ELSE '' END".format(text=f"`{text}`")))
     out = out.withColumn("_u", F.expr(units))
     out = out.withColumn("_w", F.expr(f"transform(_u, u -> {words('u')})"))
     out = out.withColumn("_g", F.expr(f"filter(transform(_w, w -> {grams}), g -> size(g) BETWEEN {low - 1e-9} AND {high + 1e-9} AND arrays_overlap(g, {every}))"))
@@ -86,6 +111,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     bound = f"2.0D * least(size(g), x.size) >= {threshold} * (size(g) + x.size)"
     out = out.withColumn("_found", F.expr(f"flatten(transform(_g, g -> filter(transform(filter({literal}, x -> {bound}), x -> named_struct('d', {dice}, 'name', x.name)), m -> m.d >= {threshold})))"))
     out = out.withColumn("_found", F.concat("_found", F.expr(_runs(words, grams_of, literal, every, threshold))))
+    # a generator of one row: filters on results stay above it, so nothing is looked at twice
+    out = out.withColumn("_found", F.explode(F.array("_found")))
     best = "array_sort(_found, (a, b) -> CASE WHEN a.d > b.d THEN -1 WHEN a.d < b.d THEN 1 WHEN a.name < b.name THEN -1 WHEN a.name > b.name THEN 1 ELSE 0 END)"
     out = out.withColumn("_best", F.expr(f"get({best}, 0)"))
     return out.withColumns({
