@@ -21,8 +21,8 @@ share 1 + extra, for the smaller of their extras. Steps:
 Probes with many candidates are dealt into blocks. Nothing is capped: hot members and groups only take the other way.
 
 Defined results: no text or no words gives an empty set, linked with nothing and its own component; under
-``words`` words the whole sequence is the one shingle; a null id has a null component; rows that repeat an id share
-its component. Columns other than the id and the text are not carried.
+``words`` words the whole sequence is the one shingle; a null id has a null component; rows that repeat an id are
+one document, with the links of all its texts, and each row has the size of its own set. Columns other than the id and the text are not carried.
 """
 
 from __future__ import annotations
@@ -363,9 +363,29 @@ def _across(first: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return both.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
+def _numbered(own: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """own with one id a text, and (doc_id, node) of the further texts of an id: they are numbered past all ids.
+
+    Only where ids repeat do texts move; an id with a third of all rows is met by partial aggregation.
+    """
+    several = own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = written(several, "several")
+    if several.isEmpty():
+        return own, None
+    marked = own.withColumn("mark", F.md5(F.coalesce("text", F.lit(""))))
+    marks = marked.join(several, "doc_id", "left_semi").select("doc_id", "mark").distinct()
+    heads = marks.groupBy("doc_id").agg(F.min("mark").alias("head"))
+    past = (own.agg(F.max("doc_id")).first()[0] or 0) + 1
+    further = marks.join(heads, "doc_id").where("mark <> head").select("doc_id", "mark", (F.lit(past) + F.monotonically_increasing_id()).alias("node"))
+    further = written(further, "further")
+    own = marked.join(further, ["doc_id", "mark"], "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+    return own, further.select("doc_id", "node")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own, further = _numbered(own)
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(size / 6 * 0.25 * 20 / BUCKET_BYTES))  # a word in 6 characters, a quarter emitted, 20 bytes each
     emitted = written(_emit(own, words, percent, buckets), "emitted")
@@ -381,15 +401,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     needed = cold.select(F.col("a").alias("doc_id")).union(cold.select(F.col("b").alias("doc_id"))).union(heated).distinct()
     sets = written(_sets(own, needed, words), "sets").dropDuplicates(["doc_id"])
 
-    first = written(_hot_prefixes(sets.join(heated, "doc_id", "left_semi"), percent), "first")
-    stars = _possible(_stars(first, percent), known, percent)
-    links = written(_linked(cold.unionByName(stars).distinct(), sets, percent), "links")
-    more = _possible(_across(first, connected_components(links), sets, percent), known, percent)
-    links = links.unionByName(written(_linked(more, sets, percent), "links"))
+    if heated.isEmpty():
+        links = written(_linked(cold, sets, percent), "links")
+    else:
+        first = written(_hot_prefixes(sets.join(heated, "doc_id", "left_semi"), percent), "first")
+        stars = _possible(_stars(first, percent), known, percent)
+        links = written(_linked(cold.unionByName(stars).distinct(), sets, percent), "links")
+        more = _possible(_across(first, connected_components(links), sets, percent), known, percent)
+        links = links.unionByName(written(_linked(more, sets, percent), "links"))
 
     # exact copies share a class, known by its smallest id
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     member = rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.where("copies > 1"), ["high", "low"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    labels = connected_components(links.unionByName(member))
+    links = links.unionByName(member)
+    if further is not None:
+        links = links.unionByName(further.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    labels = connected_components(links)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if further is None:
+        return out
+    out = out.join(further.select(F.col("doc_id").alias("own"), F.col("node").alias("doc_id")), "doc_id", "left")
+    return out.select(F.coalesce("own", "doc_id").alias("doc_id"), "n_shingles", "component_id")

@@ -125,6 +125,13 @@ def test_join_edges(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    a, b, c = ("the first of some texts with words", "another text that shares nothing at all", "a third one apart from the rest here")
+    rows = [(5, a), (5, b), (5, b), (7, a), (9, b), (3, c), (None, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs(spark, rows)).collect() if r.doc_id)
+    assert got == [(3, 4, 3), (5, 3, 5), (5, 3, 5), (5, 3, 5), (7, 3, 5), (9, 3, 5)]
+
+
 # 3
 
 

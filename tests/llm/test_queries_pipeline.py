@@ -8,6 +8,7 @@ import corpus_pipeline
 from lodestream.llm import decontamination, ngram_join, registry
 
 SF = "/root/testdata/sf0.001"
+CLASHING = ("score", "lang_pred", "held_out", "n_lines", "n_dropped", "n_words", "hits", "items", "spans", "contaminated", "doc", "mark", "node", "_t")
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -34,7 +35,11 @@ def test_pipeline_stages(spark):
 def test_pipeline_at_the_edges(spark):
     rows = [(1, None, "en", "s", None), (2, "", None, None, 0), (3, "12 34", "en", "s", 5), (None, "words and letters here", "en", "s", 22), (4, "the same words in two rows", "en", "s", 26), (4, "the same words in two rows", "en", "s", 26)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit("own"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.select(*CLASHING).distinct().count() <= 1
+        assert all(r == ("own",) * len(CLASHING) for r in map(tuple, out.select(*CLASHING).collect()))
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.join_ngrams(spark, docs, SF).where("doc_id = 4").count() == 1
