@@ -32,7 +32,7 @@ def shielded(stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         aside = {c: f"_aside_{k}" for k, c in enumerate(docs.columns) if c not in OWN}
         out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
-        return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
+        return out.select(*[aside.get(c, c) for c in docs.columns]).toDF(*docs.columns)
 
     return run_stage
 
