@@ -66,12 +66,14 @@ def find_templates(
     line is asked for by itself too (exact).
     """
     lines = parsed_lines(docs, doc_id, text, depth, min_tokens)
-    counts = lines.groupBy("leaf", "line").agg(F.countDistinct("text_hash").alias("k"), F.max("n").alias("n"))
-    long = F.max(F.when(F.col("n") >= long_tokens, F.col("k")))
-    leaves = counts.groupBy("leaf").agg(F.max_by("line", F.struct("k", "line")).alias("seed"), F.sum("k").alias("k"), long.alias("long"))
-    leaves = written(leaves.where((F.col("k") >= min_docs) | (F.col("long") >= long_docs)).select("leaf", "seed"), "leaves")
-
-    near = written(lines.join(leaves, "leaf"), "lines")
+    counts = lines.groupBy("leaf", "line").agg(F.countDistinct("text_hash").alias("k"))
+    leaves = counts.groupBy("leaf").agg(F.max_by("line", F.struct("k", "line")).alias("seed"), F.sum("k").alias("k"))
+    leaves = written(leaves.where(F.col("k") >= min_docs).select("leaf", "seed"), "leaves")
+
+    # of other leaves only the hashes of long lines go on
+    every = lines.join(leaves, "leaf", "left").where((F.col("n") >= long_tokens) | F.col("seed").isNotNull())
+    every = written(every.withColumn("masked", F.expr("CASE WHEN seed IS NOT NULL THEN masked END")), "lines")
+    near = every.where("seed IS NOT NULL")
     # every text of one hash is the same, so any row can speak for the seed
     seeds = written(near.where("line = seed").groupBy("leaf").agg(F.min("masked").alias("seed_line")), "seeds")
     equal = "size(filter(zip_with(split(masked, ' '), split(seed_line, ' '), (a, b) -> a = b AND a != '<*>'), x -> x))"
@@ -91,9 +93,9 @@ def find_templates(
     shapes = shapes.select("leaf", "line", F.expr(_hash("array_join(transform(shape, x -> x.token), ' ')")).alias("shape"))
 
     placed = placed.drop("masked").join(written(shapes, "shapes"), ["leaf", "line"], "left")
-    one = "named_struct('template', CASE WHEN fits THEN -1L ELSE coalesce(shape, line) END, 'exact', false)"
-    both = f"inline(CASE WHEN n >= {long_tokens} THEN array({one}, named_struct('template', line, 'exact', true)) ELSE array({one}) END)"
-    placed = placed.select("doc", "text_hash", "line_no", "leaf", F.expr(both))
+    placed = placed.select("doc", "text_hash", "line_no", "leaf", F.expr("CASE WHEN fits THEN -1L ELSE coalesce(shape, line) END").alias("template"), F.lit(False).alias("exact"))
+    long = every.where(F.col("n") >= long_tokens)
+    placed = placed.unionByName(long.select("doc", "text_hash", "line_no", "leaf", F.col("line").alias("template"), F.lit(True).alias("exact")))
     templates = placed.groupBy("leaf", "template", "exact").agg(F.countDistinct("text_hash").alias("n_texts"), F.min("doc").alias("first_doc"))
     templates = written(templates.where(F.expr(f"n_texts >= CASE WHEN exact THEN {long_docs} ELSE {min_docs} END")), "templates")  # both sides of the join can be split
     return placed.join(templates.select("leaf", "template", "exact", "first_doc"), ["leaf", "template", "exact"]), templates
