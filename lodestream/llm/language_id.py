@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 PROFILE_SIZE = 400
 MAX_LANGUAGES = 1000  # bounds the broadcast profiles: MAX_LANGUAGES * PROFILE_SIZE entries
 FOLDS = 5
+GAP = np.uint64((1 << 21) - 1)  # no code point
 HELD_GRAMS = 1_000_000  # n-grams that a task holds before it counts them
 MIN_SCORE = 0.05  # below it the pipeline takes a text for no language that was learned
 
@@ -42,10 +43,12 @@ def grams_of(text: str | None) -> np.ndarray:
     points[~_letters()[points]] = 0
     points = points[np.flatnonzero((points[1:] != 0) | (points[:-1] != 0))] if len(points) > 1 else points
     points = np.append(points, np.uint64(0))  # each gap is one zero now, at both ends too
+    letter = points != 0
+    points = np.where(letter, points, GAP)  # so that a letter after a gap isn't the letter alone
     two = (points[:-1] << np.uint64(21)) | points[1:]
     three = (two[:-1] << np.uint64(21)) | points[2:]
-    middle = points[1:-1] != 0  # n-grams across a gap say nothing of a word
-    return np.concatenate([points[points != 0], two[two != 0], three[middle]])
+    # n-grams across a gap say nothing of a word
+    return np.concatenate([points[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]])
 
 
 def ranked(grams: np.ndarray, size: int) -> np.ndarray:

@@ -154,7 +154,7 @@ def test_language(spark):
 
 def test_grams_do_not_cross_words():
     got = collections.Counter(language_id.grams_of("Ab-cd").tolist())
-    pack = lambda *c: int(sum(ord(x) << (21 * k) if x != " " else 0 for k, x in enumerate(reversed(c))))
+    pack = lambda *c: int(sum((ord(x) if x != " " else (1 << 21) - 1) << (21 * k) for k, x in enumerate(reversed(c))))
     assert got == collections.Counter([pack(x) for x in "abcd"] + [pack(*x) for x in (" a", "ab", "b ", " c", "cd", "d ")] + [pack(*x) for x in (" ab", "ab ", " cd", "cd ")])
 
 
@@ -392,3 +392,129 @@ def test_licenses_of_several_paragraphs_inside_a_document(spark):
     rows += [(20, "\n".join(own * 40))]
     got = {r.doc_id: (r.license, r.dice) for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
     assert all(got[k + at] == (name, 1.0) for k, name in enumerate(three) for at in (0, 10)) and got[20] == (None, 0.0)
+
+
+def test_a_leaf_holds_several_templates_and_long_lines_recur_at_two(spark):
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    rows = [(i, f"opening of text {chr(97 + i)}{chr(97 + i)} alone\nPosted in category news by user name{chr(97 + i)} today") for i in range(20)]
+    rows += [(100 + i, f"some text x{chr(97 + i)}x that differs\nPosted in category lists are shown below here") for i in range(25)]
+    rows += [(200, f"the start of one\n{long}"), (201, f"another beginning here entirely\n{long}"), (202, "this line stands in one text only")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert [i for i in range(20) if "Posted" in got[i]] == [0] and [i for i in range(25) if "Posted" in got[100 + i]] == [0]
+    assert long in got[200] and long not in got[201] and got[202] == rows[-1][1]
+
+
+def test_long_texts_lose_many_lines_in_time(spark):
+    line = "a line that very many of these texts repeat as it is"
+    rows = [(i, f"{chr(97 + i) * 3} {chr(98 + i) * 4}\n" + f"{line}\n" * (20000 if i == 11 else 1)) for i in range(12)]
+    got = {r.doc_id: (r.n_dropped, len(r.text)) for r in line_dedup.dedup_lines(docs(spark, rows)).where("n_dropped > 0").collect()}
+    assert got[11][0] == 20000 and 0 not in got and len(got) == 11
+
+
+def test_the_tree_matches_a_recursive_one(spark):
+    import math
+
+    pages = []
+    for k in range(6):
+        extra = "<div class='box'><p>Stay tuned for more of this.</p></div>" if k % 2 else "<section><h2>More</h2><p>Again the same.</p></section>"
+        pages.append((k, "http://a.org/x", f"<body><div class='top'><p>Welcome to the site</p></div><article><h1>Title {k}</h1>" + "".join(f"<p>Words {k} {j}</p>" for j in range(k + 1)) + f"</article>{extra}</body>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    places, _ = html_extract.style_tree(html_extract.parse_pages(frame))
+    got = {r.node: r.importance for r in places.collect()}
+    tree = {}
+    for _, _, html in pages:
+        found, nodes = html_extract.parsed_page(html)
+        for node, style, _, path in nodes:
+            t = tree.setdefault(node, {"styles": collections.Counter(), "texts": collections.Counter(), "pages": 0, "path": path})
+            t["styles"][style] += 1
+        for node in {n for n, _, _, _ in nodes}:
+            tree[node]["pages"] += 1
+        for node, text in {(n, t) for n, t, _ in found}:
+            tree[node]["texts"][text] += 1
+
+    def importance(node):
+        t = tree[node]
+        m = t["pages"]
+        if m < html_extract.MIN_PAGES:
+            return 1.0
+        total = sum(t["styles"].values())
+        presentation = min(1.0, -sum(c / total * math.log(c / total, m) for c in t["styles"].values()))
+        below = [importance(n) for n, x in tree.items() if len(x["path"]) > 1 and x["path"][-2] == node]
+        if t["texts"]:
+            below.append(1 - sum(math.log(c, m) for c in t["texts"].values()) / len(t["texts"]))
+        g = html_extract.DECAY ** len(t["styles"])
+        return (1 - g) * presentation + g * sum(below) / len(below)
+
+    assert got.keys() == tree.keys() and len(tree) > 6
+    for node, x in got.items():
+        assert abs(x - importance(node)) < 1e-9
+    texts = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert all("Welcome" not in t for t in texts.values()) and texts[2].startswith("Title 2\nWords 2 0")
+
+
+def test_names_do_not_take_out_main_parts(spark):
+    for html in ("<article class='post-12 post type-post hentry category-news tag-python'><p>Kept words</p></article>", "<div class='content-sidebar-wrap'><main><p>Kept words</p></main></div>", "<div class='layout has-sidebar'><article><p>Kept words</p></article></div>"):
+        assert [b[1] for b in html_extract.blocks_of(html)] == ["Kept words"]
+    for html in ("<div class='cookie-notice'>x</div>", "<ol class='comment-list'><li><article class='comment'>x</article></li></ol>", "<div id='site-footer'>x</div>", "<div class='ad-slot-1'>x</div>", "<div role='banner'>x</div>"):
+        assert html_extract.blocks_of(html) == []
+    deep = html_extract.blocks_of("<div class=x>" * 40000 + "end")
+    assert [b[1] for b in deep] == ["end"]
+
+
+def test_a_filter_on_the_ledger_ends_on_a_long_text(spark):
+    rows = [(1, "a b c d e f g " * 40000), (2, " ".join(f"w{i}" for i in range(300000)))]
+    table = quality_rules.apply_policy(quality_rules.ledger(docs(spark, rows)), quality_rules.DEFAULT)
+    assert [r.doc_id for r in table.where("kept").select("doc_id").collect()] == [2]
+
+
+def test_language_matches_ranks_and_distances_in_plain_python(spark):
+    texts = {"aa": ["the cat sat on the mat and the hat", "the rat and the cat"], "bb": ["der hund und die katze", "die maus und der hund sind da"]}
+    train = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    frame = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(frame, size=30)
+
+    def ranks(all_texts):
+        counts = collections.Counter()
+        for t in all_texts:
+            for w in t.split():
+                x = f"\0{w}\0"
+                counts.update(x[i : i + k] for k in (1, 2, 3) for i in range(len(x) - k + 1) if x[i : i + k].strip("\0") and (k < 3 or x[i + 1] != "\0"))
+        pack = lambda g: sum((ord(c) or (1 << 21) - 1) << 21 * k for k, c in enumerate(reversed(g)))
+        return [pack(g) for g in sorted(counts, key=lambda g: (-counts[g], pack(g)))][:30]
+
+    plain = {lang: ranks(ts) for lang, ts in texts.items()}
+    assert {k: v.tolist() for k, v in profiles.items()} == plain
+    for t in ("the dog and the cat", "und die katze", "zzz"):
+        own = ranks([t])
+        far = {k: sum(abs(p.index(g) - i) if g in p else 30 for i, g in enumerate(own)) for k, p in plain.items()}
+        best = min(sorted(far), key=far.get)
+        r = language_id.identify(spark.createDataFrame([(1, t)], "doc_id long, text string"), profiles, size=30).first()
+        assert r.lang_pred == best and abs(r.score - (1 - far[best] / (30 * len(own)))) < 1e-12
+
+
+def test_bins_are_those_of_a_plain_sum_of_squares():
+    rng = random.Random(5)
+    sizes = sorted((rng.randrange(1, 65) for _ in range(400)), reverse=True)
+    got = packing.sum_of_squares(sizes, 64)
+    open_bins: dict[int, int] = {}  # sequence to free tokens
+    used = 0
+    for s, (seq, offset) in zip(sizes, got, strict=True):
+        count = collections.Counter(open_bins.values())
+
+        def total(gap, rest, count=count):
+            c = count.copy()
+            if gap is not None:
+                c[gap] -= 1
+            if rest:
+                c[rest] += 1
+            return sum(v * v for v in c.values())
+
+        least = min([total(g, g - s) for g in count if g >= s] + [total(None, 64 - s)])
+        new = seq not in open_bins and offset == 0
+        gap = 64 if new else open_bins[seq]
+        assert offset == 64 - gap and total(None if new else gap, gap - s) == least
+        used += new
+        open_bins.pop(seq, None)
+        if gap - s:
+            open_bins[seq] = gap - s
+    assert used == len({seq for seq, _ in got})
