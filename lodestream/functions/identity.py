@@ -22,6 +22,8 @@ def render(value: Column, kind: str = "string") -> Column:
 
 
 def digest(parts: list[Column], length: int = 32) -> Column:
+    """SHA-256 of the parts as text. A null part is None, so that it can't shift the others."""
+    parts = [F.coalesce(p.cast("string"), F.lit("None")) for p in parts]
     return F.substring(F.sha2(F.concat_ws(SEPARATOR, *parts).cast("binary"), 256), 1, length)
 
 

@@ -27,10 +27,18 @@ def _after_in_tie(value: Column) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0))
 
 
-def _trailing_sum(value: Column, window_ns: int) -> Column:
-    """Sum over (t-w, t] up to this row in the total order."""
-    w = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns + 1, 0)
-    return F.coalesce(F.sum(value).over(w), F.lit(0)) - _after_in_tie(value)
+def _trailing_sum(value: Column, window_ns: int, whole: bool = True) -> Column:
+    """Sum over (t-w, t] up to this row in the total order.
+
+    Of whole numbers it is the running sum less the running sum at t-w: both frames only grow, so Spark keeps them up
+    in one pass, where a sliding frame is summed anew for each row. Fractions keep the sliding frame, as differences of
+    long sums lose digits.
+    """
+    w = Window.partitionBy("entity").orderBy("t")
+    if not whole:
+        return F.coalesce(F.sum(value).over(w.rangeBetween(-window_ns + 1, 0)), F.lit(0)) - _after_in_tie(value)
+    upto, gone = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, -window_ns))
+    return F.coalesce(upto, F.lit(0)) - F.coalesce(gone, F.lit(0)) - _after_in_tie(value)
 
 
 def first_of_instant() -> Column:
@@ -67,7 +75,8 @@ def ratio_window(df: DataFrame, flag: Column, window_ns: int = 5 * MINUTE, min_d
 
 def sum_window(df: DataFrame, amount: str, window_ns: int = DAY) -> DataFrame:
     """window_n and window_sum in (t-w, t]; a null amount counts as 0."""
-    return df.withColumns({"window_n": _trailing_sum(F.lit(1), window_ns), "window_sum": _trailing_sum(F.coalesce(F.col(amount), F.lit(0)), window_ns)})
+    whole = df.schema[amount].dataType.typeName() in ("byte", "short", "integer", "long")
+    return df.withColumns({"window_n": _trailing_sum(F.lit(1), window_ns), "window_sum": _trailing_sum(F.coalesce(F.col(amount), F.lit(0)), window_ns, whole)})
 
 
 def outcome_run(df: DataFrame, success: Column, window_ns: int = 10 * MINUTE) -> DataFrame:
@@ -109,9 +118,9 @@ def value_novelty(df: DataFrame, value: str) -> DataFrame:
 
 def pair_history(df: DataFrame, pair: str, window_ns: int = 30 * DAY, warmup_ns: int = 7 * DAY) -> DataFrame:
     """pair_seen: an equal pair of the entity at an earlier instant in [t-w, t); pair_mature: warm-up is over."""
-    prior = Window.partitionBy("entity", pair).orderBy("t").rangeBetween(-window_ns, -1)
+    prior = Window.partitionBy("entity", pair).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumns({
-        "pair_seen": F.count("*").over(prior) > 0,
+        "pair_seen": F.coalesce(F.max("t").over(prior) >= F.col("t") - window_ns, F.lit(False)),
         "pair_mature": F.col("t") - F.min("t").over(Window.partitionBy("entity")) >= warmup_ns,
     })
 

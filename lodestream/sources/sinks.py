@@ -31,19 +31,25 @@ def write_kafka(df: DataFrame, servers: str, topic: str, key: str | None = None)
 
 class KeyedTable:
     """A keyed table in versions: each merge writes the next version beside the last, so a lost writer leaves the last
-    one whole. Readers see the version that ``latest`` names."""
+    one whole. The version is read from the storage each time: the last one that was written to its end."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, newest: str) -> None:
         self.spark, self.path, self.key, self.newest = spark, path.rstrip("/"), key, newest
-        self.version = 0
+
+    @property
+    def version(self) -> int:
+        sc = self.spark.sparkContext
+        pattern = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = pattern.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return max((int(f.getPath().getParent().getName()[1:]) for f in found), default=0)
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
+        last = self.version
+        return self.spark.read.parquet(f"{self.path}/v{last}") if last else None
 
     def merge(self, rows: DataFrame) -> DataFrame:
         """Upsert rows; the newest of each key stays."""
         old = self.read()
         table = upsert(old if old is not None else rows.limit(0), rows, self.key, self.newest)
         table.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
         return self.read()
