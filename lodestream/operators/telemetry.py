@@ -147,9 +147,11 @@ def tc1_optical(df: DataFrame, key: str = "entity_key", channels: tuple[str, ...
     return df
 
 
-def tc1_forecast(df: DataFrame, key: str = "entity_key", channel: str = "optical_rx_dbm", floor_dbm: float = -14.0, window_ns: int = 7 * DAY, min_samples: int = 12) -> DataFrame:
+def tc1_forecast(df: DataFrame, key: str = "entity_key", channel: str = "optical_rx_dbm", floor_dbm: float | Column | None = -14.0, window_ns: int = 7 * DAY, min_samples: int = 12, optic: str | None = None) -> DataFrame:
+    """Where a port's level is heading; with an optic, its readings start anew when that changes."""
     outputs = {"slope_per_day": f"{channel}_trend_db_per_day", "residual_rms": f"{channel}_residual", "days_to_floor": f"{channel}_days_to_floor", "forecast_status": f"{channel}_forecast_status"}
-    return track(df, [key], lambda d: trackers.level_forecast(d, "v", floor_dbm, window_ns, min_samples), {"v": channel}, outputs)
+    args: Args = {"v": channel, "f": floor_dbm if isinstance(floor_dbm, Column) else F.lit(floor_dbm).cast("double")} | ({"o": optic} if optic else {})
+    return track(df, [key], lambda d: trackers.level_forecast(d, "v", F.col("f"), window_ns, min_samples, optic="o" if optic else None), args, outputs)
 
 
 def binding_intervals(df: DataFrame, key: str, attributes: list[str], idle_ns: int = 7 * DAY, grant: str | None = None) -> DataFrame:
@@ -207,10 +209,8 @@ def tc3_reach(df: DataFrame, src: str = "src_ip", dst: str = "dst_ip", asn: str
 
 def tc3_beacon(df: DataFrame, src: str = "src_ip", dst: str = "dst_ip", size: str = "bytes_out", window_ns: int = DAY, min_intervals: int = 12) -> DataFrame:
     """Regularity of a pair's flows: intervals, their mean, and the variation of times and sizes."""
-    out = track(df, [src, dst], lambda d: trackers.arrival_regularity(d, window_ns, min_intervals), {}, {"intervals_n": "flow_intervals", "mean_interval": "flow_mean_interval_s", "interval_cv": "flow_interval_cv"})
-    w = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, 0)
-    cv = F.when((F.count("b").over(w) > min_intervals) & (F.avg("b").over(w) > 0), F.stddev_pop("b").over(w) / F.avg("b").over(w))
-    return track(out, [src, dst], lambda d: d.withColumn("cv", cv), {"b": size}, {"cv": "flow_size_cv"})
+    outputs = {"intervals_n": "flow_intervals", "mean_interval": "flow_mean_interval_s", "interval_cv": "flow_interval_cv", "size_cv": "flow_size_cv"}
+    return track(df, [src, dst], lambda d: trackers.arrival_regularity(d, window_ns, min_intervals, "b"), {"b": size}, outputs)
 
 
 def tc3_ttl(df: DataFrame, keys: tuple[str, ...] = ("src_ip", "dst_ip"), ttl: str = "ip_ttl", window_ns: int = DAY, min_samples: int = 5, min_shift: int = 2) -> DataFrame:

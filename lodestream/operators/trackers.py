@@ -153,10 +153,16 @@ def value_floor(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_sample
 
 
 def transfer_envelope(df: DataFrame, amount: str, window_ns: int = 30 * DAY, quantile: float = 0.99, multiplier: float = 3.0, min_samples: int = 100) -> DataFrame:
-    """envelope: nearest-rank quantile of the prior instants in [t-w, t), null below min_samples; ratio, breached."""
-    prior = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, -1)
-    out = df.withColumn("_h", F.collect_list(amount).over(prior))
-    out = out.withColumns({"samples": F.size("_h").cast("long"), "envelope": F.when(F.size("_h") >= min_samples, nearest_rank(F.col("_h"), quantile))})
+    """envelope: nearest-rank quantile of the prior instants in [t-w, t), null below min_samples; ratio, breached.
+
+    samples counts the amounts in [t-w, t] up to this row and with it; rows that tie share one envelope. A row without
+    an amount is not a transfer: nulls.
+    """
+    by_time = Window.partitionBy("entity").orderBy("t")
+    known = F.col(amount).isNotNull()
+    out = df.withColumn("_h", F.collect_list(amount).over(by_time.rangeBetween(-window_ns, -1)))
+    samples = _trailing_sum(known.cast("long"), window_ns + 1)
+    out = out.withColumns({"samples": F.when(known, samples), "envelope": F.when(known & (F.size("_h") >= min_samples), nearest_rank(F.col("_h"), quantile))})
     out = out.withColumn("envelope_ratio", F.when(F.col("envelope") != 0, F.col(amount) / F.col("envelope")))
     return out.withColumn("breached", F.col("envelope_ratio") >= multiplier).drop("_h")
 
@@ -165,51 +171,66 @@ def bucket_peak(df: DataFrame, value: str, bucket_ns: int = HOUR, window_ns: int
     """bucket, peak_reference: the greatest peak of the entity's closed buckets in the window; peak_buckets; peak_step
     (value less reference); peak_mature. Peaks are made by one aggregation, then looked up by (entity, bucket)."""
     keyed = df.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_ns)).cast("long"))
-    span = window_ns // bucket_ns
-    prior = Window.partitionBy("entity").orderBy("bucket").rangeBetween(-span, -1)
-    peaks = keyed.groupBy("entity", "bucket").agg(F.max(value).alias("_peak"))
-    peaks = peaks.select("entity", "bucket", F.max("_peak").over(prior).alias("peak_reference"), F.count("_peak").over(prior).alias("peak_buckets"))
+    # a bucket is gone when its end is w or more before the row that closed the last one: its own bucket's first row
+    span, rest = divmod(window_ns, bucket_ns)
+    prior = lambda n: Window.partitionBy("entity").orderBy("bucket").rangeBetween(-n, -1)
+    peaks = keyed.groupBy("entity", "bucket").agg(F.max(value).alias("_peak"), (F.min("t") - F.col("bucket") * bucket_ns < rest).alias("_early"))
+    held = lambda f: F.when(F.col("_early"), f("_peak").over(prior(span + 1))).otherwise(f("_peak").over(prior(span)))
+    peaks = peaks.select("entity", "bucket", held(F.max).alias("peak_reference"), held(F.count).alias("peak_buckets"))
     out = keyed.join(peaks, ["entity", "bucket"], "left")
     mature = (F.col("peak_buckets") >= min_buckets) & F.col("peak_reference").isNotNull()
     return out.withColumns({"peak_step": F.col(value) - F.col("peak_reference"), "peak_mature": mature})
 
 
 def rolling_median(df: DataFrame, reading: str, window_ns: int = 6 * HOUR, min_samples: int = 5) -> DataFrame:
-    """baseline: the median of earlier readings in (t-w, t), null below min_samples; deviation; baseline_n."""
+    """baseline: the median of earlier readings in (t-w, t), null below min_samples; deviation; baseline_n.
+    Rows that tie with an earlier one are out of order: nulls, and not learned."""
     prior = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns + 1, -1)
-    n = F.count(reading).over(prior)
-    out = df.withColumns({"baseline_n": n, "baseline": F.when(n >= min_samples, F.percentile(reading, F.lit(0.5)).over(prior))})
-    return out.withColumn("deviation", F.col(reading) - F.col("baseline"))
+    out = df.withColumn("_in", first_of_instant())
+    out = out.withColumn("_v", F.when(F.col("_in"), F.col(reading)))
+    n = F.count("_v").over(prior)
+    out = out.withColumns({"baseline_n": F.when(F.col("_in"), n), "baseline": F.when(F.col("_in") & (n >= min_samples), F.percentile("_v", F.lit(0.5)).over(prior))})
+    return out.withColumn("deviation", F.col(reading) - F.col("baseline")).drop("_in", "_v")
 
 
-def level_forecast(df: DataFrame, reading: str, floor_level: float, window_ns: int = 7 * DAY, min_samples: int = 12, max_residual: float = 0.5, min_significance: float = 4.0) -> DataFrame:
-    """Least squares over (t-w, t]: slope_per_day, residual_rms, t_stat, days_to_floor and forecast_status.
+def level_forecast(df: DataFrame, reading: str, floor_level: float | Column | None, window_ns: int = 7 * DAY, min_samples: int = 12, max_residual: float = 0.5, min_significance: float = 4.0, optic: str | None = None) -> DataFrame:
+    """Least squares over (t-w, t]: fit_n, slope_per_day, residual_rms, t_stat, days_to_floor and forecast_status.
 
-    The status is the first that holds: no_reading, immature, below_floor, nonlinear, not_degrading, projected.
+    The status is the first that holds: no_reading, immature, no_floor, below_floor (0 days), nonlinear, not_degrading,
+    projected. With an optic, a change of it (null is a value) starts the readings anew. Rows that tie with an earlier
+    one are out of order: a status only, no_reading or immature, and not learned.
     """
-    w = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns + 1, 0)
-    # places relative to the row keep the sums small: days before now, never the epoch
-    day = (F.col("t") / F.lit(float(DAY))) - F.min("t").over(Window.partitionBy("entity")) / F.lit(float(DAY))
-    out = df.withColumn("_x", day).withColumn("_y", F.col(reading))
-    pair = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    out = out.withColumn("_x", F.when(pair, F.col("_x")))
-    out = out.withColumns({"fit_n": F.regr_count("_y", "_x").over(w), "_sxx": F.regr_sxx("_y", "_x").over(w), "_sxy": F.regr_sxy("_y", "_x").over(w), "_syy": F.regr_syy("_y", "_x").over(w), "_mx": F.regr_avgx("_y", "_x").over(w), "_my": F.regr_avgy("_y", "_x").over(w)})
-    ok = (F.col("fit_n") >= min_samples) & (F.col("_sxx") > 0)
+    out = df.withColumn("_in", first_of_instant())
+    keys = ["entity"]
+    if optic:
+        past = F.lag(F.struct(optic)).over(Window.partitionBy("entity", "_in").orderBy("t", "seq"))
+        out = out.withColumn("_new", (F.col("_in") & past.isNotNull() & ~F.struct(optic).eqNullSafe(past)).cast("long"))
+        out = out.withColumn("_epoch", F.sum("_new").over(_ordered().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        keys.append("_epoch")
+    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-window_ns + 1, 0)
+    # places relative to the entity's first row keep the sums small, never the epoch
+    day = (F.col("t") - F.min("t").over(Window.partitionBy("entity"))) / F.lit(float(DAY))
+    out = out.withColumns({"_y": F.when(F.col("_in"), F.col(reading)), "_x": F.when(F.col("_in") & F.col(reading).isNotNull(), day)})
+    out = out.withColumns({"fit_n": F.count("_y").over(w), "_sxx": F.regr_sxx("_y", "_x").over(w), "_sxy": F.regr_sxy("_y", "_x").over(w), "_syy": F.regr_syy("_y", "_x").over(w), "_mx": F.regr_avgx("_y", "_x").over(w), "_my": F.regr_avgy("_y", "_x").over(w)})
+    ok = F.col("_y").isNotNull() & (F.col("fit_n") >= min_samples) & (F.col("_sxx") > 0)
     out = out.withColumn("slope_per_day", F.when(ok, F.col("_sxy") / F.col("_sxx")))
     sse = F.greatest(F.col("_syy") - F.col("slope_per_day") * F.col("_sxy"), F.lit(0.0))
     out = out.withColumns({"residual_rms": F.when(ok, F.sqrt(sse / F.col("fit_n"))), "_se": F.when((F.col("fit_n") > 2) & ok, F.sqrt(sse / (F.col("fit_n") - 2) / F.col("_sxx")))})
     out = out.withColumn("t_stat", F.when(F.col("_se") > 0, F.col("slope_per_day") / F.col("_se")))
     level = F.col("_my") + F.col("slope_per_day") * (F.col("_x") - F.col("_mx"))
+    floor = floor_level if isinstance(floor_level, Column) else F.lit(floor_level).cast("double")
     status = (
         F.when(F.col(reading).isNull(), "no_reading")
         .when(F.col("slope_per_day").isNull(), "immature")
-        .when(level <= floor_level, "below_floor")
+        .when(floor.isNull(), "no_floor")
+        .when(F.col(reading) <= floor, "below_floor")
         .when(F.col("residual_rms") > max_residual, "nonlinear")
         .when((F.col("slope_per_day") >= 0) | (F.abs(F.coalesce("t_stat", F.lit(1e9))) < min_significance), "not_degrading")
         .otherwise("projected")
     )
     out = out.withColumn("forecast_status", status)
-    return out.withColumn("days_to_floor", F.when(F.col("forecast_status") == "projected", (F.lit(floor_level) - level) / F.col("slope_per_day"))).drop("_x", "_y", "_sxx", "_sxy", "_syy", "_mx", "_my", "_se")
+    days = F.when(F.col("forecast_status") == "projected", F.greatest((floor - level) / F.col("slope_per_day"), F.lit(0.0))).when(F.col("forecast_status") == "below_floor", 0.0)
+    return out.withColumn("days_to_floor", days).drop("_in", "_epoch", "_x", "_y", "_sxx", "_sxy", "_syy", "_mx", "_my", "_se")
 
 
 def cyclic_histogram(df: DataFrame, bucket: Column, buckets: int, min_samples: int = 32) -> DataFrame:
@@ -270,20 +291,29 @@ def link_flap(df: DataFrame, status: str, last_change: str, window_ns: int = HOU
     return out.withColumn("flaps_in_window", F.when(F.col("_in"), total)).drop("_in", "_s", "_c")
 
 
-def arrival_regularity(df: DataFrame, window_ns: int = DAY, min_intervals: int = 12) -> DataFrame:
+def arrival_regularity(df: DataFrame, window_ns: int = DAY, min_intervals: int = 12, size: str | None = None) -> DataFrame:
     """Of the arrivals in [t-w, t]: intervals_n, mean_interval (seconds) and interval_cv (deviation over mean), null below
-    min_intervals. An interval counts if both of its arrivals are inside."""
+    min_intervals; with a size also size_cv, null unless every arrival has one. An interval counts if both of its
+    arrivals are inside. Rows that tie with an earlier one are no arrivals: they show the window as it stands."""
     # the intervals inside are all in the frame but the one that ends at the frame's first arrival
     w = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, 0)
-    out = df.withColumn("_g", (F.col("t") - F.lag("t").over(_ordered())) / F.lit(float(SECOND)))
-    out = out.withColumns({"_n": F.count("*").over(w), "_s": F.sum("_g").over(w), "_q": F.sum(F.col("_g") * F.col("_g")).over(w), "_f": F.first("_g").over(w)})
-    n = F.col("_n") - 1
-    first = F.coalesce("_f", F.lit(0.0))
-    out = out.withColumns({"intervals_n": n, "_s": F.coalesce("_s", F.lit(0.0)) - first, "_q": F.coalesce("_q", F.lit(0.0)) - first * first})
+    out = df.withColumn("_in", first_of_instant())
+    # before the first row of an instant comes a row of the last instant
+    out = out.withColumn("_g", F.when(F.col("_in"), (F.col("t") - F.lag("t").over(_ordered())) / F.lit(float(SECOND))))
+    first = F.first(F.when(F.col("_in"), F.struct("_g")), ignorenulls=True).over(w)["_g"]
+    sums = {"_n": F.sum(F.col("_in").cast("long")).over(w), "_s": F.sum("_g").over(w), "_q": F.sum(F.col("_g") * F.col("_g")).over(w), "_f": F.coalesce(first, F.lit(0.0))}
+    if size:
+        z = F.when(F.col("_in"), F.col(size))
+        sums |= {"_z": F.count(z).over(w), "_zm": F.avg(z).over(w), "_zs": F.stddev_pop(z).over(w)}
+    out = out.withColumns(sums)
+    out = out.withColumns({"intervals_n": F.col("_n") - 1, "_s": F.coalesce("_s", F.lit(0.0)) - F.col("_f"), "_q": F.coalesce("_q", F.lit(0.0)) - F.col("_f") * F.col("_f")})
     out = out.withColumn("mean_interval", F.when(F.col("intervals_n") > 0, F.col("_s") / F.col("intervals_n")))
     variance = F.greatest(F.col("_q") / F.col("intervals_n") - F.col("mean_interval") * F.col("mean_interval"), F.lit(0.0))
-    cv = F.when((F.col("intervals_n") >= min_intervals) & (F.col("mean_interval") > 0), F.sqrt(variance) / F.col("mean_interval"))
-    return out.withColumn("interval_cv", cv).drop("_g", "_n", "_s", "_q", "_f")
+    mature = F.col("intervals_n") >= min_intervals
+    results = {"interval_cv": F.when(mature & (F.col("mean_interval") > 0), F.sqrt(variance) / F.col("mean_interval"))}
+    if size:
+        results["size_cv"] = F.when(mature & (F.col("_z") == F.col("_n")) & (F.col("_zm") != 0), F.col("_zs") / F.col("_zm"))
+    return out.withColumns(results).drop("_in", "_g", "_n", "_s", "_q", "_f", "_z", "_zm", "_zs")
 
 
 def geo_velocity(df: DataFrame, latitude: str, longitude: str, min_elapsed_ns: int = SECOND) -> DataFrame:

@@ -79,33 +79,51 @@ def value_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {E}, m AS (SELECT a.seq, count(*) AS n, list_sort(list(b.x))[CAST(ceil(0.9 * count(*)) AS INT)] AS q FROM e a JOIN e b ON b.entity = a.entity AND b.t >= a.t - {W30} AND b.t < a.t GROUP BY a.seq),
- r AS (SELECT a.seq, coalesce(n, 0) AS samples, CASE WHEN n >= 10 THEN q END AS envelope, a.x FROM e a LEFT JOIN m USING (seq))
+ c AS (SELECT a.seq, count(*) AS samples FROM e a JOIN e b ON b.entity = a.entity AND b.t >= a.t - {W30} AND (b.t, b.seq) <= (a.t, a.seq) AND b.x IS NOT NULL GROUP BY a.seq),
+ r AS (SELECT a.seq, samples, CASE WHEN n >= 10 THEN q END AS envelope, a.x FROM e a LEFT JOIN m USING (seq) LEFT JOIN c USING (seq))
  SELECT seq, samples, envelope, round(CASE WHEN envelope <> 0 THEN x / envelope END, 6) AS envelope_ratio, CASE WHEN envelope <> 0 THEN x / envelope END >= 1.5 AS breached FROM r""")
 def transfer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = trackers.transfer_envelope(events(spark, sf_dir), "x", quantile=0.9, multiplier=1.5, min_samples=10)
     return out.select("seq", "samples", "envelope", F.round("envelope_ratio", 6).alias("envelope_ratio"), "breached")
 
 
-@query(f"""WITH {E}, k AS (SELECT *, t // {W1D} AS bucket FROM e), p AS (SELECT entity, bucket, max(x) AS peak FROM k GROUP BY ALL),
- r AS (SELECT a.entity, a.bucket, max(b.peak) AS ref, count(b.peak) AS n FROM p a LEFT JOIN p b ON a.entity = b.entity AND b.bucket < a.bucket AND b.bucket >= a.bucket - 14 GROUP BY ALL)
+@query(f"""WITH {E}, k AS (SELECT *, t // {W1D} AS bucket FROM e), p AS (SELECT entity, bucket, max(x) AS peak, min(t) AS opened FROM k GROUP BY ALL),
+ r AS (SELECT a.entity, a.bucket, max(b.peak) AS ref, count(b.peak) AS n FROM p a LEFT JOIN p b ON a.entity = b.entity AND b.bucket < a.bucket AND (b.bucket + 1) * {W1D} > a.opened - {14 * DAY + 7 * HOUR} GROUP BY ALL)
  SELECT seq, k.bucket, ref AS peak_reference, n AS peak_buckets, round(x - ref, 6) AS peak_step, n >= 5 AND ref IS NOT NULL AS peak_mature FROM k JOIN r USING (entity, bucket)""")
 def bucket_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trackers.bucket_peak(events(spark, sf_dir), "x", W1D, 14 * DAY, 5)
+    out = trackers.bucket_peak(events(spark, sf_dir), "x", W1D, 14 * DAY + 7 * HOUR, 5)
     return out.select("seq", "bucket", "peak_reference", "peak_buckets", F.round("peak_step", 6).alias("peak_step"), "peak_mature")
 
 
-@query(f"""WITH {E}, m AS (SELECT a.seq, count(*) AS n, median(b.x) AS m FROM e a JOIN e b ON b.entity = a.entity AND b.t > a.t - {3 * DAY} AND b.t < a.t GROUP BY a.seq)
- SELECT a.seq, coalesce(n, 0) AS baseline_n, round(CASE WHEN n >= 5 THEN m END, 6) AS baseline, round(x - CASE WHEN n >= 5 THEN m END, 6) AS deviation FROM e a LEFT JOIN m USING (seq)""")
+#: Length of the slots that make rows tie: no divisor of the day, so that slopes a day don't end on a rounding's half.
+SLOT = 21_607 * 1_000_000_000
+#: SQL: readings in slots, so that many rows of an entity tie; ``fresh`` is the first row of its instant.
+TIED = f"r AS (SELECT seq, entity, x, v, t // {SLOT} * {SLOT} AS t FROM e), f AS (SELECT *, row_number() OVER (PARTITION BY entity, t ORDER BY seq) = 1 AS fresh FROM r)"
+
+
+def _tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).withColumn("t", F.floor(F.col("t") / SLOT) * SLOT)
+
+
+@query(f"""WITH {E}, {TIED}, m AS (SELECT a.seq, count(*) AS n, median(b.x) AS m FROM f a JOIN f b ON b.entity = a.entity AND b.fresh AND b.t > a.t - {3 * DAY} AND b.t < a.t GROUP BY a.seq)
+ SELECT a.seq, CASE WHEN fresh THEN coalesce(n, 0) END AS baseline_n, round(CASE WHEN fresh AND n >= 5 THEN m END, 6) AS baseline, round(x - CASE WHEN fresh AND n >= 5 THEN m END, 6) AS deviation FROM f a LEFT JOIN m USING (seq)""")
 def optical_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trackers.rolling_median(events(spark, sf_dir), "x", 3 * DAY)
+    out = trackers.rolling_median(_tied(spark, sf_dir), "x", 3 * DAY)
     return out.select("seq", "baseline_n", F.round("baseline", 6).alias("baseline"), F.round("deviation", 6).alias("deviation"))
 
 
-@query(f"""WITH {E}, m AS (SELECT a.seq, count(*) AS n, regr_slope(b.x, (b.t - a.t) / {float(DAY)}) AS s FROM e a JOIN e b ON b.entity = a.entity AND b.t > a.t - {7 * DAY} AND b.t <= a.t GROUP BY a.seq)
- SELECT seq, n AS fit_n, round(CASE WHEN n >= 12 THEN s END, 5) AS slope_per_day FROM m""")
+@query(f"""WITH {E}, {TIED}, o AS (SELECT *, CASE WHEN fresh AND lag(t) OVER w IS NOT NULL AND (v = 'error') <> lag(v = 'error') OVER w THEN 1 ELSE 0 END AS moved FROM f WINDOW w AS (PARTITION BY entity, fresh ORDER BY t, seq)),
+ p AS (SELECT *, sum(moved) OVER (PARTITION BY entity ORDER BY t, seq) AS epoch FROM o),
+ m AS (SELECT a.seq, count(*) AS n, regr_slope(b.x, (b.t - a.t) / {float(DAY)}) AS s, regr_intercept(b.x, (b.t - a.t) / {float(DAY)}) AS now, regr_sxx(b.x, (b.t - a.t) / {float(DAY)}) AS sxx, regr_sxy(b.x, (b.t - a.t) / {float(DAY)}) AS sxy, regr_syy(b.x, (b.t - a.t) / {float(DAY)}) AS syy
+  FROM p a JOIN p b ON b.entity = a.entity AND b.epoch = a.epoch AND b.fresh AND b.t > a.t - {14 * DAY} AND b.t <= a.t GROUP BY a.seq),
+ g AS (SELECT p.seq, x, n, CASE WHEN fresh AND n >= 5 THEN s END AS s, now, sqrt(greatest(syy - s * sxy, 0) / n) AS rms, sqrt(greatest(syy - s * sxy, 0) / (n - 2) / sxx) AS se FROM p JOIN m USING (seq)),
+ k AS (SELECT *, CASE WHEN s IS NULL THEN 'immature' WHEN x <= 20 THEN 'below_floor' WHEN rms > 120 THEN 'nonlinear' WHEN s >= 0 OR abs(s) / se < 1.5 THEN 'not_degrading' ELSE 'projected' END AS status FROM g)
+ SELECT seq, n AS fit_n, round(s, 5) AS slope_per_day, round(CASE WHEN s IS NOT NULL THEN rms END, 5) AS residual_rms, round(CASE WHEN s IS NOT NULL AND se > 0 THEN s / se END, 5) AS t_stat, status AS forecast_status,
+ round(CASE status WHEN 'below_floor' THEN 0 WHEN 'projected' THEN greatest((20 - now) / s, 0) END, 3) AS days_to_floor FROM k""")
 def optical_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trackers.level_forecast(events(spark, sf_dir), "x", 0.0)
-    return out.select("seq", F.col("fit_n").cast("long").alias("fit_n"), F.round("slope_per_day", 5).alias("slope_per_day"))
+    df = _tied(spark, sf_dir).withColumn("o", F.col("v") == "error")
+    out = trackers.level_forecast(df, "x", 20.0, 14 * DAY, 5, 120.0, 1.5, "o")
+    return out.select("seq", "fit_n", F.round("slope_per_day", 5).alias("slope_per_day"), F.round("residual_rms", 5).alias("residual_rms"), F.round("t_stat", 5).alias("t_stat"), "forecast_status", F.round("days_to_floor", 3).alias("days_to_floor"))
 
 
 @query(f"""WITH {E}, h AS (SELECT *, (t // {HOUR}) % 24 AS hour FROM e),
@@ -146,12 +164,13 @@ def link_flap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trackers.link_flap(df, "up", "ch", W1D).select("seq", "flaps", "flaps_in_window")
 
 
-@query(f"""WITH {E}, g AS (SELECT *, lag(t) OVER (PARTITION BY entity ORDER BY t, seq) AS pt FROM e),
- m AS (SELECT a.seq, count(b.pt) AS n, avg((b.t - b.pt) / 1e9) AS m, stddev_pop((b.t - b.pt) / 1e9) AS s FROM g a LEFT JOIN g b ON b.entity = a.entity AND b.t <= a.t AND b.pt >= a.t - {5 * DAY} GROUP BY a.seq)
- SELECT seq, n AS intervals_n, round(m, 3) AS mean_interval, round(CASE WHEN n >= 6 AND m > 0 THEN s / m END, 4) AS interval_cv FROM m""")
+@query(f"""WITH {E}, {TIED}, g AS (SELECT *, lag(t) OVER (PARTITION BY entity, fresh ORDER BY t, seq) AS pt FROM f),
+ m AS (SELECT a.seq, count(b.pt) AS n, avg((b.t - b.pt) / 1e9) AS m, stddev_pop((b.t - b.pt) / 1e9) AS s FROM g a LEFT JOIN g b ON b.entity = a.entity AND b.fresh AND b.t <= a.t AND b.pt >= a.t - {5 * DAY} GROUP BY a.seq),
+ z AS (SELECT a.seq, avg(b.x) AS zm, stddev_pop(b.x) AS zs FROM g a JOIN g b ON b.entity = a.entity AND b.fresh AND b.t <= a.t AND b.t >= a.t - {5 * DAY} GROUP BY a.seq)
+ SELECT seq, n AS intervals_n, round(m, 3) AS mean_interval, round(CASE WHEN n >= 4 AND m > 0 THEN s / m END, 4) AS interval_cv, round(CASE WHEN n >= 4 AND zm <> 0 THEN zs / zm END, 4) AS size_cv FROM m JOIN z USING (seq)""")
 def arrival_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trackers.arrival_regularity(events(spark, sf_dir), 5 * DAY, 6)
-    return out.select("seq", "intervals_n", F.round("mean_interval", 3).alias("mean_interval"), F.round("interval_cv", 4).alias("interval_cv"))
+    out = trackers.arrival_regularity(_tied(spark, sf_dir), 5 * DAY, 4, "x")
+    return out.select("seq", "intervals_n", F.round("mean_interval", 3).alias("mean_interval"), F.round("interval_cv", 4).alias("interval_cv"), F.round("size_cv", 4).alias("size_cv"))
 
 
 @query(f"""WITH {E}, l AS (SELECT *, CASE WHEN v <> 'error' THEN x % 90 END AS la, CASE WHEN v <> 'error' THEN (x * 7) % 180 END AS lo FROM e),

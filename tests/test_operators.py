@@ -54,6 +54,32 @@ def test_forecast_projects_a_falling_level(spark):
     assert first["forecast_status"] == "immature"
 
 
+def test_forecast_of_ties_gaps_and_new_optics(spark):
+    rows = [("a", k * trackers.HOUR, 2 * k, "m", -3.0 - 0.1 * k) for k in range(8)]
+    rows += [("a", 7 * trackers.HOUR, 15, "n", 50.0), ("a", 8 * trackers.HOUR, 16, "m", None), ("a", 9 * trackers.HOUR, 18, "m", -9.0), ("a", 10 * trackers.HOUR, 20, "n", -3.0)]
+    got = by_seq(trackers.level_forecast(frame(spark, rows), "x", -8.0, min_samples=4, max_residual=5.0, optic="v"), "forecast_status", "fit_n", "days_to_floor")
+    assert [g[0] for g in got] == ["immature"] * 3 + ["projected"] * 5 + ["immature", "no_reading", "below_floor", "immature"]
+    assert [g[1] for g in got] == [1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 9, 1] and got[10][2] == 0.0
+    none = trackers.level_forecast(frame(spark, rows), "x", None, min_samples=4).where("seq = 6").first()
+    assert none["forecast_status"] == "no_floor" and none["slope_per_day"] is not None
+
+
+def test_tied_polls_are_not_learned(spark):
+    rows = [("a", k, 2 * k, None, float(k)) for k in range(6)] + [("a", 5, 11, None, 99.0), ("a", 6, 12, None, None), ("a", 7, 14, None, 7.0)]
+    df = frame(spark, rows)
+    assert by_seq(trackers.rolling_median(df, "x", 100), "baseline", "deviation", "baseline_n")[5:] == [(2.0, 3.0, 5), (None, None, None), (2.5, None, 6), (2.5, 4.5, 6)]
+    assert by_seq(trackers.arrival_regularity(df, 100, 2, "x"), "intervals_n", "interval_cv", "size_cv")[5:7] == [(5, 0.0, 0.6831300510639732)] * 2
+    assert [r[2] for r in by_seq(trackers.arrival_regularity(df, 100, 2, "x"), "intervals_n", "interval_cv", "size_cv")[7:]] == [None, None]
+    assert by_seq(trackers.transfer_envelope(df, "x", 100, 0.5, 2.0, 5), "samples", "envelope", "breached")[5:] == [(6, 2.0, True), (7, 2.0, True), (None, None, None), (8, 3.0, True)]
+
+
+def test_buckets_expire_by_the_row_that_closes_them(spark):
+    late = frame(spark, [("a", 0, 1, None, 9.0), ("a", 10, 2, None, 1.0), ("a", 24, 3, None, 2.0)])
+    early = frame(spark, [("a", 0, 1, None, 9.0), ("a", 10, 2, None, 1.0), ("a", 29, 3, None, 2.0)])
+    assert by_seq(trackers.bucket_peak(late, "x", 10, 15, 1), "peak_reference")[2] == (9.0,)
+    assert by_seq(trackers.bucket_peak(early, "x", 10, 15, 1), "peak_reference")[2] == (1.0,)
+
+
 def test_pseudonyms_are_hmac(spark):
     for key in (b"k", b"x" * 100):
         got = spark.range(1).select(identity.pseudonymize(F.lit("wert-ü"), key)).first()[0]
