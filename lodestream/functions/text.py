@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.identity import normalize_text
+
+#: Spellings of handshake options by their short names, option orders of stock stacks, and folders of users: fixed values.
+OPTION_NAMES = {"maxseg": "mss", "wscale": "ws", "window_scale": "ws", "sackok": "sok", "sack_perm": "sok", "sack_permitted": "sok", "timestamp": "ts", "timestamps": "ts"}
+STACKS = {"mss,nop,ws,nop,nop,sok": "windows", "mss,sok,ts,nop,ws": "linux", "mss,nop,ws,nop,nop,ts,sok,eol": "darwin"}
+USER_FOLDERS = (r"^([a-z]:\\users\\)[^\\]+(\\)", r"^(/home/)[^/]+(/)", r"^(/users/)[^/]+(/)")
 #: Client families by the token that shows them, most specific first: fixed values.
 AGENTS = (("edge", "Edg/"), ("opera", "OPR/"), ("chrome", "Chrome/"), ("firefox", "Firefox/"), ("safari", "Safari/"), ("curl", "curl/"), ("wget", "Wget/"), ("python", "python"), ("go", "Go-http-client"), ("java", "Java/"), ("powershell", "PowerShell"), ("bot", "bot"))
 #: Media categories by type.
@@ -76,3 +82,79 @@ def public_suffix(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     known = names.join(best, "_n", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     known = known.select("_n", F.expr("array_join(slice(_l, -_k, _k), '.')").alias("public_suffix"), F.when(F.size("_l") > F.col("_k"), F.expr("array_join(slice(_l, -_k - 1, _k + 1), '.')")).alias("registered_domain"), F.when(F.size("_l") > F.col("_k") + 1, F.expr("array_join(slice(_l, 1, size(_l) - _k - 1), '.')")).alias("subdomain"))
     return df.withColumn("_n", F.lower(F.regexp_replace(F.col(name), r"\.$", ""))).join(known, "_n", "left").drop("_n")
+
+
+def subdomain_entropy(subdomain: Column) -> Column:
+    """Bits a character of a subdomain in lower case without its dots; null without one."""
+    return shannon_entropy(F.regexp_replace(F.lower(subdomain), r"\.", ""))
+
+
+def options_order(options: Column) -> Column:
+    """Options of a handshake's first packet in their order, each by its short name; unknown ones as they are."""
+    aliases = F.create_map(*(F.lit(x) for pair in OPTION_NAMES.items() for x in pair))
+    parts = F.filter(F.split(F.lower(options), "[,; ]"), lambda p: F.trim(p) != "")
+    short = F.transform(parts, lambda p: F.coalesce(F.try_element_at(aliases, F.trim(p)), F.trim(p)))
+    return F.when(F.size(short) > 0, F.array_join(short, ","))
+
+
+def stack_fingerprint(options: Column, mss: Column, window: Column) -> Column:
+    """options|mss|window; a size that is no whole number is empty, and without options there is no fingerprint."""
+    def whole(c: Column) -> Column:
+        number = c.try_cast("double")
+        return F.coalesce(F.when(number == F.floor(number), number.cast("long").cast("string")), F.lit(""))
+
+    order = options_order(options)
+    return F.when(order.isNotNull(), F.concat_ws("|", order, whole(mss), whole(window)))
+
+
+def stack_family(options: Column) -> Column:
+    order = options_order(options)
+    return F.coalesce(*(F.when(order == known, family) for known, family in STACKS.items()))
+
+
+def image_path(path: Column) -> Column:
+    """A program's path in lower case, without quotes, with any user's folder as ``*``; null if empty."""
+    text = F.lower(F.trim(F.trim(normalize_text(path), F.lit('"'))))
+    for folder in USER_FOLDERS:
+        text = F.regexp_replace(text, folder, "$1*$2")
+    return F.when(text != "", text)
+
+
+def quantize(value: Column, decimals: int = 4) -> Column:
+    """Rounded half to even, by the number's shortest decimal form; null stays null and NaN stays NaN."""
+    return F.when(F.isnan(value.cast("double")), F.lit(float("nan"))).otherwise(F.bround(value.cast("double"), decimals))
+
+
+def period_start(moment: Column, period: str) -> Column:
+    """The first instant of the moment's period: s, min (or T), H, D, M, Y; of W the Sunday that begins the week."""
+    units = {"s": "second", "T": "minute", "min": "minute", "H": "hour", "D": "day", "M": "month", "Y": "year"}
+    if period == "W":
+        day = F.date_trunc("day", moment)
+        return day - F.make_dt_interval(days=F.dayofweek(day) - 1)
+    if period not in units:
+        raise ValueError(f"unknown period: {period}")
+    return F.date_trunc(units[period], moment)
+
+
+def in_daily_window(t: Column, window: tuple[str, str]) -> Column:
+    """Does t (nanoseconds) fall between two HH:MM times of the UTC day, the second left out, over midnight if need be?"""
+    def second(clock: str) -> int:
+        hours, minutes = map(int, clock.split(":"))
+        if not (0 <= hours < 24 and 0 <= minutes < 60):
+            raise ValueError(f"not an HH:MM time: {clock}")
+        return hours * 3600 + minutes * 60
+
+    start, end = map(second, window)
+    if start == end:
+        raise ValueError("a window that admits nothing")
+    now = F.pmod(F.floor(t / 1_000_000_000), F.lit(86400))
+    return (now >= start) & (now < end) if start < end else (now >= start) | (now < end)
+
+
+def date_of_path(path: Column, pattern: str = r"(\d{4})-(\d{2})-(\d{2})(?:[T_ ](\d{2})[-_:]?(\d{2})[-_:]?(\d{2}))?", modified: Column | None = None) -> Column:
+    """The moment that a file's name tells: groups of the pattern are year to second, missing ones start the day; else the
+    file's own time, if given (``_metadata.file_modification_time``)."""
+    part = lambda k: F.coalesce(F.regexp_extract(path, pattern, k).try_cast("int"), F.lit(0))
+    told = F.try_make_timestamp(part(1), part(2), part(3), part(4), part(5), part(6).cast("decimal(8,6)"))
+    found = F.when(F.regexp_extract(path, pattern, 1) != "", told)
+    return F.coalesce(found, modified) if modified is not None else found

@@ -113,6 +113,15 @@ def test_entropy_of_nothing(spark):
     assert [r[0] for r in df.select(text.shannon_entropy(F.col("s"))).collect()] == [None, None, 0.0, 1.0]
 
 
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("2024-03-06 10:20:30", "logs/app-2024-02-29T01_02_03.json", 2.00005, "")], "at string, path string, x double, none string")
+    at = F.to_timestamp("at")
+    got = df.select(*(text.period_start(at, p) for p in ("min", "H", "D", "W", "M", "Y")), text.date_of_path(F.col("path")), text.date_of_path(F.col("none"), modified=at), text.date_of_path(F.col("none"))).first()
+    d = datetime.datetime
+    assert tuple(got) == (d(2024, 3, 6, 10, 20), d(2024, 3, 6, 10), d(2024, 3, 6), d(2024, 3, 3), d(2024, 3, 1), d(2024, 1, 1), d(2024, 2, 29, 1, 2, 3), d(2024, 3, 6, 10, 20, 30), None)
+    assert tuple(df.select(text.quantize(F.lit(0.5), 0), text.quantize(F.lit(2.5), 0), text.quantize(F.col("x")), text.image_path(F.lit("/home/Bob/Bin/Tool")), text.image_path(F.col("none")), text.subdomain_entropy(F.lit("A.b"))).first()) == (0.0, 2.0, 2.0, "/home/*/bin/tool", None, 1.0)
+
+
 def test_truncate_bytes_keeps_whole_characters(spark):
     df = spark.createDataFrame([("aé€𝄞x",), ("abc",), (None,)], "s string")
     for n in range(1, 12):
