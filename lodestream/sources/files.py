@@ -35,10 +35,14 @@ def read_table(spark: SparkSession, path: str, kind: str = "auto", schema: str |
 def read_sensor_log(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated log whose ``#fields`` and ``#types`` lines name and type the columns; ``time`` becomes a timestamp.
 
-    Only the header lines reach the driver, from one file; the rows are read by Spark.
+    Only the different header lines reach the driver; files of one call that differ in them are an error, as their rows
+    would be read by another file's columns.
     """
     lines = spark.read.text(path)
-    head = {r.value.split("\t", 1)[0]: r.value.split("\t")[1:] for r in lines.where(F.col("value").rlike("^#(fields|types|unset_field|empty_field)\t")).limit(1000).collect()}
+    headers = lines.where(F.col("value").rlike("^#(fields|types|unset_field|empty_field)\t")).distinct().limit(5).collect()
+    head = {r.value.split("\t", 1)[0]: r.value.split("\t")[1:] for r in headers}
+    if len(head) < len(headers):
+        raise ValueError(f"files of different columns, to be read one by one: {path}")
     names, kinds = head["#fields"], head["#types"]
     unset = head.get("#unset_field", ["-"])[0]
     parts = F.split("value", "\t")

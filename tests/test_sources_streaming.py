@@ -5,6 +5,7 @@ import http.server
 import json
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.sources import files, kafka, sinks
@@ -26,6 +27,14 @@ def test_sensor_log(spark, tmp_path):
     assert got == [(datetime.datetime(2023, 11, 14, 22, 13, 20, 500000), "C1", 80, True), (datetime.datetime(2023, 11, 14, 22, 13, 21), None, None, False)]
 
 
+def test_sensor_logs_of_different_columns_are_refused(spark, tmp_path):
+    for name, fields in (("a.log", "x\ty"), ("b.log", "y\tx")):
+        (tmp_path / name).write_text(f"#fields\t{fields}\n#types\tcount\tcount\n1\t2\n")
+    assert files.read_sensor_log(spark, str(tmp_path / "b.log")).first().asDict() == {"y": 1, "x": 2}
+    with pytest.raises(ValueError):
+        files.read_sensor_log(spark, str(tmp_path))
+
+
 def test_vendor_feeds(spark, tmp_path):
     (tmp_path / "e.xml").write_text("<Events><Event><Id>1</Id><Name>a</Name></Event><Event><Id>2</Id><Name>b</Name></Event></Events>")
     assert sorted(r.Id for r in files.read_xml_events(spark, str(tmp_path / "e.xml"), schema="Id long, Name string").collect()) == [1, 2]
