@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontamination, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from lodestream.llm import centroid_clusters, decontamination, hard_negatives, html_extract, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 from lodestream.session import load
 
 
@@ -63,13 +63,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs).select("doc_id", "license", "dice", F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(hard_negatives.MOVED).alias("label"))
+    return hard_negatives.mine_negatives(rows, "vec_id % 100 = 0")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_passages(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_html_extraction, op10_license_scan, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_language_id, op4_decontamination, op5_quality_rules, op6_packing, op7_line_dedup, op8_suffix_dedup, op9_html_extraction, op10_license_scan, op11_hard_negatives, op12_centroid_clusters, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op4_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op7_line_dedup": line_dedup.oracle(), "op10_license_scan": license_scan.oracle()}
+    return {"op1_url_filter": url_filter.oracle(), "op4_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op7_line_dedup": line_dedup.oracle(), "op10_license_scan": license_scan.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op12_centroid_clusters": centroid_clusters.oracle()}
