@@ -77,6 +77,25 @@ def distinct_increment(name: str, value: str, group: str, time: str, order: str,
     return Feature(name, "long", count)
 
 
+def day_of(time: str) -> Column:
+    """The row's day; rows without a time are the first day of the epoch's."""
+    return F.coalesce(F.to_date(time), F.lit("1970-01-01").cast("date"))
+
+
+def daily_counters(df: DataFrame, user: str, time: str, order: str, values: dict[str, Column]) -> DataFrame:
+    """day, logcount (rows of the user's day before this one) and for each name the different values of its column so far
+    in the day, in order of (time, order). Null values count none; rows without a time come first.
+
+    A value counts at its first row: one window by (user, day, value) marks those, a running sum counts the marks. No frame
+    collects a set."""
+    out = df.withColumns({"day": day_of(time)} | {f"_value_{n}": v for n, v in values.items()})
+    by_day = Window.partitionBy(user, "day").orderBy(time, order)
+    out = out.withColumns({"logcount": (F.row_number().over(by_day) - 1).cast("long")} | {f"_new_{n}": (F.col(f"_value_{n}").isNotNull() & (F.row_number().over(Window.partitionBy(user, "day", f"_value_{n}").orderBy(time, order)) == 1)).cast("long") for n in values})
+    upto = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({n: F.sum(f"_new_{n}").over(upto) for n in values})
+    return out.drop(*(f"_{k}_{n}" for n in values for k in ("value", "new")))
+
+
 @dataclass(frozen=True)
 class Schema:
     """Features, columns of the input to keep (a pattern), and a row filter over the result."""

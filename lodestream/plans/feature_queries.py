@@ -144,3 +144,13 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).select("seq", F.array(F.col("x") / 100, (F.col("x") % 10) / 10).alias("p"), F.array(F.when(F.col("x") > 20, 1.0).otherwise(0.0), F.when(F.col("x") % 10 > 5, 1.0).otherwise(0.0)).alias("q"))
     out = schema.add_scores(schema.add_classes(df, "q", ["high", "odd"], 0.5, "is_"), "p", ["high", "odd"], "s_")
     return out.select("seq", "is_high", "is_odd", F.round("s_high", 6).alias("s_high"), F.round("s_odd", 6).alias("s_odd"))
+
+
+@query("""SELECT event_id AS seq, CAST(ts AS DATE) AS day, row_number() OVER w - 1 AS logcount, count(DISTINCT event_type) OVER w AS appincrement,
+    count(DISTINCT CAST(floor(value / 10) AS BIGINT)) OVER w AS locincrement
+    FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sources: rows, applications and places of a user's day so far."""
+    raw = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    out = schema.daily_counters(raw, "user_id", "ts", "event_id", {"appincrement": F.col("event_type"), "locincrement": F.floor(F.col("value") / 10)})
+    return out.select(F.col("event_id").alias("seq"), "day", "logcount", "appincrement", "locincrement")
