@@ -11,11 +11,29 @@ from lodestream.functions.identity import normalize_text
 OPTION_NAMES = {"maxseg": "mss", "wscale": "ws", "window_scale": "ws", "sackok": "sok", "sack_perm": "sok", "sack_permitted": "sok", "timestamp": "ts", "timestamps": "ts"}
 STACKS = {"mss,nop,ws,nop,nop,sok": "windows", "mss,sok,ts,nop,ws": "linux", "mss,nop,ws,nop,nop,ts,sok,eol": "darwin"}
 USER_FOLDERS = (r"^([a-z]:\\users\\)[^\\]+(\\)", r"^(/home/)[^/]+(/)", r"^(/users/)[^/]+(/)")
-#: Client families by the token that shows them, most specific first: fixed values.
-AGENTS = (("edge", "Edg/"), ("opera", "OPR/"), ("chrome", "Chrome/"), ("firefox", "Firefox/"), ("safari", "Safari/"), ("curl", "curl/"), ("wget", "Wget/"), ("python", "python"), ("go", "Go-http-client"), ("java", "Java/"), ("powershell", "PowerShell"), ("bot", "bot"))
-#: Media categories by type.
-MEDIA = {"text": "text", "image": "image", "audio": "audio", "video": "video", "font": "font"}
-MEDIA_EXACT = {"application/json": "text", "application/xml": "text", "application/javascript": "script", "text/javascript": "script", "application/pdf": "document", "application/zip": "archive", "application/gzip": "archive", "application/x-tar": "archive", "application/x-msdownload": "executable", "application/x-executable": "executable", "application/octet-stream": "binary"}
+#: What clients write of themselves (their makers' documentation): the token of each browser, most specific first, as others' tokens stand beside it; and of each platform.
+BROWSERS = {"edge": ("Edg/", "EdgA/"), "chrome": ("Chrome/", "CriOS/"), "firefox": ("Firefox/", "FxiOS/"), "safari": ("Safari/",)}
+PLATFORMS = {"ios": ("iPhone", "iPad"), "android": ("Android",), "chromeos": ("CrOS",), "windows": ("Windows NT",), "macos": ("Macintosh", "Mac OS X"), "linux": ("Linux", "X11")}
+PLATFORM_STACKS = {"windows": "windows", "macos": "darwin", "ios": "darwin", "linux": "linux", "android": "linux", "chromeos": "linux"}
+#: Categories of media: by subtype, which decides, and by top-level type. Fixed values.
+MEDIA_SUBTYPES = {
+    "archive": ("zip", "x-zip-compressed", "gzip", "x-gzip", "x-tar", "x-bzip2", "x-xz", "x-7z-compressed", "x-rar-compressed", "vnd.rar", "java-archive"),
+    "executable": ("x-dosexec", "x-msdownload", "vnd.microsoft.portable-executable", "x-elf", "x-executable", "x-sharedlib", "x-mach-binary", "x-msi"),
+    "document": ("pdf", "msword", "rtf", "vnd.ms-excel", "vnd.ms-powerpoint", "vnd.oasis.opendocument.text", *(f"vnd.openxmlformats-officedocument.{x}" for x in ("wordprocessingml.document", "spreadsheetml.sheet", "presentationml.presentation"))),
+    "text": ("json", "xml", "javascript", "x-javascript", "x-www-form-urlencoded", "sql", "csv"),
+    "certificate": ("x-x509-ca-cert", "x-pem-file", "pkix-cert", "pkcs7-mime", "x-pkcs12"),
+}
+MEDIA_TOPS = ("image", "video", "audio", "text", "font")
+#: Strength of suites by their registered names, weakest first; what has no forward secrecy or no authentication is lower. Fixed values.
+BROKEN_SUITES = ("NULL", "ANON", "EXPORT", "RC4", "DES_CBC", "3DES", "DES40", "IDEA", "SEED", "RC2", "MD5")
+SUITE_TIERS = {
+    1: r"TLS_RSA_WITH_AES_(128|256)_CBC_SHA(256)?",
+    2: r"TLS_RSA_WITH_AES_(128_GCM_SHA256|256_GCM_SHA384)",
+    3: r"TLS_(DHE_RSA_WITH_AES_(128|256)_CBC_SHA(256)?|ECDHE_(ECDSA|RSA)_WITH_AES_(128_CBC_SHA(256)?|256_CBC_SHA(384)?))",
+    4: r"TLS_(DHE_RSA|ECDHE_ECDSA|ECDHE_RSA)_WITH_(AES_128_GCM_SHA256|AES_256_GCM_SHA384|CHACHA20_POLY1305_SHA256)",
+    5: r"TLS_(AES_128_GCM_SHA256|AES_256_GCM_SHA384|CHACHA20_POLY1305_SHA256|AES_128_CCM_SHA256|AES_128_CCM_8_SHA256)",
+}
+TIER_NAMES = ("broken", "legacy", "legacy_aead", "forward_cbc", "forward_aead", "modern")
 
 
 def char_counts(text: Column) -> Column:
@@ -38,32 +56,48 @@ def mean_label_length(name: Column) -> Column:
     return F.when(F.size(labels) > 0, total / F.size(labels))
 
 
+def _named(text: Column, tokens: dict[str, tuple[str, ...]]) -> Column:
+    """The first name one of whose tokens the text holds; null without one."""
+    return F.coalesce(*(F.when(F.greatest(F.lit(False), *(text.contains(t) for t in held)), name) for name, held in tokens.items()))
+
+
 def user_agent_family(agent: Column) -> Column:
-    out = F.when(agent.isNull(), F.lit(None).cast("string"))
-    for family, token in AGENTS:
-        out = out.when(F.lower(agent).contains(token.lower()), family)
-    return out.otherwise("other")
+    """A browser's family (``mozilla`` if a browser's header names none that is known), else the header's first product token in
+    lower case; null without one."""
+    own = F.trim(agent)
+    product = F.lower(F.nullif(F.regexp_extract(own, r"^([A-Za-z][A-Za-z0-9._+-]*)", 1), F.lit("")))
+    return F.when(own.startswith("Mozilla/"), F.coalesce(_named(own, BROWSERS), F.lit("mozilla"))).otherwise(product)
+
+
+def user_agent_os(agent: Column) -> Column:
+    """The platform that the header names; null if it names none."""
+    return _named(F.trim(agent), PLATFORMS)
+
+
+def stack_for(platform: Column) -> Column:
+    """The network stack that a platform runs: windows, darwin or linux."""
+    return F.coalesce(*(F.when(platform == name, stack) for name, stack in PLATFORM_STACKS.items()))
 
 
 def media_category(kind: Column) -> Column:
-    """Category of a media type, parameters aside; null if unknown."""
+    """Category of a media type, parameters aside: by its subtype, else by its top-level type; null if neither is known."""
     plain = F.lower(F.trim(F.substring_index(kind, ";", 1)))
-    out = F.when(plain.isNull(), F.lit(None).cast("string"))
-    for name, category in MEDIA_EXACT.items():
-        out = out.when(plain == name, category)
-    for top, category in MEDIA.items():
-        out = out.when(F.substring_index(plain, "/", 1) == top, category)
-    return out
+    slash = F.instr(plain, "/")
+    top, sub = F.substring_index(plain, "/", 1), F.substring(plain, slash + 1, F.length(plain))
+    by_sub = F.coalesce(*(F.when(sub.isin(*held), name) for name, held in MEDIA_SUBTYPES.items()))
+    return F.when(slash > 0, F.coalesce(by_sub, F.when(top.isin(*MEDIA_TOPS), top)))
 
 
 def cipher_rank(name: Column) -> Column:
-    """Strength of a TLS suite by its name, 0 (none) to 5 (authenticated, with forward secrecy); null if unknown."""
-    n = F.upper(F.regexp_replace(name, "-", "_"))
-    forward, aead = n.rlike("ECDHE|DHE|^TLS_(AES|CHACHA20)"), n.rlike("GCM|CCM|CHACHA20")
-    return (
-        F.when(n.rlike("NULL|ANON|EXPORT"), 0).when(n.rlike("3DES|DES_CBC3"), 2).when(n.rlike("RC4|RC2|(^|_)DES(_|$)|MD5"), 1)
-        .when(forward & aead, 5).when(aead | (forward & n.rlike("SHA(256|384)")), 4).when(n.rlike("AES|CAMELLIA|ARIA|SEED"), 3)
-    )
+    """Strength of a TLS suite by its registered name, hyphens and blanks taken as underscores: 0 broken to 5 modern; null if unknown."""
+    n = F.upper(F.regexp_replace(F.trim(name), r"[\s-]+", "_"))
+    known = F.coalesce(*(F.when(n.rlike(f"^{pattern}$"), rank) for rank, pattern in SUITE_TIERS.items()))
+    return F.when(n.rlike("|".join(BROKEN_SUITES)), 0).otherwise(known)
+
+
+def cipher_tier(rank: Column) -> Column:
+    """The rank's name."""
+    return F.get(F.array(*(F.lit(t) for t in TIER_NAMES)), rank)
 
 
 def public_suffix(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:

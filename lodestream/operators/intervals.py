@@ -109,6 +109,7 @@ def pair_sessions(df: DataFrame, begin: Column, finish: Column, timeout_ns: int)
     out = out.withColumns({"start_t": F.last(F.when(F.col("_b"), F.col("t")), ignorenulls=True).over(before), "attempts": F.coalesce(F.sum(F.col("_b").cast("long")).over(before), F.lit(0)), "_next": F.lead("t").over(Window.partitionBy("entity").orderBy("t", "seq"))})
     fresh = F.col("t") - F.col("start_t") <= timeout_ns
     ended = out.where("_f").select("entity", "t", "seq", F.when(fresh, F.col("start_t")).alias("start_t"), F.when(fresh, F.col("attempts")).otherwise(0).alias("attempts"), F.when(fresh, F.col("t") - F.col("start_t")).alias("elapsed_ns"), F.when(fresh, "paired").otherwise("unpaired").alias("outcome"))
-    later = F.min(F.when(F.col("_f") | F.col("_b"), F.col("t"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the next marked row, in one pass: a frame that ends with the partition would be gone through for each row
+    later = F.expr("lead(CASE WHEN _f OR _b THEN t END, 1) IGNORE NULLS OVER (PARTITION BY entity ORDER BY t, seq)")
     left = out.withColumn("_later", later).where(F.col("_b") & (F.col("_later").isNull() | (F.col("_later") - F.col("t") > timeout_ns)))
     return ended.unionByName(left.select("entity", "t", "seq", F.col("t").alias("start_t"), F.lit(1).cast("long").alias("attempts"), F.lit(None).cast("long").alias("elapsed_ns"), F.lit("abandoned").alias("outcome")))

@@ -329,7 +329,7 @@ def tc6_certificate(df: DataFrame, keys: tuple[str, ...] = ("sni",), issuer: str
 def tc6_cipher(df: DataFrame, keys: tuple[str, ...] = ("src_ip", "dst_ip"), cipher: str = "cipher_suite", window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:
     out = df.withColumn("cipher_rank", text.cipher_rank(F.col(cipher)))
     out = track(out, list(keys), lambda d: trackers.value_floor(d, "v", window_ns, min_samples), {"v": "cipher_rank"}, {"floor_value": "cipher_floor", "below_floor": "cipher_downgraded"})
-    return out.withColumns({"cipher_mature": F.col("cipher_floor").isNotNull(), "cipher_unrecognized": F.col(cipher).isNotNull() & F.col("cipher_rank").isNull()})
+    return out.withColumns({"cipher_tier": text.cipher_tier(F.col("cipher_rank")), "cipher_mature": F.col("cipher_floor").isNotNull(), "cipher_unrecognized": F.col(cipher).isNotNull() & F.col("cipher_rank").isNull()})
 
 
 def tc6_content(df: DataFrame, declared: str = "declared", detected: str = "detected") -> DataFrame:
@@ -359,7 +359,7 @@ def tc7_dns(df: DataFrame, suffixes: DataFrame, key: str = "src_ip", query: str
 
 def tc7_http(df: DataFrame, key: str = "src_ip", status: str = "status_code", path: str = "url_path", agent: str = "user_agent", window_ns: int = 10 * MINUTE, min_days: int = 7) -> DataFrame:
     """Status class, refused and served requests in the window, different paths against the busiest day, and the agent."""
-    out = df.withColumns({"http_status_class": F.floor(F.col(status) / 100).cast("int"), "http_user_agent_family": text.user_agent_family(F.col(agent))})
+    out = df.withColumns({"http_status_class": F.floor(F.col(status) / 100).cast("int"), "http_user_agent_family": text.user_agent_family(F.col(agent)), "http_user_agent_os": text.user_agent_os(F.col(agent))})
     for name, c in (("4xx", 4), ("2xx", 2)):
         out = track(out, [key], lambda d: trackers.ratio_window(d, F.col("f"), window_ns, 1), {"f": F.col("http_status_class") == c}, {"numerator": f"http_{name}_in_window"})
     out = novelty(distinct(out, [key], path, "http_distinct_paths", window_ns), [key], "http_user_agent_family")

@@ -23,8 +23,10 @@ def _ordered(*keys: str) -> Window:
 
 def _after_in_tie(value: Column) -> Column:
     """Sum of value over the rows of the same instant that come after this row."""
-    w = Window.partitionBy("entity", "t").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    return F.coalesce(F.sum(value).over(w), F.lit(0))
+    # the instant's total less the running sum: a frame that ends with the partition would be summed anew for each row
+    instant = Window.partitionBy("entity", "t")
+    upto = instant.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.sum(value).over(instant), F.lit(0)) - F.coalesce(F.sum(value).over(upto), F.lit(0))
 
 
 def _trailing_sum(value: Column, window_ns: int, whole: bool = True) -> Column:
@@ -60,11 +62,11 @@ def distinct_window(df: DataFrame, value: str, window_ns: int = HOUR) -> DataFra
         "_end": known & F.coalesce(F.lead("t").over(by_value) - F.col("t") >= window_ns, F.lit(True)),
         "total_n": _trailing_sum(known.cast("long"), window_ns),
     })
-    steps = out.withColumns({"_step": F.coalesce(F.col("first_in_window").cast("long"), F.lit(0)), "_row": F.lit(1)})
-    gone = out.where("_end").withColumns({"t": F.col("t") + window_ns, "_step": F.lit(-1).cast("long"), "_row": F.lit(0)})
-    order = Window.partitionBy("entity").orderBy("t", "_row", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = steps.unionByName(gone).withColumn("distinct_n", F.sum("_step").over(order))
-    return both.where("_row = 1").drop("_end", "_step", "_row")
+    # the end of a run comes as a copy of its last row, made in the same pass, and ahead of rows of that instant
+    out = out.withColumn("_gone", F.explode(F.when(F.col("_end"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    out = out.withColumns({"_at": F.col("t") + F.col("_gone") * F.lit(window_ns), "_step": F.when(F.col("_gone") == 1, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("first_in_window").cast("long"), F.lit(0)))})
+    order = Window.partitionBy("entity").orderBy("_at", F.desc("_gone"), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("distinct_n", F.sum("_step").over(order)).where("_gone = 0").drop("_end", "_gone", "_at", "_step")
 
 
 def ratio_window(df: DataFrame, flag: Column, window_ns: int = 5 * MINUTE, min_denominator: int = 10) -> DataFrame:

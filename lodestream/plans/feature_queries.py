@@ -66,19 +66,26 @@ def public_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.public_suffix(df, "name", spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
 
 
-AGENTS = ("Mozilla/5.0 Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 Chrome/119 Safari/537", "Mozilla/5.0 Firefox/121", "curl/8.1", "python-requests/2.31", "SomethingElse")
-KINDS = ("text/html; charset=utf-8", "image/png", "application/zip", "application/x-msdownload", "weird/type", "APPLICATION/JSON")
-SUITES = ("TLS_AES_128_GCM_SHA256", "ECDHE-RSA-AES256-SHA384", "AES128-SHA", "DES-CBC3-SHA 3DES", "RC4-MD5", "NULL-SHA")
+AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) Chrome/120.0 Safari/537.36 Edg/120.0", "Mozilla/5.0 (Linux; Android 14) Chrome/119.0 Mobile Safari/537.36 EdgA/119.0", "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_1) Chrome/119.0 Safari/537.36",
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) CriOS/119.0 Mobile Safari/604.1", "Mozilla/5.0 (iPad; CPU OS 17_1 like Mac OS X) FxiOS/120.0 Safari/605.1", "Mozilla/5.0 (X11; Ubuntu; rv:121.0) Gecko/20100101 Firefox/121.0",
+    "Mozilla/5.0 (X11; CrOS x86_64 14541) Chrome/119.0 Safari/537.36", "Mozilla/5.0 (compatible; Thing/2)", " curl/8.1", "python-requests/2.31", "(none)", "",
+)
+FAMILIES = ("edge", "edge", "chrome", "chrome", "firefox", "firefox", "chrome", "mozilla", "curl", "python-requests", None, None)
+PLATFORMS = ("windows", "android", "macos", "ios", "ios", "linux", "chromeos", None, None, None, None, None)
+PLATFORM_STACKS = ("windows", "linux", "darwin", "darwin", "darwin", "linux", "linux", None, None, None, None, None)
 
 
-def _listed(names: tuple[str, ...]) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+def _listed(names: tuple[str | None, ...]) -> str:
+    return "[" + ", ".join(f"'{n}'" if n is not None else "NULL" for n in names) + "]"
 
 
-@query(f"""WITH {E} SELECT seq, ({_listed(('edge', 'chrome', 'firefox', 'curl', 'python', 'other'))})[1 + seq % 6] AS agent, (['text', 'image', 'archive', 'executable', NULL, 'text'])[1 + seq % 6] AS media, CAST(([5, 4, 3, 2, 1, 0])[1 + seq % 6] AS INT) AS cipher FROM e""")
+@query(f"""WITH {E} SELECT seq, ({_listed(FAMILIES)})[1 + seq % 12] AS family, ({_listed(PLATFORMS)})[1 + seq % 12] AS platform, ({_listed(PLATFORM_STACKS)})[1 + seq % 12] AS stack FROM e""")
 def client_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda names: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("seq") % 6 + 1).cast("int"))
-    return events(spark, sf_dir).select("seq", text.user_agent_family(pick(AGENTS)).alias("agent"), text.media_category(pick(KINDS)).alias("media"), text.cipher_rank(pick(SUITES)).alias("cipher"))
+    """Headers of each browser and platform, and of tools."""
+    agent = F.element_at(F.array(*(F.lit(n) for n in AGENTS)), (F.col("seq") % 12 + 1).cast("int"))
+    platform = text.user_agent_os(agent)
+    return events(spark, sf_dir).select("seq", text.user_agent_family(agent).alias("family"), platform.alias("platform"), text.stack_for(platform).alias("stack"))
 
 
 @query(f"""WITH {E}, r AS (SELECT seq, (['  Host-A.Corp.Example. ', 'nan', '10.0.0.1', '', 'b', '7.0'])[1 + seq % 6] AS raw, entity, v FROM e)

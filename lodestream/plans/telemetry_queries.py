@@ -204,16 +204,49 @@ def tc6_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc6_certificate(df, ("service_key",), subject="mac", warmup_ns=HOUR).select("seq", "cert_self_signed", "cert_issuer_new_to_estate", "cert_issuer_distinct")
 
 
-@query()
+KX = ("ECDHE_ECDSA", "ECDHE_RSA", "DHE_RSA", "RSA", "DH_anon", "")
+BULK = ("AES_128_GCM_SHA256", "AES_256_GCM_SHA384", "CHACHA20_POLY1305_SHA256", "AES_128_CBC_SHA", "AES_128_CBC_SHA256", "AES_256_CBC_SHA384", "3DES_EDE_CBC_SHA", "RC4_128_MD5", "CAMELLIA_128_CBC_SHA", "AES_128_CCM_SHA256")
+
+
+def _picked(names: tuple[str, ...], place: str) -> str:
+    """SQL for either engine: one of the names by place."""
+    return "CASE " + place + "".join(f" WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END"
+
+
+@query(f"""{W}, p AS (SELECT *, {_picked(KX, "seq % 6")} AS kx, {_picked(BULK, "seq // 6 % 10")} AS bulk FROM scored),
+ c AS MATERIALIZED (SELECT *, CASE WHEN kx = 'DH_anon' OR bulk IN ('3DES_EDE_CBC_SHA', 'RC4_128_MD5') THEN 0
+   WHEN kx = '' THEN CASE WHEN bulk LIKE '%GCM%' OR bulk LIKE 'CHACHA%' OR bulk LIKE '%CCM%' THEN 5 END
+   WHEN kx = 'RSA' THEN CASE WHEN bulk LIKE '%GCM%' THEN 2 WHEN bulk LIKE 'AES_128_CBC%' THEN 1 END
+   WHEN bulk LIKE '%GCM%' OR bulk LIKE 'CHACHA%' THEN 4 WHEN bulk LIKE 'AES_128_CBC%' OR (bulk = 'AES_256_CBC_SHA384' AND kx <> 'DHE_RSA') THEN 3 END AS tier FROM p),
+ f AS (SELECT seq, tier, CASE WHEN {_sub('count(b.tier)', 'src_ip', 30 * DAY, before=True, source='c')} >= 5 THEN {_sub('min(b.tier)', 'src_ip', 30 * DAY, before=True, source='c')} END AS least FROM c a)
+ SELECT seq, CAST(tier AS INTEGER) AS cipher_rank, (['broken', 'legacy', 'legacy_aead', 'forward_cbc', 'forward_aead', 'modern'])[1 + tier] AS cipher_tier, CAST(least AS INTEGER) AS cipher_floor,
+ tier < least AS cipher_downgraded, least IS NOT NULL AS cipher_mature, tier IS NULL AS cipher_unrecognized FROM f""")
 def tc6_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suite = F.expr("CASE seq % 3 WHEN 0 THEN 'TLS_AES_128_GCM_SHA256' WHEN 1 THEN 'TLS_RSA_WITH_RC4_128_SHA' ELSE 'TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256' END")
-    return tc.tc6_cipher(scored(spark, sf_dir).withColumn("cipher_suite", suite).drop("cipher_downgraded"), ("src_ip",)).select("seq", "cipher_rank", "cipher_floor", "cipher_downgraded")
+    """Suites of every tier and of none, some spelled with hyphens and in lower case."""
+    df = scored(spark, sf_dir).drop("cipher_downgraded", "cipher_tier").withColumns({"kx": F.expr(_picked(KX, "seq % 6")), "bulk": F.expr(_picked(BULK, "seq div 6 % 10"))})
+    suite = F.when(F.col("kx") == "", F.concat(F.lit("TLS_"), "bulk")).otherwise(F.concat(F.lit("TLS_"), "kx", F.lit("_WITH_"), "bulk"))
+    df = df.withColumn("cipher_suite", F.when(F.col("seq") % 4 == 0, F.lower(F.translate(suite, "_", "-"))).otherwise(suite))
+    return tc.tc6_cipher(df, ("src_ip",)).select("seq", "cipher_rank", "cipher_tier", "cipher_floor", "cipher_downgraded", "cipher_mature", "cipher_unrecognized")
 
 
-@query()
+TOPS = ("image", "video", "audio", "text", "font", "application", "model")
+SUBS = ("png", "zip", "x-dosexec", "pdf", "javascript", "pkix-cert", "octet-stream", "x-7z-compressed; x=y", "CSV ; charset=utf-8", "vnd.openxmlformats-officedocument.spreadsheetml.sheet", "x-msi")
+
+
+def _media(top: str, sub: str) -> str:
+    """SQL: the category by the parts."""
+    return f"""CASE WHEN {top} IS NULL THEN NULL WHEN {sub} LIKE '%zip%' OR {sub} LIKE 'x-7z%' THEN 'archive' WHEN {sub} IN ('x-dosexec', 'x-msi') THEN 'executable' WHEN {sub} = 'pdf' OR {sub} LIKE '%sheet' THEN 'document'
+        WHEN {sub} = 'javascript' OR {sub} LIKE 'CSV%' THEN 'text' WHEN {sub} = 'pkix-cert' THEN 'certificate' WHEN {top} NOT IN ('application', 'model') THEN {top} END"""
+
+
+@query(f"""{W}, p AS (SELECT seq, CASE WHEN seq % 13 > 0 THEN {_picked(TOPS, "seq % 7")} END AS t1, {_picked(SUBS, "seq // 7 % 11")} AS s1, {_picked(TOPS, "seq // 5 % 7")} AS t2, {_picked(SUBS, "seq % 11")} AS s2 FROM scored),
+ c AS (SELECT seq, t1, {_media('t1', 's1')} AS a, {_media('t2', 's2')} AS b FROM p)
+ SELECT seq, a AS content_category_declared, b AS content_category_detected, a <> b AS content_category_crossed, (t1 IS NOT NULL AND a IS NULL) OR b IS NULL AS content_category_unclassified FROM c""")
 def tc6_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = lambda k: F.expr(f"CASE (seq + {k}) % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'text/html; charset=utf-8' END")
-    return tc.tc6_content(scored(spark, sf_dir).withColumns({"declared": kind(0), "detected": kind(1)})).select("seq", "content_category_declared", "content_category_crossed", "content_category_unclassified")
+    """Types of every category and of none, with parameters and capitals."""
+    kind = lambda top, sub: F.concat(F.expr(_picked(TOPS, top)), F.lit("/"), F.expr(_picked(SUBS, sub)))
+    df = scored(spark, sf_dir).withColumns({"declared": F.when(F.col("seq") % 13 > 0, kind("seq % 7", "seq div 7 % 11")), "detected": kind("seq div 5 % 7", "seq % 11")})
+    return tc.tc6_content(df).select("seq", "content_category_declared", "content_category_detected", "content_category_crossed", "content_category_unclassified")
 
 
 @query(f"""{W} SELECT seq, {_novel('src_ip', 'ja4', 'ja4')}, {_sub('count(b.ja4)', 'src_ip', where='b.seq <> a.seq')} AS ja4_observations FROM scored a""")
