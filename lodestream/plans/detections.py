@@ -81,49 +81,36 @@ def _rule(rule: str, score: str, where: str, entity: str, **more) -> Search:  #
     return Search(rule.lower().replace("-", "_"), where, out, by, rule=rule, score=score, entity=entity, **more)
 
 
-#: Which signals raise which rule, with its thresholds and scores.
+#: Which signals raise which rule, with its thresholds and scores. Rules of other shapes stand in rule_searches.
 RULES = (
     _rule("R-D-L1-001", "65", "osi_layer = 1 AND transceiver_serial_changed AND link_flaps = 0 AND oper_status <> 'down'", "entity"),
-    _rule("R-P-L1-004", "45", "osi_layer = 1 AND forecast_status = 'projected' AND days_to_floor <= 14", "port_key", by=("port_key",), out={"days_to_floor": "min(days_to_floor)", "rx_dbm": "latest(rx_dbm)"}),
-    _rule("R-D-L1-002", "70", "osi_layer = 1 AND rx_deviation <= -1.0 AND baseline_samples >= 10 AND NOT transceiver_serial_changed AND abs(tx_deviation) < 0.5", "port_key", by=("port_key",), out={"rx_deviation_db": "min(rx_deviation)", "rx_now": "latest(rx_dbm)"}),
     _rule("R-D-L1-003", "30", "osi_layer = 1 AND flaps_in_window >= 10 AND NOT device_reset", "port_key", by=("port_key",), out={"transitions_in_hour": "max(flaps_in_window)", "transitions": "sum(link_flaps)"}),
     _rule("R-B-L1-005", "25", "osi_layer = 1 AND baseline_mature AND step > 0.1", "port_key", by=("port_key",), out={"errors_per_second": "max(rate)", "baseline": "max(baseline_max)", "peak_step": "max(step)"}),
     _rule("R-D-L1-006", "40", "osi_layer = 1 AND neighbor_changed AND first_seen AND neighbor IS NOT NULL", "port_key", out={"seq": "seq", "t": "t", "neighbor": "neighbor"}),
     _rule("R-B-L1-007", "30", "osi_layer = 1 AND baseline_mature AND (rate > 2 * baseline_max OR (baseline_min > 0 AND rate < 0.1 * baseline_min))", "port_key", by=("port_key",), out={"directions": "values(CASE WHEN rate > baseline_max THEN 'surge' ELSE 'silence' END)", "bits": "max(rate)"}),
     _rule("R-D-L1-008", "50", "osi_layer = 1 AND config_changed AND NOT change_in_window", "device_key"),
     _rule("R-P-L1-009", "60", "osi_layer = 1 AND baseline_mature AND rising >= 3", "device_key"),
-    _rule("R-D-L1-010", "35", "osi_layer = 1 AND ctx_found AND commissioning_rx IS NOT NULL AND NOT transceiver_serial_changed AND round(commissioning_rx - rx_dbm, 3) >= 1.5", "port_key", by=("port_key",), out={"rx_below_commissioning_db": "max(round(commissioning_rx - rx_dbm, 3))"}),
     _rule("R-D-L2-004", "60", "osi_layer = 2 AND bind_end_reason IN ('conflict', 'displaced') AND bind_gap_ns <= 60000000000", "mac", out={"seq": "seq", "t": "t", "gap_seconds": "bind_gap_ns / 1000000000"}),
     _rule("R-D-L2-005", "50", "osi_layer = 2 AND auth_unpaired", "port_key"),
     _rule("R-D-L2-001", "40", "osi_layer = 2 AND first_in_window", "port_key", out={"seq": "seq", "t": "t", "port_key": "port_key", "macs": "distinct_n"}, lookup=("port_designations", "port_key"), having="designation = 'single-host' AND distinct_n > coalesce(max_macs, 1)"),
     _rule("R-B-L2-002", "35", "osi_layer = 2 AND first_in_window AND step > 0", "port_key", by=("port_key", "designation"), out={"macs_in_window": "max(distinct_n)", "baseline": "max(baseline_max)"}, lookup=("port_designations", "port_key"), having="NOT (designation = 'trunk' OR designation = 'lag-member')"),
     _rule("R-D-L2-003", "55", "osi_layer = 2 AND claimants > 1 AND NOT excluded", "src_ip", by=("src_ip",), out={"most_claimants": "max(claimants)", "claimant_macs": "values(mac)"}),
-    _rule("R-B-L2-006", "25", "osi_layer = 2 AND first_in_window AND baseline_mature AND step > 0", "vlan", by=("vlan",), out={"vendors_in_window": "max(distinct_n)", "new_ouis": "values(oui)"}),
     _rule("R-B-L2-007", "20", "osi_layer = 2 AND ratio >= 2 AND attempts >= 3", "port_key"),
     _rule("R-B-L2-008", "30", "osi_layer = 2 AND ratio <= 0.1", "port_key"),
-    _rule("R-B-L3-001", "35", "osi_layer = 3 AND baseline_mature AND step > 0 AND distinct_n > 50 AND share > 0.5", "src_ip", by=("src_ip",), out={"destinations": "max(distinct_n)", "baseline": "max(baseline_max)", "internal_ratio": "max(share)", "allowed": "max(allowed)"}, lookup=("scanner_allowlist", "src_ip"), having="allowed IS NULL OR allowed <> 'true'"),
     _rule("R-B-L3-002", "60", "osi_layer = 3 AND baseline_mature AND interval_cv < 0.15 AND size_cv < 0.15", "sources", by=("pair_key",), out={"least_interval_cv": "min(interval_cv)", "least_size_cv": "min(size_cv)", "sources": "values(src_ip)"}),
     _rule("R-D-L3-003", "30", "osi_layer = 3 AND (dst_reserved OR dst_multicast)", "src_ip", out={"seq": "seq", "t": "t", "src_ip": "src_ip", "destination_class": "CASE WHEN dst_reserved THEN 'reserved' ELSE 'multicast' END"}),
     _rule("R-B-L3-004", "45", "osi_layer = 3 AND ttl_shifted AND baseline_mature", "src_ip", by=("src_ip",), out={"shifted_flows": "count(*)", "shifts": "values(ttl_shift)"}, having="shifted_flows >= 3"),
     _rule("R-B-L3-006", "50", "osi_layer = 3 AND role = 'workstation' AND baseline_mature AND step > 0 AND distinct_n >= 10", "dst_ip", by=("dst_ip",), out={"distinct_sources": "max(distinct_n)", "sources": "values(src_ip)"}),
     _rule("R-B-L3-007", "55", "osi_layer = 3 AND first_seen AND baseline_mature AND step > 0 AND rate >= 10", "src_ip", by=("src_ip", "asn"), out={"asymmetry": "max(rate)", "destinations": "values(dst_ip)"}),
     _rule("R-D-L3-008", "40", "osi_layer = 3 AND distinct_n >= 25 AND dst_private", "src_ip", by=("src_ip",), out={"distinct_ports": "max(distinct_n)", "hosts": "count(DISTINCT dst_ip)"}),
-    _rule("R-D-L4-002", "25", "osi_layer = 4", "src_ip", by=("flow_id", "src_ip"), out={"syn": "max(flow_syn)", "ack": "max(flow_ack)", "flags": "max(flow_all)", "ports": "count(DISTINCT dst_port)"}, having="flags > 0 AND ack = 0 AND syn >= 0.9 * flags"),
-    _rule("R-D-L4-003", "25", "osi_layer = 4", "src_ip", by=("flow_id", "src_ip"), out={"rst": "max(flow_rst)", "flags": "max(flow_all)", "hosts": "count(DISTINCT dst_ip)"}, having="flags > 0 AND rst >= 0.5 * flags"),
-    _rule("R-B-L4-005", "CASE WHEN breached = 'shape' THEN 45 ELSE 60 END", "osi_layer = 4 AND (volume_breached OR shape_breached)", "src_ip", by=("src_ip", "dst_ip"), out={"breached": "max(CASE WHEN volume_breached AND shape_breached THEN 'volume and shape' WHEN volume_breached THEN 'volume' ELSE 'shape' END)", "most": "max(rate)"}),
-    _rule("R-B-L6-001", "35", "osi_layer = 6 AND first_seen AND observations >= 20 AND ctx_found", "src_ip", by=("src_ip",), out={"new_fingerprints": "values(ja4)", "prior_handshakes": "max(observations)"}),
     _rule("R-D-L6-002", "60", "osi_layer = 6 AND issuer_differs AND baseline_mature AND issuer_distinct = 1", "pair_key", by=("pair_key",), out={"presented": "values(issuer)", "sources": "values(src_ip)"}),
     _rule("R-D-L6-003", "50", "osi_layer = 6 AND self_signed_external", "dst_ip", by=("dst_ip",), out={"connections": "count(*)", "shortest_validity_days": "min(validity_days)", "issuers": "values(issuer)"}),
     _rule("R-B-L6-004", "65", "osi_layer = 6 AND cipher_downgraded AND baseline_mature", "src_ip", by=("pair_key", "src_ip", "dst_ip"), out={"handshakes": "count(*)", "tiers": "values(cipher_tier)"}),
-    _rule("R-D-L6-005", "40", "osi_layer = 6 AND category_crossed", "src_ip", by=("src_ip", "dst_ip"), out={"transfers": "count(*)", "declared": "values(category)"}),
     _rule("R-B-L7-001", "60", "osi_layer = 7 AND label_entropy > 4.0 AND label_length > 30 AND (NOT baseline_mature OR ratio >= 2)", "src_ip", by=("src_ip", "domain"), out={"subdomains": "count(DISTINCT subdomain)", "times_busiest_day": "max(ratio)"}, having="subdomains >= 2"),
     _rule("R-B-L7-003", "50", "osi_layer = 7 AND length(labels) > 0", "src_ip", out={"seq": "seq", "t": "t", "src_ip": "src_ip", "labels": "labels"}),
     _rule("R-D-L7-005", "45", "osi_layer = 7 AND distinct_paths > 200 AND (NOT baseline_mature OR ratio >= 2) AND refused > 0.7 * served", "src_ip", by=("src_ip",), out={"paths": "max(distinct_paths)", "refusals": "max(refused)"}),
-    _rule("R-B-L7-007", "45", "osi_layer = 7 AND service_key IS NOT NULL AND baseline_mature", "service_key", by=("service_key",), out={"clients": "max(distinct_n)", "busiest_day": "max(baseline_max)", "new_fingerprints": "sum(CASE WHEN first_seen THEN 1 ELSE 0 END)"}, having="clients > 2 * busiest_day AND new_fingerprints > 0"),
     _rule("R-B-L7-008", "55", "osi_layer = 7 AND distinct_n > 50 AND share > 0.5 AND (NOT baseline_mature OR ratio >= 2)", "src_ip", by=("src_ip",), out={"domains": "max(distinct_n)", "nxdomain_share": "max(share)"}),
     _rule("R-B-L7-002", "CASE classification WHEN 'restricted' THEN 75 WHEN 'confidential' THEN 60 WHEN 'internal' THEN 40 WHEN 'public' THEN 20 ELSE 50 END", "osi_layer = 7 AND baseline_mature AND ratio > 5", "principal", out={"seq": "seq", "t": "t", "principal": "principal", "classification": "coalesce(classification, 'unclassified')"}),
-    _rule("R-P-L7-006", "30", "osi_layer = 7 AND object_types IS NOT NULL", "principal", by=("principal",), out={"rising_weeks": "max(rising)", "role_versions": "count(DISTINCT coalesce(role, 'none'))", "peak_object_types": "max(object_types)"}, having="rising_weeks >= 3 AND role_versions >= 1"),
-    _rule("R-B-L7-004", "least(100, weight + CASE criticality WHEN 'high' THEN 20 WHEN 'unknown' THEN 10 ELSE 0 END)", "osi_layer = 7 AND pair_novel", "host_key", out={"seq": "seq", "t": "t", "host_key": "host_key", "criticality": "coalesce(criticality, 'unknown')", "weight": "CASE coalesce(integrity, 'unknown') WHEN 'system' THEN 70 WHEN 'high' THEN 55 WHEN 'medium' THEN 40 WHEN 'low' THEN 25 ELSE 40 END"}),
     _rule("R-D-L5-003", "70", "osi_layer = 5 AND travel_status = 'measured' AND kmh >= 900", "principal", out={"seq": "seq", "t": "t", "principal": "principal", "elapsed_seconds": "elapsed_ns / 1000000000"}),
     _rule("R-D-L5-004", "75", "osi_layer = 5 AND denied_then_approved AND attempts > 5 AND denials >= 4", "principal"),
     _rule("R-D-L5-007", "40", "osi_layer = 5 AND hour_unseen AND baseline_mature AND auth_result = 'success'", "principal"),
