@@ -24,7 +24,7 @@ GROUP_CHANGES = {"Add member to group": False, "Remove member from group": True}
 SLICE = 1 << 20
 
 
-def latest(rows: DataFrame, key: Column, facts: DataFrame, fact_key: Column, value: Column, name: str) -> DataFrame:
+def latest(rows: DataFrame, key: Column, facts: DataFrame, fact_key: Column, value: Column, name: str, slice_width: int = SLICE) -> DataFrame:
     """rows with ``name``: the value of the last fact of the row's key with a seq up to its own; null without one.
 
     Both are cut into slices of seq, a slice starts with the last fact of those before it, and the running last value
@@ -32,7 +32,7 @@ def latest(rows: DataFrame, key: Column, facts: DataFrame, fact_key: Column, val
     a key are spread by their seq.
     """
     carried = [F.col(c) for c in rows.columns]
-    place = F.floor(F.col("seq") / SLICE).alias("_s")
+    place = F.floor(F.col("seq") / slice_width).alias("_s")
     known = facts.select(fact_key.alias("_k"), "seq", place, F.struct(value.alias("v")).alias("_v")).where(F.col("_k").isNotNull())
     own = rows.select(key.alias("_k"), "seq", place, F.struct(*carried).alias("_row"))
     both = known.unionByName(own, allowMissingColumns=True).withColumn("_k", F.coalesce("_k", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
