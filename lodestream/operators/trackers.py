@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.order_statistics import window_order_statistics
+
 SECOND = 1_000_000_000
 MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86400 * SECOND
 
@@ -160,13 +162,13 @@ def transfer_envelope(df: DataFrame, amount: str, window_ns: int = 30 * DAY, qua
     samples counts the amounts in [t-w, t] up to this row and with it; rows that tie share one envelope. A row without
     an amount is not a transfer: nulls.
     """
-    by_time = Window.partitionBy("entity").orderBy("t")
     known = F.col(amount).isNotNull()
-    out = df.withColumn("_h", F.collect_list(amount).over(by_time.rangeBetween(-window_ns, -1)))
+    rank = lambda n: F.when(n >= min_samples, F.greatest(F.ceil(F.lit(quantile) * n), F.lit(1)))
+    out = window_order_statistics(df, amount, window_ns, 1, {"_ranked": rank})
     samples = _trailing_sum(known.cast("long"), window_ns + 1)
-    out = out.withColumns({"samples": F.when(known, samples), "envelope": F.when(known & (F.size("_h") >= min_samples), nearest_rank(F.col("_h"), quantile))})
+    out = out.withColumns({"samples": F.when(known, samples), "envelope": F.when(known, F.col("_ranked"))})
     out = out.withColumn("envelope_ratio", F.when(F.col("envelope") != 0, F.col(amount) / F.col("envelope")))
-    return out.withColumn("breached", F.col("envelope_ratio") >= multiplier).drop("_h")
+    return out.withColumn("breached", F.col("envelope_ratio") >= multiplier).drop("_ranked")
 
 
 def bucket_peak(df: DataFrame, value: str, bucket_ns: int = HOUR, window_ns: int = 30 * DAY, min_buckets: int = 24) -> DataFrame:
@@ -187,12 +189,16 @@ def bucket_peak(df: DataFrame, value: str, bucket_ns: int = HOUR, window_ns: int
 def rolling_median(df: DataFrame, reading: str, window_ns: int = 6 * HOUR, min_samples: int = 5) -> DataFrame:
     """baseline: the median of earlier readings in (t-w, t), null below min_samples; deviation; baseline_n.
     Rows that tie with an earlier one are out of order: nulls, and not learned."""
-    prior = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns + 1, -1)
     out = df.withColumn("_in", first_of_instant())
     out = out.withColumn("_v", F.when(F.col("_in"), F.col(reading)))
-    n = F.count("_v").over(prior)
-    out = out.withColumns({"baseline_n": F.when(F.col("_in"), n), "baseline": F.when(F.col("_in") & (n >= min_samples), F.percentile("_v", F.lit(0.5)).over(prior))})
-    return out.withColumn("deviation", F.col(reading) - F.col("baseline")).drop("_in", "_v")
+    # whole numbers, so that the count of the window is a difference of running counts
+    upto = Window.partitionBy("entity").orderBy("t")
+    n = F.count("_v").over(upto.rangeBetween(Window.unboundedPreceding, -1)) - F.count("_v").over(upto.rangeBetween(Window.unboundedPreceding, -window_ns))
+    enough = lambda place: lambda n: F.when(n >= min_samples, place(n))
+    out = out.withColumn("_n", n)
+    out = window_order_statistics(out, "_v", window_ns - 1, 1, {"_lo": enough(lambda n: F.floor((n + 1) / 2)), "_hi": enough(lambda n: F.floor((n + 2) / 2))})
+    out = out.withColumns({"baseline_n": F.when(F.col("_in"), F.col("_n")), "baseline": F.when(F.col("_in"), (F.col("_lo") + F.col("_hi")) / 2)})
+    return out.withColumn("deviation", F.col(reading) - F.col("baseline")).drop("_in", "_v", "_n", "_lo", "_hi")
 
 
 def level_forecast(df: DataFrame, reading: str, floor_level: float | Column | None, window_ns: int = 7 * DAY, min_samples: int = 12, max_residual: float = 0.5, min_significance: float = 4.0, optic: str | None = None) -> DataFrame:
