@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.lineage import chain_anchor
+from lodestream.operators.stabbing import covering
+
 FOREVER = (1 << 63) - 1
 
 
@@ -68,8 +71,16 @@ def as_of(df: DataFrame, versions: DataFrame, entity: str, values: list[str], kn
 
     versions: entity, valid_from, valid_to (null: open), recorded_at, change (assert or retract), values. Of the versions
     recorded by ``known`` (the row's t unless given) that cover t, the one of highest (recorded_at, valid_from) decides; a
-    retraction gives nulls. Adds the values, ctx_found and ctx_recorded_at.
+    retraction gives nulls. Adds the values, ctx_found and ctx_recorded_at. Needs a unique seq.
+
+    Where rows are judged by what was recorded by their own t, a version holds from when it is both valid and recorded, and the best of
+    the versions that hold is found without meeting them all. With another ``known`` versions meet the entity's rows.
     """
+    if known is None:
+        v = versions.select(entity, F.greatest("valid_from", "recorded_at").alias("_from"), F.coalesce("valid_to", F.lit(FOREVER)).alias("_to"), "recorded_at", "valid_from", "change", *values)
+        out = covering(df, v, entity, "_from", "_to", ["recorded_at", "valid_from", "_to", "change"], ["change", "recorded_at", *values], "_b")
+        told = F.coalesce(F.col("_b.change") == "assert", F.lit(False))
+        return out.withColumns({x: F.when(told, F.col(f"_b.{x}")) for x in values} | {"ctx_found": told, "ctx_recorded_at": F.when(told, F.col("_b.recorded_at"))}).drop("_b")
     v = versions.select(F.col(entity).alias("_e"), "valid_from", F.coalesce("valid_to", F.lit(FOREVER)).alias("_to"), "recorded_at", "change", *(F.col(x).alias(f"_v_{x}") for x in values))
     own = df.withColumn("_known", F.col("t") if known is None else known)
     hit = own.select(F.col(entity).alias("_e"), "t", "seq", "_known").join(v, "_e").where("recorded_at <= _known AND valid_from <= t AND t < _to")
@@ -79,6 +90,22 @@ def as_of(df: DataFrame, versions: DataFrame, entity: str, values: list[str], kn
     return out.withColumns({x: F.when(told, F.col(f"_b.{x}")) for x in values} | {"ctx_found": told, "ctx_recorded_at": F.when(told, F.col("_b.recorded_at"))}).drop("_b")
 
 
+def host_identity(df: DataFrame, leases: DataFrame, inventory: DataFrame, address: str = "src_ip", fallback: str = "src_ip") -> DataFrame:
+    """The machine behind an address at t, by two lookups in time: who leased the address, and which machine had that interface.
+
+    leases: ip, start_ns, end_ns, mac; inventory: mac, start_ns, end_ns, hostname; null ends are open. Adds host_mac, lease_method,
+    host_key, inventory_method, chain_anchor and chain_anchor_source (the machine, else the fallback). Of facts that cover an
+    instant the greatest (start, end, value) wins. Needs a unique seq.
+    """
+    out = df
+    hops = ((leases, "ip", address, "mac", "host_mac", "lease"), (inventory, "mac", "host_mac", "hostname", "host_key", "inventory"))
+    for facts, key, by, value, name, method in hops:
+        own = facts.select(F.col(key).alias(by), "start_ns", F.coalesce("end_ns", F.lit(FOREVER)).alias("end_ns"), value)
+        out = covering(out, own, by, "start_ns", "end_ns", ["start_ns", "end_ns", value], [value], "_b")
+        out = out.withColumns({name: F.col(f"_b.{value}"), f"{method}_method": F.when(F.col("_b").isNotNull(), f"soft:{method}").otherwise("unresolved")}).drop("_b")
+    return chain_anchor(out, ["host_key", fallback])
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Versions that turn one snapshot into the next: assert what is new or changed, retract what is gone."""
     b = before.select(key, F.struct(*values).alias("_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import stamps, thresholds, timeseries
+from lodestream.operators import intervals, stamps, thresholds, timeseries
 from lodestream.plans.catalog import E, events, query
 from lodestream.session import load
 from lodestream.sources import captures
@@ -115,3 +115,28 @@ def captured_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = events(spark, sf_dir).select(F.lit("events").alias("path"), F.col("seq").alias("offset"), F.col("t").alias("received_ns"), frame.alias("frame"))
     records, _ = captures.flow_records(captures.flow_sets(captures.flow_messages(frames)))
     return records.select((F.floor(F.col("seq") / captures.SETS_A_MESSAGE)).alias("seq"), "received_ns", "exporter_address", "observation_domain_id", "export_time", F.col("sourceIPv4Address").alias("source"), F.col("destinationIPv4Address").alias("destination"), F.col("octetDeltaCount").alias("octets"), F.col("packetDeltaCount").alias("packets"), F.col("reverseOctetDeltaCount").alias("reverse_octets"))
+
+
+#: SQL for both engines: leases that overlap, some open, and machines of the leased interfaces.
+LEASES = {"ip": "concat('ip', cast(entity % 40 AS string))", "start_ns": "t", "end_ns": "CASE WHEN seq % 5 > 0 THEN t + (seq % 90) * 3600000000000 END", "mac": "CASE WHEN seq % 13 > 0 THEN concat('mac', cast(seq % 60 AS string)) END"}
+MACHINES = {"mac": "concat('mac', cast(seq % 50 AS string))", "start_ns": "t", "end_ns": "CASE WHEN seq % 7 > 0 THEN t + (seq % 60) * 86400000000000 END", "hostname": "concat('host', cast(seq % 30 AS string))"}
+
+
+def _shown(columns: dict[str, str]) -> list[str]:
+    return [f"{e} AS {n}" for n, e in columns.items()]
+
+
+@query(f"""WITH {E}, l AS (SELECT {', '.join(_shown(LEASES))} FROM e WHERE seq % 4 = 1), n AS (SELECT {', '.join(_shown(MACHINES))} FROM e WHERE seq % 9 = 2), r AS (SELECT seq, t, 'ip' || (seq % 45) AS src_ip FROM e),
+ a AS (SELECT r.seq, arg_max(struct_pack(m := mac), (start_ns, coalesce(end_ns, {(1 << 63) - 1}), mac)) AS b FROM r JOIN l ON ip = src_ip AND start_ns <= t AND (end_ns IS NULL OR t < end_ns) GROUP BY r.seq),
+ k AS (SELECT r.*, b.m AS host_mac, b IS NOT NULL AS leased FROM r LEFT JOIN a USING (seq)),
+ c AS (SELECT k.seq, arg_max(hostname, (start_ns, coalesce(end_ns, {(1 << 63) - 1}), hostname)) AS host_key FROM k JOIN n ON n.mac = k.host_mac AND start_ns <= t AND (end_ns IS NULL OR t < end_ns) GROUP BY k.seq)
+ SELECT seq, host_mac, CASE WHEN leased THEN 'soft:lease' ELSE 'unresolved' END AS lease_method, host_key, CASE WHEN host_key IS NOT NULL THEN 'soft:inventory' ELSE 'unresolved' END AS inventory_method,
+ coalesce(host_key, src_ip) AS chain_anchor, CASE WHEN host_key IS NULL THEN 'src_ip' ELSE 'host_key' END AS chain_anchor_source FROM k LEFT JOIN c USING (seq)""")
+def host_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machine behind each event's address when it happened."""
+    df = events(spark, sf_dir)
+    leases, machines = (df.where(w).selectExpr(*_shown(e)) for w, e in (("seq % 4 = 1", LEASES), ("seq % 9 = 2", MACHINES)))
+    rows = df.select("seq", "t", F.concat(F.lit("ip"), (F.col("seq") % 45).cast("string")).alias("src_ip"))
+    out = intervals.host_identity(rows, leases, machines)
+    return out.select("seq", "host_mac", "lease_method", "host_key", "inventory_method", "chain_anchor", "chain_anchor_source")
+

@@ -200,3 +200,53 @@ def test_rhythms_against_a_transform_written_out(spark):
             want |= {edges[j] for j in written_out(signal, 90.0, 4.0) if block * 24 <= edges[j] < block * 24 + 24}
         assert flagged == {k for k, h in enumerate(hours) if h in want} and 130 in want
         assert got.count() == len(rows)
+
+
+# lookups in time and windows of a busy entity
+
+
+def test_lookup_in_time_against_brute_force(spark):
+    from lodestream.operators import intervals
+    from lodestream.operators.stabbing import covering
+
+    r = random.Random(8)
+    held = [(r.choice("abc"), r.randrange(60), r.randrange(70), r.randrange(9)) for _ in range(200)] + [(None, 1, 9, 1), ("a", None, 9, 1), ("d", 5, 5, 1), ("b", 3, (1 << 63) - 1, 0)]
+    rows = [(r.choice("abcd"), r.randrange(-5, 90), k) for k in range(300)] + [(None, 5, 300), ("a", None, 301)]
+    got = covering(spark.createDataFrame(rows, "k string, t long, seq long"), spark.createDataFrame(held, "k string, s long, e long, v int"), "k", "s", "e", ["v", "s"], ["v", "s"], "best", slice_ns=7)
+    for x in got.collect():
+        fit = [(v, s) for k, s, e, v in held if x.k is not None and x.t is not None and k == x.k and s is not None and s < e and s <= x.t < e]
+        assert (tuple(x.best) if x.best else None) == max(fit, default=None), x
+    assert got.count() == len(rows)
+    leases = spark.createDataFrame([("1.1.1.1", 0, 10, "m1"), ("1.1.1.1", 5, None, "m2")], "ip string, start_ns long, end_ns long, mac string")
+    machines = spark.createDataFrame([("m1", 0, None, "old"), ("m2", 8, None, "new")], "mac string, start_ns long, end_ns long, hostname string")
+    out = intervals.host_identity(spark.createDataFrame([(1, 3, "1.1.1.1"), (2, 6, "1.1.1.1"), (3, 9, "1.1.1.1"), (4, 9, "2.2.2.2")], "seq long, t long, src_ip string"), leases, machines)
+    assert [tuple(x) for x in out.orderBy("seq").select("host_mac", "host_key", "chain_anchor").collect()] == [("m1", "old", "old"), ("m2", None, "1.1.1.1"), ("m2", "new", "new"), (None, None, "2.2.2.2")]
+
+
+def test_order_statistics_against_sorting(spark):
+    from lodestream.operators.order_statistics import window_order_statistics
+
+    r = random.Random(9)
+    rows = [(r.choice(["a", None]), r.randrange(400), k, r.choice([None, *range(40)])) for k in range(500)]
+    got = window_order_statistics(spark.createDataFrame(rows, "entity string, t long, seq long, x int"), "x", 50, 1, {"third": lambda n: F.lit(3), "last": lambda n: F.when(n > 4, n), "none": lambda n: F.lit(0)})
+    for x in got.collect():
+        own = sorted(v for e, t, _, v in rows if e == x.entity and v is not None and x.t - 50 <= t <= x.t - 1)
+        assert (x.third, x.last, x.none) == (own[2] if len(own) > 2 else None, own[-1] if len(own) > 4 else None, None)
+    assert got.count() == 500
+
+
+def test_a_busy_entity_is_no_square(spark):
+    """One entity's rows, four times as many, must not take ten times as long."""
+    import time
+
+    from lodestream.operators import intervals, trackers
+
+    def took(n, run):
+        df = spark.range(n).select(F.lit("a").alias("entity"), (F.col("id") * 10**9).alias("t"), F.col("id").alias("seq"), (F.col("id") * 7919 % 1009).cast("double").alias("x"))
+        at = time.time()
+        run(df).write.format("noop").mode("overwrite").save()
+        return time.time() - at
+
+    for run in (lambda d: intervals.pair_sessions(d, F.col("seq") % 3 == 0, F.col("seq") % 5 == 0, 10**12), lambda d: trackers.ratio_window(d.withColumn("t", F.lit(1).cast("long")), F.col("x") > 5)):
+        took(1000, run)
+        assert took(80_000, run) < 10 * max(took(20_000, run), 0.5)
