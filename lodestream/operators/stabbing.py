@@ -29,18 +29,33 @@ def _nodes(first: str, last: str, levels: str) -> Column:
     return F.expr(step)
 
 
-def covering(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, priority: list[str], carry: list[str], name: str, slice_ns: int = SLICE_NS) -> DataFrame:
-    """df (with t and a unique seq) with ``name``: a struct of carry of the interval of the row's key that covers t and has the
-    greatest priority; null without one. Intervals are [start, end); those that are empty, or null in the key or an end, hold nowhere."""
-    own = intervals.where(F.col(key).isNotNull() & (F.col(start) < F.col(end))).select(F.col(key).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), F.struct(*(F.col(p) for p in priority)).alias("_p"), F.struct(*(F.col(c) for c in carry)).alias("_c"))
+def _placed(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, carry: dict[str, Column], slice_ns: int) -> tuple[DataFrame, DataFrame]:
+    """(intervals by node: _k, level, node and what they carry; the nodes over each row: _k, _q, level, node). _q is the row's seq."""
+    own = intervals.where(F.col(key).isNotNull() & (F.col(start) < F.col(end))).select(F.col(key).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), *(c.alias(n) for n, c in carry.items()))
     ends = own.select("_k", F.explode(F.array("_s", "_e")).alias("at")).distinct()
     ends = ends.withColumns({"_place": F.row_number().over(Window.partitionBy("_k").orderBy("at")).cast("long"), "_n": F.count("*").over(Window.partitionBy("_k"))})
     levels = "cast(ceil(log2(_n + 1)) as int)"
-    at = lambda end_: ends.select("_k", F.col("at").alias(end_), F.col("_place").alias(f"{end_}_place"))
-    runs = own.join(ends.select("_k", F.col("at").alias("_s"), F.col("_place").alias("_s_place"), "_n"), ["_k", "_s"]).join(at("_e"), ["_k", "_e"])
-    best = runs.withColumn("_node", F.explode(_nodes("_s_place", "_e_place", levels))).groupBy("_k", F.col("_node.level").alias("level"), F.col("_node.node").alias("node")).agg(F.max_by(F.struct("_p", "_c"), "_p").alias("_best"))
+    at = lambda side, *more: ends.select("_k", F.col("at").alias(side), F.col("_place").alias(f"{side}_place"), *more)
+    runs = own.join(at("_s", "_n"), ["_k", "_s"]).join(at("_e"), ["_k", "_e"])
+    nodes = runs.withColumn("_node", F.explode(_nodes("_s_place", "_e_place", levels))).select("_k", F.col("_node.level").alias("level"), F.col("_node.node").alias("node"), *carry)
     asked = df.select(F.col(key).alias("_k"), F.col("t").alias("seq"), F.col("seq").alias("_q")).where("_k IS NOT NULL AND seq IS NOT NULL")
     asked = latest(asked, F.col("_k"), ends.select("_k", F.col("at").alias("seq"), F.struct("_place", "_n").alias("_f")), F.col("_k"), F.col("_f"), "_f", slice_ns).where("_f IS NOT NULL").select("_k", "_q", "_f.*")
-    above = asked.withColumn("level", F.explode(F.expr(f"sequence(0, {levels})"))).withColumn("node", F.expr("shiftright(_place, level)"))
+    above = asked.withColumn("level", F.explode(F.expr(f"sequence(0, {levels})"))).select("_k", "_q", "level", F.expr("shiftright(_place, level)").alias("node"))
+    return nodes, above
+
+
+def covering(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, priority: list[str], carry: list[str], name: str, slice_ns: int = SLICE_NS) -> DataFrame:
+    """df (with t and a unique seq) with ``name``: a struct of carry of the interval of the row's key that covers t and has the
+    greatest priority; null without one. Intervals are [start, end); those that are empty, or null in the key or an end, hold nowhere."""
+    nodes, above = _placed(df, intervals, key, start, end, {"_p": F.struct(*(F.col(p) for p in priority)), "_c": F.struct(*(F.col(c) for c in carry))}, slice_ns)
+    best = nodes.groupBy("_k", "level", "node").agg(F.max_by(F.struct("_p", "_c"), "_p").alias("_best"))
     found = above.join(best, ["_k", "level", "node"]).groupBy("_q").agg(F.max_by("_best", "_best._p").alias("_best"))
     return df.join(found.select(F.col("_q").alias("seq"), F.col("_best._c").alias(name)), "seq", "left").select(*df.columns, name)
+
+
+def covering_all(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, value: str, name: str, slice_ns: int = SLICE_NS) -> DataFrame:
+    """df with ``name``: the different values of all intervals of the row's key that cover t, sorted; null without one."""
+    nodes, above = _placed(df, intervals, key, start, end, {"_c": F.col(value)}, slice_ns)
+    held = nodes.distinct()
+    found = above.join(held, ["_k", "level", "node"]).groupBy("_q").agg(F.array_sort(F.collect_set("_c")).alias(name))
+    return df.join(found.withColumnRenamed("_q", "seq"), "seq", "left").select(*df.columns, name)

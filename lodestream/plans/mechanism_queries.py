@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import intervals, stamps, thresholds, timeseries
+from lodestream.operators import context, intervals, stamps, thresholds, timeseries
 from lodestream.plans.catalog import E, events, query
 from lodestream.session import load
 from lodestream.sources import captures
@@ -140,3 +140,34 @@ def host_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.host_identity(rows, leases, machines)
     return out.select("seq", "host_mac", "lease_method", "host_key", "inventory_method", "chain_anchor", "chain_anchor_source")
 
+
+
+#: SQL for both engines: memberships that begin, end and are retracted, some recorded late, some not to be used.
+MEMBER = {
+    "entity": "CASE WHEN seq % 31 > 0 THEN cast(entity AS string) END", "member": "concat('g', cast(seq % 4 AS string))", "valid_from": "CASE WHEN seq % 37 > 0 THEN t END", "valid_to": "CASE seq % 5 WHEN 0 THEN t + 432000000000000 WHEN 1 THEN t - 5 END",
+    "recorded_at": "t + (seq % 3) * 3600000000000", "change": "CASE seq % 6 WHEN 0 THEN 'retract' WHEN 1 THEN 'maybe' WHEN 2 THEN 'Assert' END",
+}
+
+
+@query(f"""WITH {E}, r AS (SELECT seq, {', '.join(_shown(MEMBER))} FROM e WHERE seq % 2 = 0)
+ SELECT seq, entity AS context_entity, CASE WHEN entity IS NULL THEN 'no_entity' WHEN valid_from IS NULL THEN 'no_valid_from' WHEN valid_to <= valid_from THEN 'inverted_interval' WHEN change = 'maybe' THEN 'unknown_change' END AS context_refused,
+ CASE WHEN entity IS NULL OR valid_from IS NULL OR valid_to <= valid_from OR change = 'maybe' THEN NULL ELSE entity || chr(31) || member END AS context_key, coalesce(lower(change), 'assert') AS change, valid_from, valid_to FROM r""")
+def context_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as versions, or why not."""
+    return _versions(events(spark, sf_dir).where("seq % 2 = 0")).select(F.col("number").cast("long").alias("seq"), "context_entity", "context_refused", "context_key", "change", "valid_from", "valid_to")
+
+
+def _versions(df: DataFrame) -> DataFrame:
+    rows = df.selectExpr("seq", *_shown(MEMBER))
+    return context.context_columns(rows, F.lit("group"), F.col("entity"), [F.col("member")], {"member": F.col("member"), "number": F.col("seq")}, F.col("valid_from"), F.col("valid_to"), F.col("recorded_at"), F.col("change"))
+
+
+@query(f"""WITH {E}, r AS (SELECT seq, {', '.join(_shown(MEMBER))} FROM e WHERE seq % 2 = 0),
+ v AS (SELECT entity, member, valid_from, coalesce(valid_to, {(1 << 63) - 1}) AS valid_to, recorded_at, coalesce(lower(change), 'assert') AS change FROM r WHERE entity IS NOT NULL AND valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from) AND change IS DISTINCT FROM 'maybe'),
+ h AS (SELECT e.seq, member, arg_max(change, (recorded_at, valid_from, valid_to, change)) AS state FROM e JOIN v ON v.entity = CAST(e.entity AS VARCHAR) AND greatest(valid_from, recorded_at) <= t AND t < valid_to GROUP BY e.seq, member)
+ SELECT e.seq, coalesce((SELECT string_agg(member, ';' ORDER BY member) FROM h WHERE h.seq = e.seq AND state = 'assert'), '') AS ctx_groups FROM e""")
+def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that each event's entity was in, as recorded by then."""
+    df = events(spark, sf_dir)
+    v = _versions(df.where("seq % 2 = 0")).where("context_refused IS NULL")
+    return context.memberships(df.withColumn("context_entity", F.col("entity").cast("string")), v, "context_entity", "member", "ctx_groups").select("seq", "ctx_groups")
