@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,29 @@ def compare(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.when(F.col("_r").isNull(), "left").when(F.col("_l").isNull(), "right").otherwise("both").alias("side"))
 
 
+def compare_within(left: DataFrame, right: DataFrame, key: str, abs_tol: float = 0.001, rel_tol: float = 0.005, include: str | None = None, exclude: str | None = None) -> tuple[dict[str, list[str]], DataFrame]:
+    """(matching, extra and missing columns; one row of total_rows, matching_rows, diff_rows) of right against left.
+
+    Rows meet by key; a row of left matches if each column that both have is equal, or within abs_tol + rel_tol of right's value where both
+    are numbers. Two nulls are equal, and so are two NaN. Only columns that the patterns choose count.
+    """
+    l, r = (select_by_pattern(d, include, exclude) for d in (left, right))
+    shared = [c for c in l.columns if c in r.columns and c != key]
+    names = {"matching": shared, "missing": [c for c in l.columns if c not in r.columns and c != key], "extra": [c for c in r.columns if c not in l.columns and c != key]}
+    both = left.select(F.col(key).alias("_k"), F.struct(F.lit(1).alias("_here"), *shared).alias("_l")).join(right.select(F.col(key).alias("_k"), F.struct(F.lit(1).alias("_here"), *shared).alias("_r")), "_k", "left")
+    fits = F.col("_r").isNotNull()
+    for c in shared:
+        a, b = F.col(f"_l.{c}"), F.col(f"_r.{c}")
+        numbers = all(isinstance(d.schema[c].dataType, T.NumericType) for d in (left, right))
+        same = a.eqNullSafe(b)
+        if numbers:
+            x, y = a.cast("double"), b.cast("double")
+            same = same | F.coalesce((x == y) | (F.isnan(x) & F.isnan(y)) | (F.abs(x - y) <= abs_tol + rel_tol * F.abs(y)), F.lit(False))
+        fits = fits & same
+    out = both.agg(F.count("*").alias("total_rows"), F.count_if(fits).alias("matching_rows"))
+    return names, out.withColumn("diff_rows", F.col("total_rows") - F.col("matching_rows"))
+
+
 def drop_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.na.drop(subset=list(columns))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from lodestream.plans import detections, searches
 from lodestream.plans.catalog import QUERIES, SQL, E, query
 from lodestream.plans.detections import DAY, SLACK, Search, Table
 from lodestream.plans.scored_feed import LOOKUPS, SCORED_ALL, lookups, scored
+from lodestream.session import shared_root
+from lodestream.sources.sinks import KeyedTable
 
 W = f"WITH {E}, {SCORED_ALL}"
-NOW = 1_706_800_000_000_000_000  # a fixed "now" for expiries
+MIDDLE = 1_705_400_000_000_000_000  # what is older expires: amid the events
 
 
 def _duck(sql: str) -> str:
@@ -59,18 +62,26 @@ def _register_table(t: Table) -> None:
     bucket = f"cast(floor(t / {t.bucket_ns}.0) AS bigint)" if t.bucket_ns else "cast(0 AS bigint)"
     key = " || '|' || ".join([f"cast({k} AS varchar)" for k in t.key] + (["cast(bucket AS varchar)"] if t.bucket_ns else []))
     known = " AND ".join(f"{k} IS NOT NULL" for k in t.key)
-    names = ", ".join([*t.key, "bucket", "t", *t.columns])
+    names = ", ".join([*t.key, "bucket", "t", "seq", *t.columns])
     merged = f"SELECT {key} AS _key, {names} FROM (SELECT *, {bucket} AS bucket FROM scored WHERE {t.where} AND {known}) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq DESC) = 1"
 
+    def kept(spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, f"{shared_root(spark)}/{t.name}-{uuid.uuid4().hex}", "_key", "seq")
+
     def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return detections.refresh(scored(spark, sf_dir), t)
+        """Two runs of the refresh: the second one meets the first one's table."""
+        df, table = scored(spark, sf_dir), kept(spark)
+        detections.maintain(table, df.where("seq % 2 = 0"), t)
+        return detections.maintain(table, df.where("seq % 2 = 1"), t)
 
     def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return detections.expire(detections.refresh(scored(spark, sf_dir), t), NOW, listed)
+        table = kept(spark)
+        detections.maintain(table, scored(spark, sf_dir), t)
+        return detections.expire(table, MIDDLE + held, listed)
 
     QUERIES[f"search_{t.name}_refresh"], SQL[f"search_{t.name}_refresh"] = refreshed, f"{W} {merged}"
-    kept = detections.LISTED_NS if listed else detections.KEPT_NS
-    QUERIES[f"search_{t.name}_expiry"], SQL[f"search_{t.name}_expiry"] = expired, f"{W} SELECT * FROM ({merged}) WHERE t + {kept} >= {NOW}"
+    held = detections.LISTED_NS if listed else detections.KEPT_NS
+    QUERIES[f"search_{t.name}_expiry"], SQL[f"search_{t.name}_expiry"] = expired, f"{W} SELECT * FROM ({merged}) WHERE t >= {MIDDLE}"
 
 
 for _t in detections.TABLES:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.plans import searches
+from lodestream.sources.sinks import KeyedTable
 
 FIVE_MINUTES, DAY = 300_000_000_000, 86_400_000_000_000
 SLACK = 120_000_000_000  # what a step may come too early, as clocks differ
@@ -172,16 +173,22 @@ LISTED_NS = 30 * DAY  # watchlist entries
 
 
 def refresh(df: DataFrame, table: Table) -> DataFrame:
-    """_key, bucket, t and the table's columns: rows to merge, the last one of each key."""
+    """_key, bucket, t, seq and the table's columns: rows to merge, the last one of each key."""
     bucket = F.floor(F.col("t") / F.lit(table.bucket_ns)).cast("long") if table.bucket_ns else F.lit(0).cast("long")
     rows = df.where(table.where).na.drop(subset=list(table.key)).withColumn("bucket", bucket)
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in table.key], *([F.col("bucket").cast("string")] if table.bucket_ns else []))
-    names = [*table.key, "bucket", "t", *table.columns]
+    names = [*table.key, "bucket", "t", "seq", *table.columns]
     return rows.withColumn("_key", key).groupBy("_key").agg(F.max_by(F.struct(*names), "seq").alias("m")).select("_key", "m.*")
 
 
-def expire(kept: DataFrame, now_ns: int, listed: bool) -> DataFrame:
-    return kept.where(F.col("t") + (LISTED_NS if listed else KEPT_NS) >= now_ns)
+def maintain(kept: KeyedTable, rows: DataFrame, table: Table) -> DataFrame:
+    """A scheduled refresh: the rows since the last one go into the keyed table, the newest of each key stays."""
+    return kept.merge(refresh(rows, table))
+
+
+def expire(kept: KeyedTable, now_ns: int, listed: bool) -> DataFrame:
+    """A scheduled expiry: what is older than the table keeps is deleted from it."""
+    return kept.delete(F.col("t") + (LISTED_NS if listed else KEPT_NS) < now_ns)
 
 
 def adjacency(df: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import context, intervals, stamps, thresholds, timeseries
+from lodestream.operators import context, intervals, schema, stamps, thresholds, timeseries
 from lodestream.plans.catalog import E, events, query
 from lodestream.session import load
-from lodestream.sources import captures
+from lodestream.sources import captures, wire
 from lodestream.streaming.merge import release_schedule
 
 HOUR = 3_600_000_000_000
@@ -171,3 +171,30 @@ def context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
     v = _versions(df.where("seq % 2 = 0")).where("context_refused IS NULL")
     return context.memberships(df.withColumn("context_entity", F.col("entity").cast("string")), v, "context_entity", "member", "ctx_groups").select("seq", "ctx_groups")
+
+
+WIRE = wire.Contract("events:own", "event_time", ("event_time", "ingest_time"), ("seq", "entity"), (("v",), ("x", "y")))
+
+
+@query(f"""WITH {E}, r AS (SELECT seq, entity, CASE WHEN seq % 3 > 0 THEN v END AS v, strftime(make_timestamp(t // 1000), '%Y-%m-%dT%H:%M:%S.%fUTC') AS a, strftime(make_timestamp((t + 1999) // 1000), '%Y-%m-%dT%H:%M:%S.%fUTC') AS b FROM e WHERE seq % 17 > 0)
+ SELECT '<<"seq":' || seq || ',"entity":' || entity || coalesce(',"v":"' || v || '"', '') || ',"event_time":"' || a || '","ingest_time":"' || b || '">>' AS line FROM r""".replace("<<", "{").replace(">>", "}"))
+def wire_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are delivered: moments as text, no nulls, none without its time."""
+    df = events(spark, sf_dir).select("seq", "entity", F.when(F.col("seq") % 3 > 0, F.col("v")).alias("v"), F.when(F.col("seq") % 17 > 0, F.col("t")).alias("event_time"), (F.col("t") + 1999).alias("ingest_time"))
+    return wire.to_lines(wire.to_wire(df, WIRE))
+
+
+@query(f"""WITH {E} SELECT 'seq;v;x' AS line UNION ALL SELECT seq || ';' || CASE WHEN seq % 5 = 0 THEN '"a;b"' ELSE v END || ';' || (seq % 9) FROM e""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir).select("seq", F.when(F.col("seq") % 5 == 0, "a;b").otherwise(F.col("v")).alias("v"), (F.col("seq") % 9).alias("x"))
+    return wire.to_csv_lines(df, sep=";")
+
+
+@query(f"""WITH {E}, r AS (SELECT seq, x AS a, CASE seq % 4 WHEN 0 THEN x * 1.004 WHEN 1 THEN x + 0.0005 WHEN 2 THEN x * 1.02 + 0.1 ELSE x END AS b, seq % 6 > 0 AS there, seq % 7 = 0 AS other FROM e)
+ SELECT count(*) AS total_rows, count(*) FILTER (there AND NOT other AND coalesce(abs(a - b) <= 0.001 + 0.005 * abs(b), a IS NULL AND b IS NULL)) AS matching_rows, count(*) - count(*) FILTER (there AND NOT other AND coalesce(abs(a - b) <= 0.001 + 0.005 * abs(b), a IS NULL AND b IS NULL)) AS diff_rows FROM r""")
+def compare_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against a frame that lacks some, and differs a little or more."""
+    df = events(spark, sf_dir).select("seq", "v", F.col("x").cast("double").alias("x"), F.lit(1).alias("only_left"))
+    moved = F.expr("CASE seq % 4 WHEN 0 THEN x * 1.004D WHEN 1 THEN x + 0.0005D WHEN 2 THEN x * 1.02D + 0.1D ELSE x END")
+    right = df.where("seq % 6 > 0").withColumns({"x": moved, "v": F.when(F.col("seq") % 7 == 0, "other").otherwise(F.col("v"))}).drop("only_left")
+    return schema.compare_within(df, right, "seq")[1]

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.sources.sinks import upsert  # noqa: F401  a search's outputlookup
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -59,14 +61,6 @@ def lookup(df: DataFrame, table: DataFrame, key: str, columns: list[str]) -> Dat
     return df.join(first, key, "left").withColumns({c: F.col(f"_m.{c}") for c in columns}).drop("_m")
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str, newest: str) -> DataFrame:
-    """A keyed table after a merge: of rows with one key the newest stays, and ties go to the rows that come in."""
-    both = table.withColumn("_in", F.lit(0)).unionByName(rows.withColumn("_in", F.lit(1)), allowMissingColumns=True)
-    names = [c for c in both.columns if c not in (key, "_in")]
-    best = both.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(newest, "_in")).alias("_m"))
-    return best.select(key, "_m.*")
-
-
 def expire(table: DataFrame, column: str, least: int) -> DataFrame:
     return table.where(F.col(column) >= least)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.plans.searches import upsert
-
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: tuple[str, ...] = (), **options: str) -> None:
     """Write CSV (with a header), JSON lines or Parquet."""
@@ -29,6 +27,14 @@ def write_kafka(df: DataFrame, servers: str, topic: str, key: str | None = None)
     to_kafka_rows(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+def upsert(table: DataFrame, rows: DataFrame, key: str, newest: str) -> DataFrame:
+    """A keyed table after a merge: of rows with one key the newest stays, and ties go to the rows that come in."""
+    both = table.withColumn("_in", F.lit(0)).unionByName(rows.withColumn("_in", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in both.columns if c not in (key, "_in")]
+    best = both.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(newest, "_in")).alias("_m"))
+    return best.select(key, "_m.*")
+
+
 class KeyedTable:
     """A keyed table in versions: each merge writes the next version beside the last, so a lost writer leaves the last
     one whole. The version is read from the storage each time: the last one that was written to its end."""
@@ -50,6 +56,21 @@ class KeyedTable:
     def merge(self, rows: DataFrame) -> DataFrame:
         """Upsert rows; the newest of each key stays."""
         old = self.read()
-        table = upsert(old if old is not None else rows.limit(0), rows, self.key, self.newest)
-        table.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
+        return self._next(upsert(old if old is not None else rows.limit(0), rows, self.key, self.newest))
+
+    def delete(self, where: Column | str) -> DataFrame:
+        """Remove the rows for which the condition is true; those for which it is null stay."""
+        old = self.read()
+        if old is None:
+            raise ValueError(f"{self.path} holds no table")
+        gone = F.expr(where) if isinstance(where, str) else where
+        return self._next(old.where(~F.coalesce(gone, F.lit(False))))
+
+    def _next(self, table: DataFrame) -> DataFrame:
+        """Write the next version; of those before only the last one stays, for readers that have begun."""
+        now = self.version + 1
+        table.write.mode("overwrite").parquet(f"{self.path}/v{now}")
+        sc = self.spark.sparkContext
+        old = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{now - 2}")
+        old.getFileSystem(sc._jsc.hadoopConfiguration()).delete(old, True)
         return self.read()
