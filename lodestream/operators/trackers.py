@@ -54,8 +54,8 @@ def distinct_window(df: DataFrame, value: str, window_ns: int = HOUR) -> DataFra
     """distinct_n and total_n in (t-w, t], and first_in_window: no equal value in the window before.
 
     A value counts from its first row until w after its last one: rows of a value form runs without gaps of w, each
-    run adds one at its start and takes it off at its end, and a running sum counts the runs that are open. That is
-    n log n, where collecting a set in each frame is quadratic in the frame.
+    run counts from its start until its end, and two running sums tell how many are open. That is n log n in one derivation,
+    where collecting a set in each frame is quadratic in the frame.
     """
     by_value = _ordered(value)
     known = F.col(value).isNotNull()
@@ -64,11 +64,10 @@ def distinct_window(df: DataFrame, value: str, window_ns: int = HOUR) -> DataFra
         "_end": known & F.coalesce(F.lead("t").over(by_value) - F.col("t") >= window_ns, F.lit(True)),
         "total_n": _trailing_sum(known.cast("long"), window_ns),
     })
-    # the end of a run comes as a copy of its last row, made in the same pass, and ahead of rows of that instant
-    out = out.withColumn("_gone", F.explode(F.when(F.col("_end"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    out = out.withColumns({"_at": F.col("t") + F.col("_gone") * F.lit(window_ns), "_step": F.when(F.col("_gone") == 1, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("first_in_window").cast("long"), F.lit(0)))})
-    order = Window.partitionBy("entity").orderBy("_at", F.desc("_gone"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("distinct_n", F.sum("_step").over(order)).where("_gone = 0").drop("_end", "_gone", "_at", "_step")
+    # runs that began by this row, less those that were over by its instant: both frames only grow
+    begun = F.sum(F.coalesce(F.col("first_in_window").cast("long"), F.lit(0))).over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
+    over = F.sum(F.col("_end").cast("long")).over(Window.partitionBy("entity").orderBy("t").rangeBetween(Window.unboundedPreceding, -window_ns))
+    return out.withColumn("distinct_n", begun - F.coalesce(over, F.lit(0))).drop("_end")
 
 
 def ratio_window(df: DataFrame, flag: Column, window_ns: int = 5 * MINUTE, min_denominator: int = 10) -> DataFrame:

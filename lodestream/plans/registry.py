@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.plans import detection_queries, feature_queries, feed_queries, mechanism_queries, rule_searches, search_queries, telemetry_queries, tracker_queries  # noqa: F401  they register their queries
+from lodestream.plans import compositions, detection_queries, feature_queries, feed_queries, mechanism_queries, rule_searches, search_queries, telemetry_queries, tracker_queries  # noqa: F401  they register their queries
 from lodestream.plans.catalog import QUERIES, SQL, Query
 
 FLAGSHIP = "distinct_window"
