@@ -37,6 +37,30 @@ def _peak(keys: str, value: str, source: str, bucket: int, window: int, least: i
     n = f"(SELECT count(DISTINCT b.t // {bucket}) FROM {source} b WHERE {same} AND {spot} AND b.{value} IS NOT NULL)"
     return f"{peak} AS {value}_baseline_max, {n} >= {least} AND {peak} IS NOT NULL AS {value}_baseline_mature"
 
+def _pairs(key: str, begin: str, finish: str, timeout: int) -> str:
+    """SQL: finishes with the starts before them since the last finish, and starts that nothing followed in time. begin and finish are conditions on
+    the alias x."""
+    at = lambda c, x: c.replace("x.", f"{x}.")
+    later = f"SELECT min(b.t) FROM o b WHERE b.entity = a.entity AND (b.t, b.seq) > (a.t, a.seq) AND ({at(begin, 'b')} OR {at(finish, 'b')})"
+    return f"""o AS MATERIALIZED (SELECT * EXCLUDE (entity), {key} AS entity FROM scored WHERE {key} IS NOT NULL),
+ u AS (SELECT *, (SELECT count(*) FROM o b WHERE b.entity = a.entity AND (b.t, b.seq) < (a.t, a.seq) AND {at(finish, 'b')}) AS run FROM o a),
+ f AS (SELECT a.entity, a.t, a.seq, max(b.t) AS s, count(b.t) AS n FROM u a LEFT JOIN u b ON b.entity = a.entity AND b.run = a.run AND {at(begin, 'b')} AND (b.t, b.seq) < (a.t, a.seq) WHERE {at(finish, 'a')} GROUP BY ALL),
+ l AS (SELECT a.entity, a.t, a.seq, ({later}) AS nxt FROM o a WHERE {at(begin, 'a')})
+ SELECT entity, t, seq, CASE WHEN t - s <= {timeout} THEN s END AS start_t, CASE WHEN t - s <= {timeout} THEN n ELSE 0 END AS attempts, CASE WHEN t - s <= {timeout} THEN t - s END AS elapsed_ns, CASE WHEN t - s <= {timeout} THEN 'paired' ELSE 'unpaired' END AS outcome FROM f
+ UNION ALL SELECT entity, t, seq, t, 1, NULL, 'abandoned' FROM l WHERE nxt IS NULL OR nxt - t > {timeout}"""
+
+
+def _held(layer: int, key: str, value: str, idle: int) -> str:
+    """SQL: a key's runs of one value without a silence of more than idle, as intervals."""
+    return f"""g AS (SELECT * EXCLUDE (entity), {key} AS entity, lag(t) OVER w AS pt, lag({value}) OVER w AS pv FROM scored WHERE osi_layer = {layer} WINDOW w AS (PARTITION BY {key} ORDER BY t, seq)),
+ h AS (SELECT *, coalesce(t - pt > {idle}, false) AS idle, CASE WHEN pt IS NULL OR {value} IS DISTINCT FROM pv OR t - pt > {idle} THEN 1 ELSE 0 END AS fresh FROM g),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY t, seq) AS run FROM h),
+ j AS (SELECT entity, run, any_value({value}) AS {value}, min(t) AS start_ns, max(t) AS seen, count(*) AS observations, bool_or(idle AND fresh = 1) AS by_idle FROM i GROUP BY entity, run),
+ k AS (SELECT *, lead(start_ns) OVER w AS nxt, lead(by_idle) OVER w AS nidle FROM j WINDOW w AS (PARTITION BY entity ORDER BY run))
+ SELECT entity, {value}, start_ns, greatest(CASE WHEN nxt IS NULL OR nxt = seen THEN seen + 1 ELSE least(seen + 1, nxt) END, start_ns + 1) AS end_ns, observations,
+ CASE WHEN nxt IS NULL THEN 'open' WHEN nidle THEN 'idle_timeout' WHEN nxt = seen THEN 'conflict' ELSE 'displaced' END AS reason FROM k"""
+
+
 
 @query(f"""{W} SELECT seq, {_sub('count(DISTINCT b.mac)', 'port_key', DAY)} AS macs_per_port, {_sub('count(DISTINCT b.port_key)', 'mac', DAY)} AS ports_per_mac,
  NOT {_sub('count(*) > 0', 'port_key mac', DAY, 'b.seq <> a.seq')} AS macs_per_port_first_in_window FROM scored a""")
@@ -57,7 +81,7 @@ def tc2_arp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc2_arp(df, target_ip="target", window_ns=DAY, min_denominator=5).select("seq", "arp_gratuitous", "macs_claiming_sender_ip", F.round("arp_gratuitous_ratio", 6).alias("arp_gratuitous_ratio"))
 
 
-@query()
+@query(f"""{W}, {_pairs('port_key', "x.lifecycle IN ('start', 'running')", "x.lifecycle = 'end'", DAY)}""")
 def tc2_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc2_auth(scored(spark, sf_dir), result="lifecycle", pending=("start", "running"), timeout_ns=DAY)
 
@@ -103,12 +127,12 @@ def tc1_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc1_device(df).select("seq", "device_rebooted", F.round("route_delta", 6).alias("route_delta"), "device_reboots_in_bucket")
 
 
-@query()
+@query(f"""{W}, {_held(1, 'port_key', 'neighbor', 7 * DAY)}""")
 def tc1_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.binding_intervals(scored(spark, sf_dir).where("osi_layer = 1"), "port_key", ["neighbor"])
 
 
-@query()
+@query(f"""{W}, {_held(2, 'mac', 'port_key', DAY)}""")
 def tc2_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.binding_intervals(scored(spark, sf_dir).where("osi_layer = 2"), "mac", ["port_key"], DAY)
 
@@ -162,7 +186,7 @@ def tc4_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.round("rate_envelope", 6).alias("rate_envelope"), "rate_envelope_breached")
 
 
-@query()
+@query(f"""{W}, {_pairs('session_key', "x.lifecycle = 'start'", "x.lifecycle = 'end'", 5 * DAY)}""")
 def tc5_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc5_session(scored(spark, sf_dir), action="lifecycle", timeout_ns=5 * DAY)
 
