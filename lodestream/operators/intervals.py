@@ -125,9 +125,9 @@ def contradictions(versions: DataFrame, entity: str, values: list[str]) -> DataF
     return both.select(F.col(f"l.{entity}").alias(entity), F.col("l.recorded_at").alias("recorded_at"), F.col("l.valid_from").alias("left_from"), F.col("r.valid_from").alias("right_from"))
 
 
-def pair_sessions(df: DataFrame, begin: Column, finish: Column, timeout_ns: int) -> DataFrame:
+def pair_sessions(df: DataFrame, begin: Column, finish: Column, timeout_ns: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a finish: attempts (starts since the last finish, while none timed out), start_t (the latest start),
-    elapsed_ns and unpaired; and one row a start that nothing followed within timeout_ns: abandoned."""
+    elapsed_ns and unpaired; and one row a start that nothing followed within timeout_ns: abandoned. Columns to carry are those of the row."""
     w = Window.partitionBy("entity").orderBy("t", "seq")
     out = df.withColumns({"_b": begin, "_f": finish})
     out = out.withColumn("_run", F.coalesce(F.sum(F.col("_f").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -135,8 +135,8 @@ def pair_sessions(df: DataFrame, begin: Column, finish: Column, timeout_ns: int)
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumns({"start_t": F.last(F.when(F.col("_b"), F.col("t")), ignorenulls=True).over(before), "attempts": F.coalesce(F.sum(F.col("_b").cast("long")).over(before), F.lit(0)), "_next": F.lead("t").over(Window.partitionBy("entity").orderBy("t", "seq"))})
     fresh = F.col("t") - F.col("start_t") <= timeout_ns
-    ended = out.where("_f").select("entity", "t", "seq", F.when(fresh, F.col("start_t")).alias("start_t"), F.when(fresh, F.col("attempts")).otherwise(0).alias("attempts"), F.when(fresh, F.col("t") - F.col("start_t")).alias("elapsed_ns"), F.when(fresh, "paired").otherwise("unpaired").alias("outcome"))
+    ended = out.where("_f").select("entity", *carry, "t", "seq", F.when(fresh, F.col("start_t")).alias("start_t"), F.when(fresh, F.col("attempts")).otherwise(0).alias("attempts"), F.when(fresh, F.col("t") - F.col("start_t")).alias("elapsed_ns"), F.when(fresh, "paired").otherwise("unpaired").alias("outcome"))
     # the next marked row, in one pass: a frame that ends with the partition would be gone through for each row
     later = F.expr("lead(CASE WHEN _f OR _b THEN t END, 1) IGNORE NULLS OVER (PARTITION BY entity ORDER BY t, seq)")
     left = out.withColumn("_later", later).where(F.col("_b") & (F.col("_later").isNull() | (F.col("_later") - F.col("t") > timeout_ns)))
-    return ended.unionByName(left.select("entity", "t", "seq", F.col("t").alias("start_t"), F.lit(1).cast("long").alias("attempts"), F.lit(None).cast("long").alias("elapsed_ns"), F.lit("abandoned").alias("outcome")))
+    return ended.unionByName(left.select("entity", *carry, "t", "seq", F.col("t").alias("start_t"), F.lit(1).cast("long").alias("attempts"), F.lit(None).cast("long").alias("elapsed_ns"), F.lit("abandoned").alias("outcome")))

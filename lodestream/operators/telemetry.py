@@ -107,10 +107,13 @@ def tc1_normalize(df: DataFrame, keys: list[str], counters: list[str], bits: int
     return out
 
 
-def tc1_rate(df: DataFrame, key: str = "entity_key", errors: str = "errors_delta", octets: str = "octets_delta", speed_bps: str | None = None, bucket_ns: int = 5 * MINUTE, window_ns: int = 14 * DAY, min_buckets: int = 36) -> DataFrame:
-    """error_rate and bits_per_second, utilisation, and both against the port's own peaks: traffic by hour of the day."""
+def tc1_rate(df: DataFrame, key: str = "entity_key", errors: str = "errors_delta", octets: str = "octets_delta", speed_bps: str | None = None, bucket_ns: int = 5 * MINUTE, window_ns: int = 14 * DAY, min_buckets: int = 36, discards: tuple[str, ...] = ()) -> DataFrame:
+    """error_rate and bits_per_second, utilisation, discard_rate (of what is known of the deltas), and both against the port's own peaks: traffic by hour of the day."""
     per = F.when(F.col("interval_seconds") > 0, F.col("interval_seconds"))
     out = df.withColumns({"error_rate": F.col(errors) / per, "bits_per_second": 8 * F.col(octets) / per, "_hour": F.pmod(F.floor(F.col("t") / HOUR), F.lit(24))})
+    if discards:
+        told = F.greatest(*(F.col(c).isNotNull() for c in discards), F.lit(False))
+        out = out.withColumn("discard_rate", F.when(told, sum((F.coalesce(F.col(c), F.lit(0)) for c in discards), F.lit(0))) / per)
     if speed_bps:
         out = out.withColumn("utilisation", F.when(F.col(speed_bps) > 0, F.col("bits_per_second") / F.col(speed_bps)))
     out = baseline(out, [key], "error_rate", bucket_ns, window_ns, min_buckets)
@@ -181,10 +184,28 @@ def tc2_arp(df: DataFrame, sender_ip: str = "src_ip", sender_mac: str = "mac", t
     return distinct(out, [sender_ip], sender_mac, "macs_claiming_sender_ip", window_ns)
 
 
-def tc2_auth(df: DataFrame, key: str = "port_key", result: str = "result", pending: tuple[str, ...] = ("pending", "start"), timeout_ns: int = 5 * MINUTE) -> DataFrame:
-    """One row a finished 802.1X exchange of a port: attempts and the time since it began."""
-    own = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("entity"), "t", "seq", F.lower(result).alias("r"))
-    return intervals.pair_sessions(own, F.col("r").isin(*pending), ~F.col("r").isin(*pending), timeout_ns)
+#: Results of an exchange that goes on, and of sign-ins and second factors that succeed.
+PENDING = ("started", "start", "in-progress", "in_progress", "pending", "request")
+SUCCESSES = ("success", "succeeded", "allow", "allowed", "0")
+APPROVALS = ("success", "succeeded", "approved", "approve", "allow", "allowed", "accept")
+
+
+def _timed(pairs: DataFrame, key: str, name: str, window_ns: int, min_samples: int) -> DataFrame:
+    """Of paired rows the elapsed time against the key's own: _p99 of those before (null below min_samples), _ratio and _samples."""
+    known = pairs.withColumn("_known", F.when(F.col("outcome") == "paired", F.col("elapsed_ns") / F.lit(float(SECOND))))
+    out = track(known, [key], lambda d: trackers.transfer_envelope(d, "v", window_ns, 0.99, 1.0, min_samples), {"v": "_known"}, {"envelope": f"{name}_p99", "envelope_ratio": f"{name}_ratio", "samples": f"{name}_samples"})
+    return out.withColumnRenamed("_known", f"{name}_seconds")
+
+
+def tc2_auth(df: DataFrame, key: str = "port_key", result: str = "result", pending: tuple[str, ...] = PENDING, timeout_ns: int = 5 * MINUTE, supplicants: tuple[str, ...] = (), window_ns: int = 30 * DAY, min_samples: int = 100) -> DataFrame:
+    """One row a finished 802.1X exchange of a port, or of the first of the supplicants that is known on it: attempts, the time since it
+    began, and that time against the port's own exchanges. A row without a result begins one, as does a pending result."""
+    r = F.lower(normalize_text(F.col(result)))
+    who = F.coalesce(*(normalize_text(F.col(c).cast("string")) for c in supplicants)) if supplicants else F.lit(None).cast("string")
+    port = F.col(key).cast("string")
+    own = df.where(F.col(key).isNotNull()).select(F.coalesce(compose_key(port, who), port).alias("entity"), port.alias("auth_port_key"), "t", "seq", r.alias("r"))
+    starts = F.coalesce(F.col("r").isin(*pending), F.lit(True))
+    return _timed(intervals.pair_sessions(own, starts, ~starts, timeout_ns, ("auth_port_key",)), "auth_port_key", "auth_elapsed", window_ns, min_samples)
 
 
 # layer 3
@@ -257,10 +278,11 @@ def envelope(df: DataFrame, keys: list[str], value: str, window_ns: int, min_sam
 # layer 5
 
 
-def tc5_session(df: DataFrame, session: str = "session_key", action: str = "action", starts: tuple[str, ...] = ("start", "session_start", "logon", "login"), ends: tuple[str, ...] = ("end", "session_end", "logoff", "logout"), timeout_ns: int = 36 * HOUR) -> DataFrame:
-    """One row a session's end: the latest start before it and the time between."""
-    own = df.where(F.col(session).isNotNull()).select(F.col(session).cast("string").alias("entity"), "t", "seq", F.lower(action).alias("a"))
-    return intervals.pair_sessions(own, F.col("a").isin(*starts), F.col("a").isin(*ends), timeout_ns)
+def tc5_session(df: DataFrame, session: str = "session_key", action: str = "action", starts: tuple[str, ...] = ("start", "session_start", "logon", "login"), ends: tuple[str, ...] = ("end", "session_end", "logoff", "logout"), timeout_ns: int = 36 * HOUR, principal: str = "principal", window_ns: int = 30 * DAY, min_samples: int = 100) -> DataFrame:
+    """One row a session's end, or a start that nothing followed: its duration against the principal's own sessions (principal is null where unknown)."""
+    own = df.where(F.col(session).isNotNull()).select(F.col(session).cast("string").alias("entity"), F.col(principal).cast("string").alias("principal"), "t", "seq", F.lower(action).alias("a"))
+    pairs = intervals.pair_sessions(own, F.col("a").isin(*starts), F.col("a").isin(*ends), timeout_ns, ("principal",))
+    return _timed(pairs, "principal", "session_duration", window_ns, min_samples)
 
 
 def tc5_novelty(df: DataFrame, principal: str = "principal", columns: dict[str, str] | None = None, asn: str = "asn", window_ns: int = DAY) -> DataFrame:
@@ -296,12 +318,22 @@ def tc5_travel(df: DataFrame, principal: str = "principal", latitude: str = "lat
     return out.withColumn("travel_status", F.when(F.col(principal).isNotNull(), status))
 
 
-def tc5_risk(df: DataFrame, principal: str = "principal", success: Column | None = None, mfa: Column | None = None, run_ns: int = 10 * MINUTE, ratio_ns: int = DAY, min_denominator: int = 10) -> DataFrame:
-    """Runs of failures that end in a success, and the share of sign-ins with a second factor."""
-    ok = success if success is not None else F.col("auth_result") == "success"
+def tc5_risk(df: DataFrame, principal: str = "principal", success: Column | None = None, mfa: Column | None = None, run_ns: int = 10 * MINUTE, ratio_ns: int = DAY, min_denominator: int = 10, mfa_result: Column | None = None) -> DataFrame:
+    """Runs of failures that end in a success, the share of sign-ins with a second factor, and with mfa_result (a text) runs of its denials that
+    end in an approval. Rows whose outcome isn't known count in no run and have no counts."""
+    ok = success if success is not None else F.lower(normalize_text(F.col("auth_result"))).isin(*SUCCESSES)
     factor = mfa if mfa is not None else F.col("mfa_used")
-    out = track(df, [principal], lambda d: trackers.outcome_run(d, F.col("ok"), run_ns), {"ok": ok}, {"attempts": "auth_attempts_in_window", "failures": "auth_failures_in_window", "consecutive_failures": "consecutive_auth_failures", "failure_then_success": "auth_failed_then_succeeded"})
-    return track(out, [principal], lambda d: trackers.ratio_window(d, F.col("m"), ratio_ns, min_denominator), {"m": factor}, {"ratio": "mfa_ratio"})
+    answer = F.lower(normalize_text(mfa_result)) if mfa_result is not None else F.lit(None).cast("string")
+    out = df.withColumn("mfa_challenge", F.coalesce(factor, F.lit(False)) | answer.isNotNull())
+    runs = [("auth", ok, ("attempts", "failures"), "consecutive_auth_failures", "auth_failed_then_succeeded")]
+    if mfa_result is not None:
+        runs.append(("mfa", answer.isin(*APPROVALS), ("attempts", "denials"), "consecutive_mfa_denials", "mfa_denied_then_approved"))
+    for name, good, (tries, bad), run, ended in runs:
+        names = {"attempts": f"{name}_{tries}_in_window", "failures": f"{name}_{bad}_in_window", "consecutive_failures": run, "failure_then_success": ended}
+        # rows without an outcome are a key of their own
+        out = track(out.withColumn("_told", good.isNotNull()), [principal, "_told"], lambda d: trackers.outcome_run(d, F.col("ok"), run_ns), {"ok": good}, names)
+        out = out.withColumns({n: F.when(F.col("_told"), F.col(n)) for n in names.values()}).drop("_told")
+    return track(out, [principal], lambda d: trackers.ratio_window(d, F.col("m"), ratio_ns, min_denominator), {"m": "mfa_challenge"}, {"ratio": "mfa_ratio"})
 
 
 def tc5_drift(df: DataFrame, entity: str = "principal", score: str = "mean_abs_z", window: str = "window_id", aggregate: str = "mean", min_windows: int = 4) -> DataFrame:

@@ -37,17 +37,22 @@ def _peak(keys: str, value: str, source: str, bucket: int, window: int, least: i
     n = f"(SELECT count(DISTINCT b.t // {bucket}) FROM {source} b WHERE {same} AND {spot} AND b.{value} IS NOT NULL)"
     return f"{peak} AS {value}_baseline_max, {n} >= {least} AND {peak} IS NOT NULL AS {value}_baseline_mature"
 
-def _pairs(key: str, begin: str, finish: str, timeout: int) -> str:
+def _pairs(key: str, begin: str, finish: str, timeout: int, by: str, name: str) -> str:
     """SQL: finishes with the starts before them since the last finish, and starts that nothing followed in time. begin and finish are conditions on
-    the alias x."""
+    the alias x. Elapsed times are held against those of ``by`` before."""
     at = lambda c, x: c.replace("x.", f"{x}.")
     later = f"SELECT min(b.t) FROM o b WHERE b.entity = a.entity AND (b.t, b.seq) > (a.t, a.seq) AND ({at(begin, 'b')} OR {at(finish, 'b')})"
-    return f"""o AS MATERIALIZED (SELECT * EXCLUDE (entity), {key} AS entity FROM scored WHERE {key} IS NOT NULL),
+    by_name = "auth_port_key" if name == "auth_elapsed" else "principal"
+    return f"""o AS MATERIALIZED (SELECT * EXCLUDE (entity), {key} AS entity, {by} AS k FROM scored WHERE {key} IS NOT NULL),
  u AS (SELECT *, (SELECT count(*) FROM o b WHERE b.entity = a.entity AND (b.t, b.seq) < (a.t, a.seq) AND {at(finish, 'b')}) AS run FROM o a),
- f AS (SELECT a.entity, a.t, a.seq, max(b.t) AS s, count(b.t) AS n FROM u a LEFT JOIN u b ON b.entity = a.entity AND b.run = a.run AND {at(begin, 'b')} AND (b.t, b.seq) < (a.t, a.seq) WHERE {at(finish, 'a')} GROUP BY ALL),
- l AS (SELECT a.entity, a.t, a.seq, ({later}) AS nxt FROM o a WHERE {at(begin, 'a')})
- SELECT entity, t, seq, CASE WHEN t - s <= {timeout} THEN s END AS start_t, CASE WHEN t - s <= {timeout} THEN n ELSE 0 END AS attempts, CASE WHEN t - s <= {timeout} THEN t - s END AS elapsed_ns, CASE WHEN t - s <= {timeout} THEN 'paired' ELSE 'unpaired' END AS outcome FROM f
- UNION ALL SELECT entity, t, seq, t, 1, NULL, 'abandoned' FROM l WHERE nxt IS NULL OR nxt - t > {timeout}"""
+ f AS (SELECT a.entity, a.k, a.t, a.seq, max(b.t) AS s, count(b.t) AS n FROM u a LEFT JOIN u b ON b.entity = a.entity AND b.run = a.run AND {at(begin, 'b')} AND (b.t, b.seq) < (a.t, a.seq) WHERE {at(finish, 'a')} GROUP BY ALL),
+ l AS (SELECT a.entity, a.k, a.t, a.seq, ({later}) AS nxt FROM o a WHERE {at(begin, 'a')}),
+ p AS MATERIALIZED (SELECT entity, k, t, seq, CASE WHEN t - s <= {timeout} THEN s END AS start_t, CASE WHEN t - s <= {timeout} THEN n ELSE 0 END AS attempts, CASE WHEN t - s <= {timeout} THEN t - s END AS elapsed_ns, CASE WHEN t - s <= {timeout} THEN 'paired' ELSE 'unpaired' END AS outcome FROM f
+ UNION ALL SELECT entity, k, t, seq, t, 1, NULL, 'abandoned' FROM l WHERE nxt IS NULL OR nxt - t > {timeout}),
+ q AS (SELECT a.seq, list_sort(list(b.elapsed_ns)) AS l, count(*) AS n FROM p a JOIN p b ON b.k = a.k AND b.elapsed_ns IS NOT NULL AND b.t < a.t AND b.t >= a.t - {30 * DAY} WHERE a.elapsed_ns IS NOT NULL GROUP BY a.seq),
+ r AS (SELECT p.*, elapsed_ns / 1000000000.0 AS sec, CASE WHEN n >= 5 THEN l[CAST(ceil(0.99 * n) AS INT)] / 1000000000.0 END AS p99,
+  CASE WHEN elapsed_ns IS NOT NULL THEN (SELECT count(*) FROM p b WHERE b.k = p.k AND b.elapsed_ns IS NOT NULL AND b.t >= p.t - {30 * DAY} AND (b.t, b.seq) <= (p.t, p.seq)) END AS samples FROM p LEFT JOIN q USING (seq))
+ SELECT entity, k AS {by_name}, t, seq, start_t, attempts, elapsed_ns, outcome, round(sec, 6) AS {name}_seconds, round(p99, 6) AS {name}_p99, round(CASE WHEN p99 <> 0 THEN sec / p99 END, 6) AS {name}_ratio, samples AS {name}_samples FROM r"""
 
 
 def _held(layer: int, key: str, value: str, idle: int) -> str:
@@ -81,9 +86,15 @@ def tc2_arp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc2_arp(df, target_ip="target", window_ns=DAY, min_denominator=5).select("seq", "arp_gratuitous", "macs_claiming_sender_ip", F.round("arp_gratuitous_ratio", 6).alias("arp_gratuitous_ratio"))
 
 
-@query(f"""{W}, {_pairs('port_key', "x.lifecycle IN ('start', 'running')", "x.lifecycle = 'end'", DAY)}""")
+def _six(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumns({f"{name}_{c}": F.round(f"{name}_{c}", 6) for c in ("seconds", "p99", "ratio")})
+
+
+@query(f"""{W}, {_pairs("port_key || ':' || mac", "(x.lifecycle = 'start' OR x.seq % 7 = 0)", "NOT (x.lifecycle = 'start' OR x.seq % 7 = 0)", 5 * DAY, 'port_key', 'auth_elapsed')}""")
 def tc2_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tc.tc2_auth(scored(spark, sf_dir), result="lifecycle", pending=("start", "running"), timeout_ns=DAY)
+    """Exchanges by supplicant; those without a result go on."""
+    df = scored(spark, sf_dir).withColumn("outcome_text", F.when(F.col("seq") % 7 > 0, F.initcap("lifecycle")))
+    return _six(tc.tc2_auth(df, result="outcome_text", timeout_ns=5 * DAY, supplicants=("mac",), min_samples=5), "auth_elapsed")
 
 
 @query(f"""{W} SELECT seq, {_novel('port_key', 'neighbor', 'neighbor')} FROM scored a""")
@@ -186,9 +197,9 @@ def tc4_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.round("rate_envelope", 6).alias("rate_envelope"), "rate_envelope_breached")
 
 
-@query(f"""{W}, {_pairs('session_key', "x.lifecycle = 'start'", "x.lifecycle = 'end'", 5 * DAY)}""")
+@query(f"""{W}, {_pairs('session_key', "x.lifecycle = 'start'", "x.lifecycle = 'end'", 5 * DAY, 'principal', 'session_duration')}""")
 def tc5_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tc.tc5_session(scored(spark, sf_dir), action="lifecycle", timeout_ns=5 * DAY)
+    return _six(tc.tc5_session(scored(spark, sf_dir), action="lifecycle", timeout_ns=5 * DAY, min_samples=5), "session_duration")
 
 
 @query(f"""{W} SELECT seq, {_sub('count(*)', 'principal', DAY)} AS logcount, {_novel('principal', 'dst_ip', 'location')}, {_sub('count(DISTINCT b.asn)', 'principal', DAY)} AS asns_in_window FROM scored a""")
@@ -209,11 +220,26 @@ def tc5_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.tc5_travel(df, success=F.col("auth_result") == "success").select("seq", "travel_status")
 
 
-@query(f"""{W} SELECT seq, {_sub('count(*)', 'principal', 5 * DAY)} AS auth_attempts_in_window, {_sub('count(*)', 'principal', 5 * DAY, "b.auth_result <> 'success'")} AS auth_failures_in_window,
- round(CASE WHEN {_sub('count(*)', 'principal', DAY)} >= 3 THEN {_sub('count(*)', 'principal', DAY, 'b.device_first_seen')} / {_sub('count(*)', 'principal', DAY)} END, 6) AS mfa_ratio FROM scored a""")
+def _run(source: str) -> str:
+    """SQL: failures just before the row that are still in its window, since the last success."""
+    ok = f"coalesce((SELECT max((b.t, b.seq)) FROM {source} b WHERE b.principal = a.principal AND b.good AND (b.t, b.seq) < (a.t, a.seq)), (CAST(-1 AS BIGINT), CAST(-1 AS BIGINT)))"
+    return f"(SELECT count(*) FROM {source} b WHERE b.principal = a.principal AND (b.t, b.seq) < (a.t, a.seq) AND (b.t, b.seq) > {ok} AND b.t > a.t - {5 * DAY})"
+
+
+@query(f"""{W}, g AS (SELECT *, CASE WHEN seq % 11 > 0 THEN auth_result = 'success' END AS ok, CASE seq % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS granted FROM scored),
+ x AS MATERIALIZED (SELECT *, ok AS good FROM g WHERE ok IS NOT NULL), y AS MATERIALIZED (SELECT *, granted AS good FROM g WHERE granted IS NOT NULL),
+ p AS (SELECT seq, good, {_sub('count(*)', 'principal', 5 * DAY, source='x')} AS n, {_sub('count(*)', 'principal', 5 * DAY, 'NOT b.good', source='x')} AS bad, {_run('x')} AS run FROM x a),
+ q AS (SELECT seq, good, {_sub('count(*)', 'principal', 5 * DAY, source='y')} AS n, {_sub('count(*)', 'principal', 5 * DAY, 'NOT b.good', source='y')} AS bad, {_run('y')} AS run FROM y a),
+ c AS (SELECT *, device_first_seen OR granted IS NOT NULL AS challenge FROM g)
+ SELECT a.seq, challenge AS mfa_challenge, p.n AS auth_attempts_in_window, p.bad AS auth_failures_in_window, p.run AS consecutive_auth_failures, p.good AND p.run > 0 AS auth_failed_then_succeeded,
+ q.n AS mfa_attempts_in_window, q.bad AS mfa_denials_in_window, q.run AS consecutive_mfa_denials, q.good AND q.run > 0 AS mfa_denied_then_approved,
+ round(CASE WHEN {_sub('count(*)', 'principal', DAY, source='c')} >= 3 THEN {_sub('count(*)', 'principal', DAY, 'b.challenge', source='c')} / {_sub('count(*)', 'principal', DAY, source='c')} END, 6) AS mfa_ratio FROM c a LEFT JOIN p USING (seq) LEFT JOIN q USING (seq)""")
 def tc5_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tc.tc5_risk(scored(spark, sf_dir), mfa=F.col("device_first_seen"), run_ns=5 * DAY, min_denominator=3)
-    return out.select("seq", "auth_attempts_in_window", "auth_failures_in_window", F.round("mfa_ratio", 6).alias("mfa_ratio"))
+    """Sign-ins and second factors, some of no known outcome."""
+    df = scored(spark, sf_dir).withColumn("auth_result", F.when(F.col("seq") % 11 > 0, F.col("auth_result")))
+    answers = F.expr("CASE seq % 4 WHEN 0 THEN 'Approved' WHEN 1 THEN 'denied' WHEN 2 THEN 'timeout' END")
+    out = tc.tc5_risk(df, mfa=F.col("device_first_seen"), run_ns=5 * DAY, min_denominator=3, mfa_result=answers)
+    return out.select("seq", "mfa_challenge", "auth_attempts_in_window", "auth_failures_in_window", "consecutive_auth_failures", "auth_failed_then_succeeded", "mfa_attempts_in_window", "mfa_denials_in_window", "consecutive_mfa_denials", "mfa_denied_then_approved", F.round("mfa_ratio", 6).alias("mfa_ratio"))
 
 
 @query(f"""{W}, d AS (SELECT principal, day_id, avg(mean_abs_z) AS z FROM scored GROUP BY ALL) SELECT principal AS entity, day_id AS window_id, round(z, 6) AS score, round(CASE WHEN lag(day_id) OVER w = day_id - 1 THEN z - lag(z) OVER w END, 6) AS velocity FROM d WINDOW w AS (PARTITION BY principal ORDER BY day_id)""")
