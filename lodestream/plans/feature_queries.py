@@ -161,3 +161,16 @@ def daily_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     out = schema.daily_counters(raw, "user_id", "ts", "event_id", {"appincrement": F.col("event_type"), "locincrement": F.floor(F.col("value") / 10)})
     return out.select(F.col("event_id").alias("seq"), "day", "logcount", "appincrement", "locincrement")
+
+
+@query(f"""WITH {E}, a AS (SELECT seq, 'FE80' || repeat('0', 20) || printf('%04X', 1 + seq % 9) || printf('%04X', entity % 300) AS x, 'FE80' || repeat('0', 20) || printf('%04X', 5) || printf('%04X', seq % 300) AS y, 'fe80::' || printf('%x', 1 + seq % 9) || ':' || printf('%x', entity % 300) AS xt,
+ CASE seq % 4 WHEN 0 THEN 6 WHEN 1 THEN 58 WHEN 2 THEN 58 ELSE 50 END AS proto, CASE seq % 4 WHEN 0 THEN 1024 + seq % 77 WHEN 1 THEN 128 + seq % 2 WHEN 2 THEN 3 END AS p, CASE seq % 4 WHEN 0 THEN 1060 WHEN 1 THEN 0 WHEN 2 THEN seq % 5 END AS q FROM e),
+ b AS (SELECT *, CASE WHEN proto = 58 AND p >= 128 THEN 257 - p ELSE q END AS r, proto = 58 AND p < 128 AS one_way FROM a), c AS (SELECT *, NOT one_way AND (x > y OR (x = y AND coalesce(p > r, false))) AS swap FROM b)
+ SELECT seq, xt AS source, '1:' || base64(unhex(sha1(unhex('0001' || CASE WHEN swap THEN y || x ELSE x || y END || printf('%02X', proto) || '00' || coalesce(CASE WHEN swap THEN printf('%04X', r) || printf('%04X', p) ELSE printf('%04X', p) || printf('%04X', r) END, ''))))) AS community_id FROM c""")
+def community_id_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of IPv6 with ports, messages that answer each other, messages that don't, and a protocol without ports."""
+    low = lambda e: F.lower(F.hex(F.expr(e).cast("long")))
+    df = events(spark, sf_dir).withColumns({"source": F.concat(F.lit("fe80::"), low("1 + seq % 9"), F.lit(":"), low("entity % 300")), "target": F.concat(F.lit("FE80:0:0:0:0:0:5:"), low("seq % 300"))})
+    proto = F.expr("CASE seq % 4 WHEN 0 THEN 'tcp' WHEN 1 THEN 'icmp6' WHEN 2 THEN '58' ELSE '50' END")
+    sport, dport = F.expr("CASE seq % 4 WHEN 0 THEN 1024 + seq % 77 WHEN 1 THEN 128 + seq % 2 WHEN 2 THEN 3 END"), F.expr("CASE seq % 4 WHEN 0 THEN 1060 WHEN 1 THEN 0 WHEN 2 THEN seq % 5 END")
+    return df.select("seq", "source", network.community_id(F.col("source"), F.col("target"), proto, sport, dport, seed=1).alias("community_id"))
