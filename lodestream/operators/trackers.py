@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.order_statistics import window_order_statistics
+from lodestream.operators.stabbing import covering
 
 SECOND = 1_000_000_000
 MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86400 * SECOND
@@ -141,11 +142,19 @@ def nearest_rank(values: Column, quantile: float) -> Column:
 
 
 def value_history(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:
-    """established: the mode of the prior instants in [t-w, t), null below min_samples; history_n; deviates."""
-    prior = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, -1)
-    out = df.withColumn("_h", F.collect_list(value).over(prior))
-    out = out.withColumns({"history_n": F.size("_h").cast("long"), "established": F.when(F.size("_h") >= min_samples, mode_of(F.col("_h")))})
-    return out.withColumn("deviates", F.col(value) != F.col("established")).drop("_h")
+    """established: the mode of the prior instants in [t-w, t), null below min_samples; history_n; deviates. Ties go to the largest value. Needs a
+    unique seq; rows without an entity have no mode."""
+    # how often a value stands in the window changes when a row of it enters or leaves; between changes its count is an interval,
+    # and the mode is the covering interval of the greatest (count, value)
+    known = df.where(F.col(value).isNotNull()).select("entity", F.col(value).alias("_v"), F.explode(F.array(F.struct((F.col("t") + 1).alias("at"), F.lit(1).alias("d")), F.struct((F.col("t") + window_ns + 1).alias("at"), F.lit(-1).alias("d")))).alias("_s"))
+    steps = known.groupBy("entity", "_v", F.col("_s.at").alias("_from")).agg(F.sum("_s.d").alias("_d"))
+    by_value = Window.partitionBy("entity", "_v").orderBy("_from")
+    counts = steps.withColumns({"_n": F.sum("_d").over(by_value.rowsBetween(Window.unboundedPreceding, 0)), "_to": F.lead("_from").over(by_value)}).where("_n > 0")
+    out = covering(df, counts, "entity", "_from", "_to", ["_n", "_v"], ["_v"], "_mode")
+    upto = Window.partitionBy("entity").orderBy("t")
+    n = F.count(value).over(upto.rangeBetween(Window.unboundedPreceding, -1)) - F.count(value).over(upto.rangeBetween(Window.unboundedPreceding, -window_ns - 1))
+    out = out.withColumn("history_n", n).withColumn("established", F.when(F.col("history_n") >= min_samples, F.col("_mode._v")))
+    return out.withColumn("deviates", F.col(value) != F.col("established")).drop("_mode")
 
 
 def value_floor(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:
