@@ -312,7 +312,7 @@ def test_repeats_in_pieces(monkeypatch):
     whole = suffix_dedup.anchors(raw, powers)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     parts = suffix_dedup.anchors(raw, powers)
-    assert sorted((b - a for a, b in zip(parts[2], parts[3], strict=True)), reverse=True) and set(whole[0]) == set(parts[0])
+    assert set(whole[0]) == set(parts[0])
     assert sum(b - a + 1 for a, b in zip(parts[2], parts[3], strict=True)) == 4000 - 49
 
 
@@ -365,7 +365,7 @@ def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT-text"]
     rows = [(1, "Some text\nReleased under the MIT License.\nmore"), (2, mit.replace(". ", ".\n")), (3, "This work is licensed under the GNU General Public License, version 2."), (4, None), (5, ""), (6, "nothing of the kind"), (7, "ALL RIGHTS, reserved!"), (8, "word " * 20000)]
     got = {r.doc_id: (r.license, list(r.licenses)) for r in license_scan.scan_licenses(docs(spark, rows, extra=True)).collect()}
-    assert got[1] == ("MIT", ["MIT"]) and got[2][0] == "MIT-text" and got[3] == ("GPL-2.0", ["GPL-2.0", "GPL-3.0", "LGPL-3.0"][:2] if "LGPL-3.0" not in got[3][1] else got[3][1])
+    assert got[1] == ("MIT", ["MIT"]) and got[2][0] == "MIT-text" and got[3] == ("GPL-2.0", ["GPL-2.0", "GPL-3.0"])
     assert got[7][0] == "all-rights-reserved" and all(got[k] == (None, []) for k in (4, 5, 6, 8))
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
     assert license_scan.scan_licenses(docs(spark, rows), templates={}).where("license IS NOT NULL").count() == 0
