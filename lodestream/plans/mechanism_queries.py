@@ -100,6 +100,17 @@ def captured_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.packets(frames).drop("path").withColumnRenamed("offset", "seq")
 
 
+@query(f"""WITH {E} SELECT seq, t AS received_ns, 1 + seq % 2 AS operation, '02:00:00:00:' || lpad(printf('%x', entity % 250), 2, '0') || ':01' AS sha, '10.3.0.' || (entity % 250) AS spa, '02:00:00:00:ab:' || lpad(printf('%x', seq % 200), 2, '0') AS tha, '10.3.1.' || (seq % 200) AS tpa FROM e WHERE seq % 5 > 0""")
+def captured_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as address-resolution packets, some tagged, some for other hardware."""
+    kind = F.when(F.col("seq") % 5 > 0, "0001").otherwise("0006")
+    sender, target = F.concat(F.lit("02000000"), _hex("entity % 250", 1), F.lit("01"), F.lit("0A0300"), _hex("entity % 250", 1)), F.concat(F.lit("02000000AB"), _hex("seq % 200", 1), F.lit("0A0301"), _hex("seq % 200", 1))
+    tag = F.when(F.col("seq") % 3 == 0, "81000009").otherwise("")
+    frame = F.unhex(F.concat(F.lit("FF" * 12), tag, F.lit("0806"), kind, F.lit("08000604"), _hex("1 + seq % 2", 2), sender, target))
+    frames = events(spark, sf_dir).select(F.lit("events").alias("path"), F.col("seq").alias("offset"), F.col("t").alias("received_ns"), frame.alias("frame"))
+    return captures.address_packets(frames).drop("path").withColumnRenamed("offset", "seq")
+
+
 @query(f"""WITH {E}, m AS (SELECT seq, t, entity % 5 AS x, entity, seq % 40 = 0 AS announces FROM e)
  SELECT seq, t AS received_ns, '10.9.0.' || x AS exporter_address, 3 AS observation_domain_id, 1700000000 + seq AS export_time, '10.1.' || (entity % 250) || '.1' AS source, '10.2.0.' || (seq % 200) AS destination, 1000 * seq AS octets, 7 + seq AS packets, seq % 6 AS reverse_octets
  FROM m WHERE seq % 11 > 0 AND EXISTS (SELECT 1 FROM m b WHERE b.x = m.x AND b.announces AND b.seq % 11 > 0 AND b.seq <= m.seq)""")

@@ -202,6 +202,20 @@ def packets(frames: DataFrame) -> DataFrame:
     )
 
 
+def _hardware(hexed: Column, at: Column) -> Column:
+    """Six bytes from a place on as a hardware address."""
+    return F.concat_ws(":", *(F.lower(F.substring(hexed, 2 * (at + k) + 1, F.lit(2))) for k in range(6)))
+
+
+def address_packets(frames: DataFrame) -> DataFrame:
+    """The address-resolution packets of Ethernet and IPv4: path, offset, received_ns, operation, sha, spa, tha, tpa. Others are left out."""
+    hexed, at = F.col("hexed"), F.col("at")
+    out = frames.withColumns({"hexed": F.hex("frame"), "size": F.octet_length("frame")})
+    tagged = (_number(hexed, F.lit(12), 2) == 0x8100) & (F.col("size") >= 18)
+    out = out.withColumn("at", F.when(tagged, 18).otherwise(14)).where((F.col("size") >= F.col("at") + 28) & (F.substring(hexed, 2 * at - 3, F.lit(16)) == "0806000108000604"))
+    return out.select("path", "offset", "received_ns", _number(hexed, at + 6, 2).alias("operation"), _hardware(hexed, at + 8).alias("sha"), _address(hexed, at + 14).alias("spa"), _hardware(hexed, at + 18).alias("tha"), _address(hexed, at + 24).alias("tpa"))
+
+
 # flow records
 
 MESSAGE = "path string, offset long, received_ns long, exporter_address string, message binary"

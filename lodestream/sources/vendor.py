@@ -74,6 +74,11 @@ def read_export(spark: SparkSession, path: str, array: str, schema: str | None =
     return _numbered(read_records(spark, path, array, schema))
 
 
+def read_objects(spark: SparkSession, path: str, schema: str, array: bool = False) -> DataFrame:
+    """Records of an audit log, values as written, numbered by seq: a JSON object a line, or with array one JSON array a file (which one task reads)."""
+    return _numbered(spark.read.schema(schema).option("multiLine", str(array).lower()).json(path))
+
+
 def read_audit_properties(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Audit records, a JSON object a line, by their ``properties`` object or, without one, by their own fields."""
     raw = _numbered(spark.read.text(path)).where(F.trim("value") != "")

@@ -42,3 +42,12 @@ def test_exports_and_audits(spark, tmp_path):
     assert sorted(r.sys_id for r in vendor.read_export(spark, str(tmp_path / "r.json"), "result", "result array<struct<sys_id string>>").collect()) == ["1", "2"]
     path = lines(tmp_path, "a.json", [{"properties": {"result": "success"}}, {"result": "failure"}])
     assert [r.result for r in vendor.read_audit_properties(spark, path, "result string").orderBy("seq").collect()] == ["success", "failure"]
+
+
+def test_audit_log_of_lines_or_of_one_array(spark, tmp_path):
+    rows = [{"Operation": "FileAccessed", "UserId": "a", "extra": 1}, {"Operation": "Login"}]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "array.json").write_text(json.dumps(rows, indent=1))
+    for name, array in (("lines.json", False), ("array.json", True)):
+        got = vendor.read_objects(spark, str(tmp_path / name), "Operation string, UserId string", array)
+        assert [(r.Operation, r.UserId) for r in got.orderBy("seq").collect()] == [("FileAccessed", "a"), ("Login", None)]
