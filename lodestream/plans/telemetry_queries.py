@@ -126,9 +126,23 @@ def tc1_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "rx_dbm_baseline_samples", *[F.round(c, 6).alias(c) for c in ("rx_dbm_baseline", "rx_dbm_deviation")])
 
 
-@query()
+#: SQL for both engines: levels that fall, that scatter, that rise and that are missing now and then, by port.
+LEVEL = f"""CASE WHEN seq % 23 > 0 THEN CASE length(port_key) + entity % 2 WHEN 2 THEN cast(-5 AS double) - cast(t - 1704067200000000000 AS double) / {DAY} * cast(0.15 AS double) + cast(seq % 7 AS double) / 50
+  WHEN 3 THEN cast(-4 AS double) - cast(seq % 60 AS double) / 10 ELSE cast(-8 AS double) + cast(t - 1704067200000000000 AS double) / {DAY} * cast(0.02 AS double) + cast(seq % 5 AS double) / 100 END END"""
+
+
+@query(f"""{W}, p AS (SELECT seq, t, port_key || (entity % 2) AS port, {LEVEL} AS x FROM scored),
+ m AS (SELECT a.seq, count(*) AS n, regr_slope(b.x, (b.t - a.t) / {float(DAY)}) AS s, regr_intercept(b.x, (b.t - a.t) / {float(DAY)}) AS now, regr_sxx(b.x, (b.t - a.t) / {float(DAY)}) AS sxx, regr_sxy(b.x, (b.t - a.t) / {float(DAY)}) AS sxy, regr_syy(b.x, (b.t - a.t) / {float(DAY)}) AS syy
+  FROM p a JOIN p b ON b.port = a.port AND b.x IS NOT NULL AND b.t > a.t - {7 * DAY} AND b.t <= a.t GROUP BY a.seq),
+ g AS (SELECT p.seq, x, CASE WHEN n >= 12 AND sxx > 0 THEN s END AS s, now, sqrt(greatest(syy - s * sxy, 0) / n) AS rms, sqrt(greatest(syy - s * sxy, 0) / (n - 2) / sxx) AS se FROM p LEFT JOIN m USING (seq)),
+ k AS (SELECT *, CASE WHEN x IS NULL THEN 'no_reading' WHEN s IS NULL THEN 'immature' WHEN x <= -9 THEN 'below_floor' WHEN rms > 0.5 THEN 'nonlinear' WHEN s >= 0 OR abs(s) / se < 4 THEN 'not_degrading' ELSE 'projected' END AS status FROM g)
+ SELECT seq, CASE WHEN x IS NOT NULL THEN round(s, 6) END AS level_trend_db_per_day, CASE WHEN x IS NOT NULL AND s IS NOT NULL THEN round(rms, 6) END AS level_residual, status AS level_forecast_status,
+ round(CASE status WHEN 'below_floor' THEN 0 WHEN 'projected' THEN greatest((-9 - now) / s, 0) END, 3) AS level_days_to_floor FROM k""")
 def tc1_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tc.tc1_forecast(scored(spark, sf_dir), "port_key", "rx_dbm", -9.0).select("seq", "rx_dbm_forecast_status", "rx_dbm_days_to_floor")
+    """Ports whose levels fall to the floor, scatter, rise, or have no reading."""
+    df = scored(spark, sf_dir).selectExpr("seq", "t", "concat(port_key, cast(entity % 2 AS string)) AS port", f"{LEVEL} AS level")
+    out = tc.tc1_forecast(df, "port", "level", -9.0)
+    return out.select("seq", F.round("level_trend_db_per_day", 6).alias("level_trend_db_per_day"), F.round("level_residual", 6).alias("level_residual"), "level_forecast_status", F.round("level_days_to_floor", 3).alias("level_days_to_floor"))
 
 
 @query(f"""{W}, u AS (SELECT *, t // {HOUR} % 100 AS uptime, port_key || '/' || (seq // 50)::VARCHAR AS config FROM scored), r AS (SELECT *, coalesce(uptime < lag(uptime) OVER w, false) AS fell, rate - lag(rate) OVER w AS route_delta FROM u WINDOW w AS (PARTITION BY device_key ORDER BY t, seq))
