@@ -228,11 +228,13 @@ def test_order_statistics_against_sorting(spark):
 
     r = random.Random(9)
     rows = [(r.choice(["a", None]), r.randrange(400), k, r.choice([None, *range(40)])) for k in range(500)]
-    got = window_order_statistics(spark.createDataFrame(rows, "entity string, t long, seq long, x int"), "x", 50, 1, {"third": lambda n: F.lit(3), "last": lambda n: F.when(n > 4, n), "none": lambda n: F.lit(0)})
-    for x in got.collect():
-        own = sorted(v for e, t, _, v in rows if e == x.entity and v is not None and x.t - 50 <= t <= x.t - 1)
-        assert (x.third, x.last, x.none) == (own[2] if len(own) > 2 else None, own[-1] if len(own) > 4 else None, None)
-    assert got.count() == 500
+    df = spark.createDataFrame(rows, "entity string, t long, seq long, x int")
+    for small in (0, 1000):  # digit by digit, and as arrays
+        got = window_order_statistics(df, "x", 50, 1, {"third": lambda n: F.lit(3), "last": lambda n: F.when(n > 4, n), "none": lambda n: F.lit(0)}, small)
+        for x in got.collect():
+            own = sorted(v for e, t, _, v in rows if e == x.entity and v is not None and x.t - 50 <= t <= x.t - 1)
+            assert (x.third, x.last, x.none) == (own[2] if len(own) > 2 else None, own[-1] if len(own) > 4 else None, None)
+        assert got.count() == 500
 
 
 def test_a_busy_entity_is_no_square(spark):
