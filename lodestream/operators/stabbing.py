@@ -3,7 +3,7 @@
 An interval's ends are numbered within its key, so an instant has a place between them. An interval covers a run of
 places, and a run is a union of few dyadic nodes (two a level at most). Each node keeps its best interval, by one aggregation; an instant looks up
 the nodes above its place, one a level, and takes the best of them. Nothing meets pair by pair, and an interval without an
-end is as cheap as any other.
+end is as cheap as any other. Where no key has more than ``FEW`` intervals, which is counted first, a row meets those of its key.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from lodestream.operators.feeds import latest
 
 #: Instants of a key between two of these marks are one group when places are looked up.
 SLICE_NS = 86_400_000_000_000
+FEW = 64
 
 
 def _nodes(first: str, last: str, levels: str) -> Column:
@@ -44,9 +45,14 @@ def _placed(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str,
     return nodes, above
 
 
-def covering(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, priority: list[str], carry: list[str], name: str, slice_ns: int = SLICE_NS) -> DataFrame:
+def covering(df: DataFrame, intervals: DataFrame, key: str, start: str, end: str, priority: list[str], carry: list[str], name: str, slice_ns: int = SLICE_NS, few: int = FEW) -> DataFrame:
     """df (with t and a unique seq) with ``name``: a struct of carry of the interval of the row's key that covers t and has the
     greatest priority; null without one. Intervals are [start, end); those that are empty, or null in the key or an end, hold nowhere."""
+    most = intervals.where(F.col(key).isNotNull()).groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most <= few:
+        own = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*(F.col(p) for p in priority)).alias("_p"), F.struct(*(F.col(c) for c in carry)).alias("_c"))
+        found = df.select(F.col(key).alias("_k"), "t", F.col("seq").alias("_q")).join(own, "_k").where("_s <= t AND t < _e").groupBy("_q").agg(F.max_by("_c", "_p").alias(name))
+        return df.join(found.withColumnRenamed("_q", "seq"), "seq", "left").select(*df.columns, name)
     nodes, above = _placed(df, intervals, key, start, end, {"_p": F.struct(*(F.col(p) for p in priority)), "_c": F.struct(*(F.col(c) for c in carry))}, slice_ns)
     best = nodes.groupBy("_k", "level", "node").agg(F.max_by(F.struct("_p", "_c"), "_p").alias("_best"))
     found = above.join(best, ["_k", "level", "node"]).groupBy("_q").agg(F.max_by("_best", "_best._p").alias("_best"))

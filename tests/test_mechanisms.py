@@ -212,11 +212,12 @@ def test_lookup_in_time_against_brute_force(spark):
     r = random.Random(8)
     held = [(r.choice("abc"), r.randrange(60), r.randrange(70), r.randrange(9)) for _ in range(200)] + [(None, 1, 9, 1), ("a", None, 9, 1), ("d", 5, 5, 1), ("b", 3, (1 << 63) - 1, 0)]
     rows = [(r.choice("abcd"), r.randrange(-5, 90), k) for k in range(300)] + [(None, 5, 300), ("a", None, 301)]
-    got = covering(spark.createDataFrame(rows, "k string, t long, seq long"), spark.createDataFrame(held, "k string, s long, e long, v int"), "k", "s", "e", ["v", "s"], ["v", "s"], "best", slice_ns=7)
-    for x in got.collect():
-        fit = [(v, s) for k, s, e, v in held if x.k is not None and x.t is not None and k == x.k and s is not None and s < e and s <= x.t < e]
-        assert (tuple(x.best) if x.best else None) == max(fit, default=None), x
-    assert got.count() == len(rows)
+    for few in (0, 1000):  # over nodes, and over a key's own intervals
+        got = covering(spark.createDataFrame(rows, "k string, t long, seq long"), spark.createDataFrame(held, "k string, s long, e long, v int"), "k", "s", "e", ["v", "s"], ["v", "s"], "best", slice_ns=7, few=few)
+        for x in got.collect():
+            fit = [(v, s) for k, s, e, v in held if x.k is not None and x.t is not None and k == x.k and s is not None and s < e and s <= x.t < e]
+            assert (tuple(x.best) if x.best else None) == max(fit, default=None), x
+        assert got.count() == len(rows)
     leases = spark.createDataFrame([("1.1.1.1", 0, 10, "m1"), ("1.1.1.1", 5, None, "m2")], "ip string, start_ns long, end_ns long, mac string")
     machines = spark.createDataFrame([("m1", 0, None, "old"), ("m2", 8, None, "new")], "mac string, start_ns long, end_ns long, hostname string")
     out = intervals.host_identity(spark.createDataFrame([(1, 3, "1.1.1.1"), (2, 6, "1.1.1.1"), (3, 9, "1.1.1.1"), (4, 9, "2.2.2.2")], "seq long, t long, src_ip string"), leases, machines)
