@@ -23,14 +23,16 @@ Args = dict[str, str | Column]
 def track(df: DataFrame, keys: list[str], tracker: Callable[[DataFrame], DataFrame], args: Args, outputs: dict[str, str]) -> DataFrame:
     """df with outputs of a tracker over the key: its arguments are named by ``args``, its results renamed by ``outputs``.
 
-    The row travels as one struct, so that none of its columns meets a tracker's names.
+    The row's columns travel under numbers, so that none of them meets a tracker's names; each by itself, so that those which nothing reads
+    afterwards are in no shuffle.
     """
     key = compose_key(*(F.col(k).cast("string") for k in keys))
     own = [(v if isinstance(v, Column) else F.col(v)).alias(n) for n, v in args.items()]
-    work = df.select(F.coalesce(key, F.concat(F.lit("\0"), F.col("seq").cast("string"))).alias("entity"), key.isNotNull().alias("_known"), "t", "seq", *own, F.struct("*").alias("_carried"))
-    out = tracker(work)
     kept = [c for c in df.columns if c not in outputs.values()]
-    return out.select(*[F.col(f"_carried.{c}").alias(c) for c in kept], *[F.when(F.col("_known"), F.col(o)).alias(n) for o, n in outputs.items()])
+    aside = {c: c if c in ("t", "seq") else f"_carried_{k}" for k, c in enumerate(kept)}  # no tracker changes t or seq
+    work = df.select(F.coalesce(key, F.concat(F.lit("\0"), F.col("seq").cast("string"))).alias("entity"), key.isNotNull().alias("_known"), "t", "seq", *own, *(F.col(c).alias(a) for c, a in aside.items() if a != c))
+    out = tracker(work)
+    return out.select(*[F.col(a).alias(c) for c, a in aside.items()], *[F.when(F.col("_known"), F.col(o)).alias(n) for o, n in outputs.items()])
 
 
 def distinct(df: DataFrame, keys: list[str], value: str, name: str, window_ns: int = HOUR) -> DataFrame:
