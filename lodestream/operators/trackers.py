@@ -10,6 +10,8 @@ All state is a Catalyst window partitioned by entity, so one shuffle on the enti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +34,66 @@ def _after_in_tie(value: Column) -> Column:
     return F.coalesce(F.sum(value).over(instant), F.lit(0)) - F.coalesce(F.sum(value).over(upto), F.lit(0))
 
 
-def _trailing_sum(value: Column, window_ns: int, whole: bool = True) -> Column:
-    """Sum over (t-w, t] up to this row in the total order.
+def _trailing_sum(value: Column, window_ns: int) -> Column:
+    """Sum of whole numbers over (t-w, t] up to this row in the total order.
 
-    Of whole numbers it is the running sum less the running sum at t-w: both frames only grow, so Spark keeps them up
-    in one pass, where a sliding frame is summed anew for each row. Fractions keep the sliding frame, as differences of
-    long sums lose digits.
+    It is the running sum less the running sum at t-w: both frames only grow, so Spark keeps them up in one pass, where a sliding frame is
+    summed anew for each row.
     """
     w = Window.partitionBy("entity").orderBy("t")
-    if not whole:
-        return F.coalesce(F.sum(value).over(w.rangeBetween(-window_ns + 1, 0)), F.lit(0)) - _after_in_tie(value)
     upto, gone = F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.sum(value).over(w.rangeBetween(Window.unboundedPreceding, -window_ns))
     return F.coalesce(upto, F.lit(0)) - F.coalesce(gone, F.lit(0)) - _after_in_tie(value)
 
 
+def two_blocks(df: DataFrame, keys: list[str], window_ns: int, values: list[str], aggregates: Callable[[Callable[[str], Column], bool], dict[str, Column]], inclusive: bool = True) -> DataFrame:
+    """df with aggregates over (t-w, t] of all rows of the keys, ties and all, or over [t-w, t), in two parts a name: ``name_0`` over the window's
+    rows in the row's own block of time, ``name_1`` over those in the block before.
+
+    Time is cut into blocks of w, so a window is the start of its block and the end of the block before. Both parts are frames that only
+    grow, one forwards and one backwards, where a sliding frame is made anew for each row; nothing is subtracted, so fractions and extremes are as
+    exact as in one frame. A row stands in its own block and, with its values alone, in the next. ``aggregates`` gives the columns of a part: its
+    arguments are a value's column in the part, null outside, and whether the part runs backwards.
+    """
+    block = F.floor(F.col("t") / F.lit(window_ns)).cast("long")
+    block = block - (block * window_ns > F.col("t")).cast("long") + ((block + 1) * window_ns <= F.col("t")).cast("long")  # the quotient of a long is rounded
+    both = F.when(F.col("t").isNotNull(), F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(block.alias("b"), F.lit(True).alias("own"))))
+    out = df.withColumn("_block", F.explode(both))
+    here = F.col("_block.own")
+    told = {*keys, *values, "t"}
+    out = out.select(*(F.col(c) if c in told else F.when(here, F.col(c)).alias(c) for c in df.columns), F.col("_block.b").alias("_b"), here.alias("_here"))
+    out = out.withColumn("_phase", F.col("t") - (F.col("_b") - F.when(F.col("_here"), 0).otherwise(1)) * window_ns)
+    out = out.withColumn("_back", -F.col("_phase"))
+    part = Window.partitionBy(*keys, "_b")
+    frames = (part.orderBy("_phase").rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1), part.orderBy("_back").rangeBetween(Window.unboundedPreceding, -1 if inclusive else 0))
+    for k, frame in enumerate(frames):
+        inside = F.col("_here") if k == 0 else ~F.col("_here")
+        out = out.withColumns({f"{n}_{k}": a.over(frame) for n, a in aggregates(lambda c, inside=inside: F.when(inside, F.col(c)), k == 1).items()})
+    return out.where("_here").drop("_b", "_here", "_phase", "_back")
+
+
+def _added(name: str) -> Column:
+    """The parts' sum, 0 without a row."""
+    return F.coalesce(F.col(f"{name}_0"), F.lit(0)) + F.coalesce(F.col(f"{name}_1"), F.lit(0))
+
+
+def _moment(name: str, n: str, a: str, b: str) -> Column:
+    """A sum of products of deviations from the mean, of the parts' own and the distance of their means: a and b name the means, n the counts."""
+    n0, n1 = (F.coalesce(F.col(f"{n}_{k}"), F.lit(0)) for k in (0, 1))
+    apart = lambda c: F.coalesce(F.col(f"{c}_0") - F.col(f"{c}_1"), F.lit(0.0))
+    return F.when(n0 + n1 > 0, _added(name) + apart(a) * apart(b) * (n0 * n1 / F.greatest(n0 + n1, F.lit(1))))
+
+
+def _mean(name: str, n: str) -> Column:
+    n0, n1 = (F.coalesce(F.col(f"{n}_{k}"), F.lit(0)) for k in (0, 1))
+    # a part alone gives its mean as it is
+    both = F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (n1 / F.greatest(n0 + n1, F.lit(1)))
+    return F.coalesce(both, F.col(f"{name}_0"), F.col(f"{name}_1"))
+
+
+def _parts(*names: str) -> list[str]:
+    return [f"{n}_{k}" for n in names for k in (0, 1)]
+
+
 def first_of_instant() -> Column:
     """False for a row that ties with an earlier one of its entity."""
     return F.row_number().over(Window.partitionBy("entity", "t").orderBy("seq")) == 1
@@ -80,7 +128,12 @@ def ratio_window(df: DataFrame, flag: Column, window_ns: int = 5 * MINUTE, min_d
 def sum_window(df: DataFrame, amount: str, window_ns: int = DAY) -> DataFrame:
     """window_n and window_sum in (t-w, t]; a null amount counts as 0."""
     whole = df.schema[amount].dataType.typeName() in ("byte", "short", "integer", "long")
-    return df.withColumns({"window_n": _trailing_sum(F.lit(1), window_ns), "window_sum": _trailing_sum(F.coalesce(F.col(amount), F.lit(0)), window_ns, whole)})
+    out = df.withColumn("window_n", _trailing_sum(F.lit(1), window_ns))
+    if whole:
+        return out.withColumn("window_sum", _trailing_sum(F.coalesce(F.col(amount), F.lit(0)), window_ns))
+    # differences of long sums of fractions lose digits
+    out = two_blocks(out, ["entity"], window_ns, [amount], lambda v, _: {"_sum": F.sum(v(amount))})
+    return out.withColumn("window_sum", _added("_sum") - _after_in_tie(F.coalesce(F.col(amount), F.lit(0)))).drop(*_parts("_sum"))
 
 
 def outcome_run(df: DataFrame, success: Column, window_ns: int = 10 * MINUTE) -> DataFrame:
@@ -159,9 +212,9 @@ def value_history(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samp
 
 def value_floor(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:
     """floor_value: the least of the prior instants in [t-w, t), null below min_samples; below_floor."""
-    prior = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, -1)
-    out = df.withColumn("floor_value", F.when(F.count(value).over(prior) >= min_samples, F.min(value).over(prior)))
-    return out.withColumn("below_floor", F.col(value) < F.col("floor_value"))
+    out = two_blocks(df, ["entity"], window_ns, [value], lambda v, _: {"_n": F.count(v(value)), "_least": F.min(v(value))}, inclusive=False)
+    out = out.withColumn("floor_value", F.when(_added("_n") >= min_samples, F.least("_least_0", "_least_1")))
+    return out.withColumn("below_floor", F.col(value) < F.col("floor_value")).drop(*_parts("_n", "_least"))
 
 
 def transfer_envelope(df: DataFrame, amount: str, window_ns: int = 30 * DAY, quantile: float = 0.99, multiplier: float = 3.0, min_samples: int = 100) -> DataFrame:
@@ -223,11 +276,13 @@ def level_forecast(df: DataFrame, reading: str, floor_level: float | Column | No
         out = out.withColumn("_new", (F.col("_in") & past.isNotNull() & ~F.struct(optic).eqNullSafe(past)).cast("long"))
         out = out.withColumn("_epoch", F.sum("_new").over(_ordered().rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
         keys.append("_epoch")
-    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-window_ns + 1, 0)
     # places relative to the entity's first row keep the sums small, never the epoch
     day = (F.col("t") - F.min("t").over(Window.partitionBy("entity"))) / F.lit(float(DAY))
     out = out.withColumns({"_y": F.when(F.col("_in"), F.col(reading)), "_x": F.when(F.col("_in") & F.col(reading).isNotNull(), day)})
-    out = out.withColumns({"fit_n": F.count("_y").over(w), "_sxx": F.regr_sxx("_y", "_x").over(w), "_sxy": F.regr_sxy("_y", "_x").over(w), "_syy": F.regr_syy("_y", "_x").over(w), "_mx": F.regr_avgx("_y", "_x").over(w), "_my": F.regr_avgy("_y", "_x").over(w)})
+    fits = {"xx": F.regr_sxx, "xy": F.regr_sxy, "yy": F.regr_syy, "mx": F.regr_avgx, "my": F.regr_avgy}
+    out = two_blocks(out, keys, window_ns, ["_y", "_x"], lambda v, _: {"_n": F.count(v("_y"))} | {f"_{n}": f(v("_y"), v("_x")) for n, f in fits.items()})
+    out = out.withColumns({"fit_n": _added("_n"), "_sxx": _moment("_xx", "_n", "_mx", "_mx"), "_sxy": _moment("_xy", "_n", "_mx", "_my"), "_syy": _moment("_yy", "_n", "_my", "_my"), "_mx": _mean("_mx", "_n"), "_my": _mean("_my", "_n")})
+    out = out.drop(*_parts("_n", *(f"_{n}" for n in fits)))
     ok = F.col("_y").isNotNull() & (F.col("fit_n") >= min_samples) & (F.col("_sxx") > 0)
     out = out.withColumn("slope_per_day", F.when(ok, F.col("_sxy") / F.col("_sxx")))
     sse = F.greatest(F.col("_syy") - F.col("slope_per_day") * F.col("_sxy"), F.lit(0.0))
@@ -312,16 +367,21 @@ def arrival_regularity(df: DataFrame, window_ns: int = DAY, min_intervals: int =
     min_intervals; with a size also size_cv, null unless every arrival has one. An interval counts if both of its
     arrivals are inside. Rows that tie with an earlier one are no arrivals: they show the window as it stands."""
     # the intervals inside are all in the frame but the one that ends at the frame's first arrival
-    w = Window.partitionBy("entity").orderBy("t").rangeBetween(-window_ns, 0)
     out = df.withColumn("_in", first_of_instant())
     # before the first row of an instant comes a row of the last instant
     out = out.withColumn("_g", F.when(F.col("_in"), (F.col("t") - F.lag("t").over(_ordered())) / F.lit(float(SECOND))))
-    first = F.first(F.when(F.col("_in"), F.struct("_g")), ignorenulls=True).over(w)["_g"]
-    sums = {"_n": F.sum(F.col("_in").cast("long")).over(w), "_s": F.sum("_g").over(w), "_q": F.sum(F.col("_g") * F.col("_g")).over(w), "_f": F.coalesce(first, F.lit(0.0))}
+    out = out.withColumns({"_a": F.when(F.col("_in"), F.struct("_g")), "_z": F.when(F.col("_in"), F.col(size)) if size else F.lit(None).cast("double"), "_i": F.col("_in").cast("long"), "_gg": F.col("_g") * F.col("_g")})
+
+    def sums(v: Callable[[str], Column], backwards: bool) -> dict[str, Column]:
+        # the first arrival of a part is the last that it meets on its way backwards
+        out = {"_n": F.sum(v("_i")), "_s": F.sum(v("_g")), "_q": F.sum(v("_gg")), "_f": (F.last if backwards else F.first)(v("_a"), ignorenulls=True)}
+        return out | ({"_zn": F.count(v("_z")), "_zm": F.avg(v("_z")), "_zv": F.regr_syy(v("_z"), v("_z"))} if size else {})
+
+    out = two_blocks(out, ["entity"], window_ns + 1, ["_a", "_z", "_i", "_g", "_gg"], sums).withColumns({"_z": F.lit(None)})
+    out = out.withColumns({"_n": _added("_n"), "_s": _added("_s"), "_q": _added("_q"), "_f": F.coalesce(F.coalesce("_f_1", "_f_0")["_g"], F.lit(0.0))})
     if size:
-        z = F.when(F.col("_in"), F.col(size))
-        sums |= {"_z": F.count(z).over(w), "_zm": F.avg(z).over(w), "_zs": F.stddev_pop(z).over(w)}
-    out = out.withColumns(sums)
+        out = out.withColumns({"_z": _added("_zn"), "_zm": _mean("_zm", "_zn"), "_zs": F.sqrt(_moment("_zv", "_zn", "_zm", "_zm") / F.greatest(_added("_zn"), F.lit(1)))})
+    out = out.drop(*_parts("_n", "_s", "_q", "_f", "_zn", "_zm", "_zv"))
     out = out.withColumns({"intervals_n": F.col("_n") - 1, "_s": F.coalesce("_s", F.lit(0.0)) - F.col("_f"), "_q": F.coalesce("_q", F.lit(0.0)) - F.col("_f") * F.col("_f")})
     out = out.withColumn("mean_interval", F.when(F.col("intervals_n") > 0, F.col("_s") / F.col("intervals_n")))
     variance = F.greatest(F.col("_q") / F.col("intervals_n") - F.col("mean_interval") * F.col("mean_interval"), F.lit(0.0))
@@ -329,7 +389,7 @@ def arrival_regularity(df: DataFrame, window_ns: int = DAY, min_intervals: int =
     results = {"interval_cv": F.when(mature & (F.col("mean_interval") > 0), F.sqrt(variance) / F.col("mean_interval"))}
     if size:
         results["size_cv"] = F.when(mature & (F.col("_z") == F.col("_n")) & (F.col("_zm") != 0), F.col("_zs") / F.col("_zm"))
-    return out.withColumns(results).drop("_in", "_g", "_n", "_s", "_q", "_f", "_z", "_zm", "_zs")
+    return out.withColumns(results).drop("_in", "_g", "_gg", "_a", "_i", "_n", "_s", "_q", "_f", "_z", "_zm", "_zs")
 
 
 def geo_velocity(df: DataFrame, latitude: str, longitude: str, min_elapsed_ns: int = SECOND) -> DataFrame:

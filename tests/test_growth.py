@@ -1,10 +1,13 @@
 """Work that grows no faster than its input: what a plan holds, and that the results are those of the plain way."""
 
 import random
+import re
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestream.operators import telemetry
+from lodestream.operators import telemetry, trackers
 
 
 def plan(df):
@@ -22,3 +25,42 @@ def test_a_stage_carries_only_what_is_read(spark):
     out = telemetry.novelty(df, ["entity"], "x")
     assert out.columns == [*df.columns, "x_changed", "x_first_seen", "x_distinct"]
     assert "unread_text" not in plan(out.select("seq", "x_distinct", "label"))
+
+
+def test_moving_frames_only_grow(spark):
+    df = some_rows(spark)
+    for out in (trackers.value_floor(df, "x", 50), trackers.level_forecast(df, "x", 0.0, 50), trackers.arrival_regularity(df, 50, 2, "x"), trackers.sum_window(df, "x", 50)):
+        frames = re.findall(r"specifiedwindowframe\(\w+, (\w+)", plan(out))
+        assert frames and set(frames) == {"unboundedpreceding"}
+
+
+def test_two_blocks_against_plain_frames(spark):
+    df = some_rows(spark)
+    by = Window.partitionBy("entity").orderBy("t")
+    whole = df.where("t IS NOT NULL")
+    for w in (1, 7, 50, 1000):
+        for inclusive, frame in ((True, by.rangeBetween(-w + 1, 0)), (False, by.rangeBetween(-w, -1))):
+            got = trackers.two_blocks(df, ["entity"], w, ["x"], lambda v, _: {"n": F.count(v("x")), "s": F.sum(v("x")), "m": F.min(v("x"))}, inclusive)
+            got = got.selectExpr("seq", "n_0 + n_1", "coalesce(s_0, 0) + coalesce(s_1, 0)", "least(m_0, m_1)")
+            assert got.count() == df.count()
+            want = whole.select("seq", F.count("x").over(frame), F.coalesce(F.sum("x").over(frame), F.lit(0.0)), F.min("x").over(frame))
+            assert sorted(map(tuple, got.where(f"seq <> {400}").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fits_over_two_blocks_against_numpy(spark):
+    r = random.Random(4)
+    rows = [("a", t * 10, t, r.gauss(-5, 1)) for t in range(80)]
+    df = spark.createDataFrame(rows, "entity string, t long, seq long, x double")
+    fits = {x.seq: x for x in trackers.level_forecast(df, "x", -100.0, 150, 4).collect()}
+    beats = {x.seq: x for x in trackers.arrival_regularity(df, 150, 2, "x").collect()}
+    for _, t, seq, _ in rows:
+        held = [(b / trackers.DAY, x) for _, b, _, x in rows if t - 150 < b <= t]
+        if len(held) >= 4:
+            xs, ys = map(np.array, zip(*held, strict=True))
+            slope = ((xs - xs.mean()) * (ys - ys.mean())).sum() / ((xs - xs.mean()) ** 2).sum()
+            rms = np.sqrt((((ys - ys.mean()) - slope * (xs - xs.mean())) ** 2).mean())
+            assert fits[seq].fit_n == len(held) and np.isclose(fits[seq].slope_per_day, slope, rtol=1e-9) and np.isclose(fits[seq].residual_rms, rms, rtol=1e-9)
+        sizes = np.array([x for _, b, _, x in rows if t - 150 <= b <= t])
+        assert beats[seq].intervals_n == len(sizes) - 1
+        if len(sizes) > 2:
+            assert np.isclose(beats[seq].size_cv, sizes.std() / sizes.mean(), rtol=1e-9) and abs(beats[seq].interval_cv) < 1e-6
