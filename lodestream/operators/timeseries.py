@@ -8,29 +8,58 @@ row before any Python runs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = "user string, bin long, anomaly boolean"
+BINS = "user string, bin long"
 
 
-def unexplained(signal: np.ndarray, filter_percent: float, threshold: float) -> np.ndarray:
-    """Places of the signal whose distance from the signal of its strong frequencies is ``threshold`` deviations or more from the mean one.
+def unexplained(signals: np.ndarray, filter_percent: float, threshold: float) -> np.ndarray:
+    """Of each row, a signal, the places whose distance from the signal of its strong frequencies is ``threshold`` deviations or more from the mean one.
 
     A frequency is strong if its share of the standardised signal's power is at least the given percentile of all shares.
     """
-    n, spread = len(signal), signal.std()
-    flat = (signal - signal.mean()) / (spread or 1.0)
-    power = np.abs(np.fft.fft(flat))[: n // 2 + 1] ** 2 / n
-    waves = np.fft.rfft(signal)
-    waves[power < np.percentile(power, filter_percent)] = 0
-    residue = np.abs(np.fft.irfft(waves, n) - signal)
-    if residue.std() == 0:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.abs(residue - residue.mean()) / residue.std() >= threshold)
+    n, spread = signals.shape[1], signals.std(axis=1, keepdims=True)
+    flat = (signals - signals.mean(axis=1, keepdims=True)) / np.where(spread == 0, 1.0, spread)
+    power = np.abs(np.fft.fft(flat)[:, : n // 2 + 1]) ** 2 / n
+    waves = np.fft.rfft(signals)
+    waves[power < np.percentile(power, filter_percent, axis=1)[:, None]] = 0
+    residue = np.abs(np.fft.irfft(waves, n) - signals)
+    spread = residue.std(axis=1, keepdims=True)
+    return (spread != 0) & (np.abs(residue - residue.mean(axis=1, keepdims=True)) / np.where(spread == 0, 1.0, spread) >= threshold)
+
+
+def _judged(batch: pa.RecordBatch, half: int, block_bins: int, hot_start: bool, cold_end: bool, filter_percent: float, threshold: float) -> pa.RecordBatch:
+    """The bins of a batch of blocks that don't fit: user and bin."""
+    block, least, most = (batch.column(c).to_numpy() for c in ("block", "least", "most"))
+    lists = batch.column("held")
+    bins, counts = (lists.flatten().field(c).to_numpy() for c in ("bin", "count"))
+    of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    inside = (bins >= block[of] * block_bins) & (bins < (block[of] + 1) * block_bins)
+    start, end = np.full(batch.num_rows, np.iinfo(np.int64).max), np.full(batch.num_rows, np.iinfo(np.int64).min)
+    np.minimum.at(start, of[inside], bins[inside])
+    np.maximum.at(end, of[inside], bins[inside])
+    ready = start <= end
+    start, end = np.where(ready, start - half, 0), np.where(ready, end + half, 0)
+    ready &= (hot_start | (least <= start)) & ~(cold_end & (most < end))
+    hit = np.zeros(len(bins), bool)
+    for length in np.unique((end - start)[ready]):
+        own = np.flatnonzero(ready & (end - start == length))
+        row = np.full(batch.num_rows, -1)
+        row[own] = np.arange(len(own))
+        held = np.flatnonzero((row[of] >= 0) & (bins >= start[of]) & (bins <= end[of]))
+        # a free bin before the first one; the last two share one, as the window's end is closed
+        place = np.minimum(bins[held] - start[of[held]] + 1, length)
+        signals = np.zeros((len(own), length + 1))
+        np.add.at(signals, (row[of[held]], place), counts[held])
+        # the window's end is a bin that the last place holds but doesn't name
+        named = held[inside[held] & (bins[held] < end[of[held]])]
+        hit[named] = unexplained(signals, filter_percent, threshold)[row[of[named]], bins[named] - start[of[named]] + 1]
+    return pa.RecordBatch.from_arrays([batch.column("user").take(pa.array(of[hit])).cast(pa.string()), pa.array(bins[hit], pa.int64())], ["user", "bin"])
 
 
 def time_series_anomalies(df: DataFrame, user: str, time: str, resolution_s: int = 3600, min_window_s: int = 12 * 3600, hot_start: bool = False, cold_end: bool = False, filter_percent: float = 90.0, threshold: float = 8.0, block_bins: int = 24) -> DataFrame:
@@ -48,21 +77,12 @@ def time_series_anomalies(df: DataFrame, user: str, time: str, resolution_s: int
     span = counts.groupBy("user").agg(F.min("bin").alias("least"), F.max("bin").alias("most"))
     blocks = counts.join(span, "user").withColumn("block", F.explode(F.sequence(F.floor((F.col("bin") - half) / block_bins).cast("long"), F.floor((F.col("bin") + half) / block_bins).cast("long"))))
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = key[1]
-        inside = rows[(rows["bin"] >= block * block_bins) & (rows["bin"] < (block + 1) * block_bins)]
-        if not len(inside):
-            return pd.DataFrame({"user": pd.Series([], dtype=object), "bin": pd.Series([], dtype="int64"), "anomaly": pd.Series([], dtype=bool)})
-        start, end = inside["bin"].min() - half, inside["bin"].max() + half
-        held = rows[(rows["bin"] >= start) & (rows["bin"] <= end)]
-        ready = (hot_start or rows["least"].iloc[0] <= start) and not (cold_end and rows["most"].iloc[0] < end)
-        found: set[int] = set()
-        if ready:
-            # a free bin before the first one; the last two share one, as the window's end is closed
-            edges = np.arange(start - 1, end + 1)
-            signal, _ = np.histogram(held["bin"], bins=edges, weights=held["count"])
-            found = set((edges[:-1][unexplained(signal.astype(float), filter_percent, threshold)]).tolist())
-        return pd.DataFrame({"user": pd.Series([key[0]] * len(inside), dtype=object, index=inside.index), "bin": inside["bin"], "anomaly": inside["bin"].isin(found)})
-
-    flagged = blocks.groupBy("user", "block").applyInPandas(judge, BINS).where("anomaly").select(F.col("user").alias("_user"), F.col("bin").alias("_bin"), F.lit(True).alias("_hit"))
+    # one row a block, with its few bins: a batch holds thousands of blocks, and those of one length are transformed at once
+    held = blocks.groupBy("user", "block").agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("held"), F.first("least").alias("least"), F.first("most").alias("most"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _judged(batch, half, block_bins, hot_start, cold_end, filter_percent, threshold)
+
+    flagged = held.mapInArrow(judge, BINS).select(F.col("user").alias("_user"), F.col("bin").alias("_bin"), F.lit(True).alias("_hit"))
     return own.join(flagged, ["_user", "_bin"], "left").withColumn("ts_anomaly", F.coalesce("_hit", F.lit(False))).select(*df.columns, "ts_anomaly")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestream.operators import telemetry, trackers
+from lodestream.operators import telemetry, timeseries, trackers
 
 
 def plan(df):
@@ -64,3 +64,12 @@ def test_fits_over_two_blocks_against_numpy(spark):
         assert beats[seq].intervals_n == len(sizes) - 1
         if len(sizes) > 2:
             assert np.isclose(beats[seq].size_cv, sizes.std() / sizes.mean(), rtol=1e-9) and abs(beats[seq].interval_cv) < 1e-6
+
+
+def test_rhythms_of_many_blocks_are_judged_at_once(spark):
+    df = spark.createDataFrame([("u", 5, 1), ("v", 9, 2)], "user string, s long, k long").select("user", F.timestamp_seconds("s").alias("at"), "k")
+    assert "FlatMapGroupsInPandas" not in plan(timeseries.time_series_anomalies(df, "user", "at", hot_start=True))
+    r = np.random.default_rng(2)
+    signals = r.poisson(0.1, (300, 31)).astype(float)
+    together = timeseries.unexplained(signals, 90.0, 4.0)
+    assert (together == np.vstack([timeseries.unexplained(s[None], 90.0, 4.0) for s in signals])).all() and together.any()
