@@ -90,14 +90,15 @@ def tc0_network(df: DataFrame, keys: dict[str, tuple[str, ...]], kind: str = "ob
 # layer 1
 
 
-def tc1_normalize(df: DataFrame, keys: list[str], counters: list[str], bits: int = 64, neighbor: tuple[str, str] | None = None, uptime_ns: str | None = None) -> DataFrame:
-    """entity_key, interval_seconds, <counter>_delta, counter_reset and counter_wrapped of each port's polls, and link_key."""
+def tc1_normalize(df: DataFrame, keys: list[str], counters: list[str], bits: int = 64, neighbor: tuple[str, str] | None = None, uptime_ns: str | None = None, tied: bool = False) -> DataFrame:
+    """entity_key, interval_seconds, <counter>_delta, counter_reset and counter_wrapped of each port's polls, and link_key. Polls of one instant are out
+    of order, or may be tied."""
     out = df.withColumn("entity_key", compose_key(*(F.col(k).cast("string") for k in keys)))
     out = track(out, ["entity_key"], lambda d: d.withColumn("s", (F.col("t") - F.lag("t").over(Window.partitionBy("entity").orderBy("t", "seq"))) / F.lit(float(SECOND))), {}, {"s": "interval_seconds"})
     flags = []
     for c in counters:
         args: Args = {"v": c} | ({"up": uptime_ns} if uptime_ns else {})
-        out = track(out, ["entity_key"], lambda d: trackers.counter_delta(d, "v", bits, "up" if uptime_ns else None), args, {"delta": f"{c}_delta", "counter_reset": f"_{c}_reset", "counter_wrapped": f"_{c}_wrapped"})
+        out = track(out, ["entity_key"], lambda d: trackers.counter_delta(d, "v", bits, "up" if uptime_ns else None, tied), args, {"delta": f"{c}_delta", "counter_reset": f"_{c}_reset", "counter_wrapped": f"_{c}_wrapped"})
         flags.append(c)
     either = lambda kind: F.greatest(*[F.col(f"_{c}_{kind}") for c in flags]) if len(flags) > 1 else F.col(f"_{flags[0]}_{kind}")
     if flags:
@@ -142,8 +143,8 @@ def tc1_device(df: DataFrame, key: str = "device_key", uptime: str = "uptime", c
     return out.withColumn("config_change_in_window", F.when(F.col("config_changed"), window))
 
 
-def tc1_flap(df: DataFrame, key: str = "entity_key", status: str = "oper_status", last_change: str = "last_change", window_ns: int = HOUR) -> DataFrame:
-    return track(df, [key], lambda d: trackers.link_flap(d, "s", "c", window_ns), {"s": status, "c": last_change}, {"flaps": "link_flaps", "flaps_in_window": "link_flaps_in_window"})
+def tc1_flap(df: DataFrame, key: str = "entity_key", status: str = "oper_status", last_change: str = "last_change", window_ns: int = HOUR, tied: bool = False) -> DataFrame:
+    return track(df, [key], lambda d: trackers.link_flap(d, "s", "c", window_ns, tied), {"s": status, "c": last_change}, {"flaps": "link_flaps", "flaps_in_window": "link_flaps_in_window"})
 
 
 def tc1_optical(df: DataFrame, key: str = "entity_key", channels: tuple[str, ...] = ("optical_tx_dbm", "optical_rx_dbm"), window_ns: int = 6 * HOUR, min_samples: int = 5) -> DataFrame:

@@ -335,10 +335,11 @@ def drift_trajectory(df: DataFrame, score: str, window_id: str, max_windows: int
     return out.withColumns({"sigma": F.when(mature, F.col("sigma")), "drift_forecast": fit}).withColumn("rise_sigmas", F.when(F.col("sigma") > 0, F.col("rise") / F.col("sigma"))).drop("_p", "_pw", "_new", "_run")
 
 
-def counter_delta(df: DataFrame, counter: str, bits: int = 32, uptime_ns: str | None = None) -> DataFrame:
+def counter_delta(df: DataFrame, counter: str, bits: int = 32, uptime_ns: str | None = None, tied: bool = False) -> DataFrame:
     """delta of a monotone counter against the previous sample: a fall is a wrap (2**bits is added), or a reset if the
-    uptime shows a restart since then, where the count itself is the delta. Ties are out of order: null."""
-    out = df.withColumn("_in", first_of_instant())
+    uptime shows a restart since then, where the count itself is the delta. Ties are out of order: null; where they may be tied, samples of
+    an instant follow each other by seq."""
+    out = df.withColumn("_in", F.lit(True) if tied else first_of_instant())
     order = Window.partitionBy("entity", "_in").orderBy("t", "seq")
     out = out.withColumns({"_p": F.lag(counter).over(order), "_pt": F.lag("t").over(order)})
     value = F.col(counter).cast("decimal(38,0)")
@@ -349,10 +350,10 @@ def counter_delta(df: DataFrame, counter: str, bits: int = 32, uptime_ns: str |
     return out.withColumns({"delta": delta, "counter_reset": F.col("_in") & F.coalesce(reset, F.lit(False)), "counter_wrapped": F.col("_in") & F.coalesce(fell & ~reset, F.lit(False))}).drop("_in", "_p", "_pt")
 
 
-def link_flap(df: DataFrame, status: str, last_change: str, window_ns: int = HOUR) -> DataFrame:
+def link_flap(df: DataFrame, status: str, last_change: str, window_ns: int = HOUR, tied: bool = False) -> DataFrame:
     """flaps between polls (2 if last_change fell, or went on without a change of status; 1 if the status changed) and
-    flaps_in_window over (t-w, t]. Ties are out of order: null."""
-    out = df.withColumn("_in", first_of_instant())
+    flaps_in_window over (t-w, t]. Ties are out of order: null; where they may be tied, polls of an instant follow each other by seq."""
+    out = df.withColumn("_in", F.lit(True) if tied else first_of_instant())
     order = Window.partitionBy("entity", "_in").orderBy("t", "seq")
     out = out.withColumns({"_s": F.lag(status).over(order), "_c": F.lag(last_change).over(order)})
     moved = F.col(status) != F.col("_s")

@@ -73,3 +73,18 @@ def test_rhythms_of_many_blocks_are_judged_at_once(spark):
     signals = r.poisson(0.1, (300, 31)).astype(float)
     together = timeseries.unexplained(signals, 90.0, 4.0)
     assert (together == np.vstack([timeseries.unexplained(s[None], 90.0, 4.0) for s in signals])).all() and together.any()
+
+
+def test_polls_of_one_instant_and_large_rates_as_in_sql(spark, tmp_path):
+    import duckdb
+    from oracle import connect
+
+    from lodestream.plans import registry
+
+    # a port's polls tie: users a whole number of ports apart have the same port
+    duckdb.connect().execute(f"COPY (SELECT event_id + k * 1000 AS event_id, ts, user_id + k * 23 AS user_id, event_type, value, props FROM range(3) r(k), '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    for name in ("tc1_rate", "tc1_flap"):
+        want = connect(tmp_path).sql(registry.oracle_sql()[name]).to_arrow_table().to_pylist()
+        got = registry.queries()[name](spark, str(tmp_path)).toArrow().to_pylist()
+        assert len(got) > 2900
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
