@@ -12,7 +12,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.plans import searches
@@ -208,8 +208,9 @@ def chain_of_layers(df: DataFrame, risks: DataFrame) -> DataFrame:
 
 def steps(first: DataFrame, then: list[tuple[DataFrame, str, int]], keep: list[str]) -> DataFrame:
     """Chains: each next step shares a key with the row so far, comes SLACK before the step before at the earliest, and
-    within its time of the first. Rows so far are one a (kept columns) with the least times, so that a busy key's
-    history isn't paired with itself; joins are by (key, time bucket) and the next one.
+    within its time of the first. Rows so far are one a (kept columns) with the least times. A row meets the kept columns that a step brings
+    in its (key, time bucket) once each, and of each its earliest time from the least one allowed on, which is read from the running last
+    one backwards in time: a busy key's rows are sorted, and never paired.
 
     first has t0 and the columns kept; each step's frame has the key, t and may add columns of ``keep``.
     """
@@ -217,7 +218,11 @@ def steps(first: DataFrame, then: list[tuple[DataFrame, str, int]], keep: list[s
     for k, (frame, key, within) in enumerate(then, 1):
         own = out.withColumn("_b", F.explode(F.expr(f"sequence(cast(floor((t_last - {SLACK}) / {within}) as bigint), cast(floor((t0 + {within}) / {within}) as bigint))")))
         new = frame.withColumnRenamed("t", f"t{k}").withColumn("_b", F.floor(F.col(f"t{k}") / F.lit(within)).cast("long"))
-        own = own.join(new, [key, "_b"]).where(F.expr(f"t{k} >= t_last - {SLACK} AND t{k} - t0 <= {within}"))
+        brought = [c for c in frame.columns if c in keep and c != key]
+        own = own.join(new.select(key, "_b", *brought).distinct(), [key, "_b"]).withColumns({"_at": F.col("t_last") - SLACK, "_asked": F.lit(True)})
+        own = own.unionByName(new.where(F.col(key).isNotNull()).select(key, "_b", *brought, f"t{k}", F.col(f"t{k}").alias("_at"), F.lit(False).alias("_asked")), allowMissingColumns=True)
+        back = Window.partitionBy(key, "_b", *brought).orderBy(F.desc("_at"), "_asked").rowsBetween(Window.unboundedPreceding, 0)
+        own = own.withColumn(f"t{k}", F.last(f"t{k}", ignorenulls=True).over(back)).where(F.expr(f"_asked AND t{k} - t0 <= {within}"))
         names = [c for c in keep if c in own.columns]
         times = [F.min(f"t{i}").alias(f"t{i}") for i in range(1, k + 1)]
         out = own.groupBy(*names, "t0").agg(*times).withColumn("t_last", F.col(f"t{k}"))

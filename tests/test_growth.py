@@ -88,3 +88,24 @@ def test_polls_of_one_instant_and_large_rates_as_in_sql(spark, tmp_path):
         got = registry.queries()[name](spark, str(tmp_path)).toArrow().to_pylist()
         assert len(got) > 2900
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_chained_steps_pair_no_rows(spark):
+    from lodestream.plans import detections
+
+    r = random.Random(9)
+    w, slack = 500_000_000_000, detections.SLACK
+    ports = [(r.choice("pq"), r.randrange(4 * w), r.choice("xy")) for _ in range(120)]
+    seen = [(r.choice(["p", "q", None]), r.choice(["m", "n", None]), r.randrange(4 * w)) for _ in range(40)]
+    first = spark.createDataFrame(ports, "port string, t0 long, event string")
+    out = detections.steps(first, [(spark.createDataFrame(seen, "port string, mac string, t long"), "port", w)], ["port", "event", "mac"])
+    # a join whose condition compares times meets a busy key's rows pair by pair
+    assert not [line for line in plan(out).splitlines() if "Join" in line and ">=" in line]
+    want = {}
+    for port, t0, event in ports:
+        for key, mac, t in seen:
+            if key == port and t0 - slack <= t <= t0 + w:
+                k = (port, event, mac, t0)
+                want[k] = min(t, want.get(k, t))
+    got = {(x.port, x.event, x.mac, x.t0): x.t1 for x in out.collect()}
+    assert got == want and want
