@@ -31,19 +31,20 @@ def latest(rows: DataFrame, key: Column, facts: DataFrame, fact_key: Column, val
     is taken within (key, slice). Only one row a key and slice passes through a window over the key alone. Rows without
     a key are spread by their seq.
     """
-    carried = [F.col(c) for c in rows.columns]
+    aside = {c: f"_c{i}" for i, c in enumerate(rows.columns)}  # each by itself, so that those which nothing reads afterwards are in no shuffle
     place = F.floor(F.col("seq") / slice_width).alias("_s")
-    known = facts.select(fact_key.alias("_k"), "seq", place, F.struct(value.alias("v")).alias("_v")).where(F.col("_k").isNotNull())
-    own = rows.select(key.alias("_k"), "seq", place, F.struct(*carried).alias("_row"))
-    both = known.unionByName(own, allowMissingColumns=True).withColumn("_k", F.coalesce("_k", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
-    ends = both.groupBy("_k", "_s").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("seq"))).alias("_end"))
+    known = facts.select(fact_key.alias("_k"), F.col("seq").alias("_at"), place, F.struct(value.alias("v")).alias("_v")).where(F.col("_k").isNotNull())
+    own = rows.select(key.alias("_k"), F.col("seq").alias("_at"), place, *(F.col(c).alias(a) for c, a in aside.items()))
+    ends = known.groupBy("_k", "_s").agg(F.max_by("_v", "_at").alias("_end"))
+    ends = ends.unionByName(own.where("_k IS NOT NULL").select("_k", "_s").distinct(), allowMissingColumns=True).groupBy("_k", "_s").agg(F.first("_end", ignorenulls=True).alias("_end"))
     before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select("_k", "_s", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    starts = ends.select(F.col("_k").cast("string").alias("_k"), "_s", F.last("_end", ignorenulls=True).over(before).alias("_start")).where("_start IS NOT NULL")
+    both = known.withColumn("_is", F.lit(False)).unionByName(own.withColumn("_is", F.lit(True)), allowMissingColumns=True).withColumn("_k", F.coalesce(F.col("_k").cast("string"), F.concat(F.lit("\0"), F.col("_at").cast("string"))))
     # a fact counts for the row of the same seq
-    upto = Window.partitionBy("_k", "_s").orderBy("seq", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where(F.col("_row").isNotNull())
+    upto = Window.partitionBy("_k", "_s").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_last", F.last("_v", ignorenulls=True).over(upto)).where("_is")
     out = out.join(starts, ["_k", "_s"], "left")
-    return out.select(*(F.col(f"_row.{c}").alias(c) for c in rows.columns), F.coalesce("_last", "_start")["v"].alias(name))
+    return out.select(*(F.col(a).alias(c) for c, a in aside.items()), F.coalesce("_last", "_start")["v"].alias(name))
 
 
 def _key(*parts: Column) -> Column:

@@ -109,3 +109,20 @@ def test_chained_steps_pair_no_rows(spark):
                 want[k] = min(t, want.get(k, t))
     got = {(x.port, x.event, x.mac, x.t0): x.t1 for x in out.collect()}
     assert got == want and want
+
+
+def test_a_lookup_in_time_costs_a_row_no_more_than_one(spark):
+    from lodestream.operators.stabbing import covering, covering_all
+
+    r = random.Random(11)
+    held = [(r.choice("ab"), s, s + r.choice([0, 1, 3, 40, 900]), r.randrange(6)) for s in (r.randrange(1000) for _ in range(700))] + [("c", 5, 9, 1), (None, 1, 2, 3), ("a", None, 7, 4), ("a", 40, 1 << 62, 0)]
+    rows = [(r.choice(["a", "b", "c", None]), r.choice([None, r.randrange(1100)]), k) for k in range(500)]
+    df, own = spark.createDataFrame(rows, "k string, t long, seq long"), spark.createDataFrame(held, "k string, s long, e long, v int")
+    best = covering(df, own, "k", "s", "e", ["v", "s", "e"], ["v", "s"], "best", slice_ns=300)
+    every = {few: covering_all(df, own, "k", "s", "e", "v", "held", slice_ns=300, few=few) for few in (64, 10_000)}
+    # rows are not multiplied: what holds from each end on is told before
+    assert "Generate" not in plan(best)
+    over = lambda k, t: [(v, s, e) for a, s, e, v in held if a == k and None not in (k, t, s) and s <= t < e]
+    assert {x.seq: x.best and tuple(x.best) for x in best.collect()} == {q: max(over(k, t))[:2] if over(k, t) else None for k, t, q in rows}
+    for out in every.values():
+        assert {x.seq: x.held for x in out.collect()} == {q: sorted({v for v, _, _ in over(k, t)}) or None for k, t, q in rows}
