@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.identity import SEPARATOR, compose_key, event_uid, normalize_text
 from lodestream.operators.stabbing import covering, covering_all
+from lodestream.session import written
 
 FOREVER = (1 << 63) - 1
 #: What a source may say of a fact: fixed values.
@@ -42,11 +43,12 @@ def memberships(df: DataFrame, versions: DataFrame, entity: str, member: str, na
     membership that is retracted later is still held by rows before the retraction was recorded. Needs a unique seq.
     """
     v = versions.where(F.col(entity).isNotNull() & F.col(member).isNotNull()).select(F.struct(F.col(entity).alias("e"), F.col(member).cast("string").alias("m")).alias("_k"), F.greatest("valid_from", "recorded_at").alias("_from"), F.coalesce("valid_to", F.lit(FOREVER)).alias("_to"), "recorded_at", "valid_from", "change")
-    v = v.withColumn("_k", F.to_json("_k"))
+    # written once: what follows reads versions several times, and what makes records into versions is dear
+    v = written(v.withColumn("_k", F.to_json("_k")), "versions")
     points = v.where("_from < _to").select("_k", F.explode(F.array("_from", "_to")).alias("t")).distinct().withColumn("seq", F.struct("_k", "t"))
     states = covering(points, v, "_k", "_from", "_to", ["recorded_at", "valid_from", "_to", "change"], ["change"], "_s")
     runs = states.withColumn("_until", F.coalesce(F.lead("t").over(Window.partitionBy("_k").orderBy("t")), F.lit(FOREVER))).where("_s.change = 'assert'")
-    runs = runs.select(F.get_json_object("_k", "$.e").alias("_e"), F.get_json_object("_k", "$.m").alias("_m"), F.col("t").alias("_from"), "_until")
+    runs = written(runs.select(F.get_json_object("_k", "$.e").alias("_e"), F.get_json_object("_k", "$.m").alias("_m"), F.col("t").alias("_from"), "_until"), "memberships")
     own = df.withColumn("_e", F.col(entity).cast("string"))
     out = covering_all(own, runs, "_e", "_from", "_until", "_m", "_held")
     return out.withColumn(name, F.coalesce(F.array_join("_held", ";"), F.lit(""))).drop("_held", "_e")
