@@ -148,3 +148,15 @@ def test_records_become_versions_once(spark):
         return ";".join(sorted(g for g, (_, change) in state.items() if change == "assert"))
 
     assert {x.seq: x.held for x in out.collect()} == {k: held(who, t) for who, t, k in rows}
+
+
+def test_the_mode_of_a_window_costs_a_row_no_more_than_one(spark):
+    df = some_rows(spark).where("t IS NOT NULL")
+    out = trackers.value_history(df, "x", 50, 3)
+    assert "Generate" not in plan(out)
+    rows = df.collect()
+    want = {}
+    for a in rows:
+        held = [b.x for b in rows if b.entity == a.entity and a.t - 50 <= b.t < a.t and b.x is not None]
+        want[a.seq] = (len(held), max(held, key=lambda v: (held.count(v), v)) if len(held) >= 3 else None)
+    assert {x.seq: (x.history_n, x.established) for x in out.collect()} == want
