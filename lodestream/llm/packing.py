@@ -35,7 +35,11 @@ END = 1
 GROUP_PIECES = 8192
 CACHED_WORDS = 200_000  # of either generation: some 40 MB
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python only
-STOPS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,]+)(?=\s|$)")
+STOPS = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([!-/:-@\[-`{-~]+)(?=\s|$)")
+#: Bytes as the characters of byte-level vocabularies: printable ones stand for themselves, the others from U+0100 on, in order.
+PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+PROBE = "the\xe9\xdf\xff rainforest \xe8\xe0\xf8 \xb5\xaa\xba zzqxjkwv"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -45,7 +49,8 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so the ids of a text are those of
     its space-separated chunks in a row; chunks met before come from a cache of bounded size. A text that may hold
-    an added token's literal, such as ``<|endoftext|>``, is encoded whole and as it is.
+    an added token's literal, such as ``<|endoftext|>``, is encoded whole and as it is. A word of lower-case Latin-1
+    letters alone is one pre-token and normal as it stands, so the vocabulary's model gets it directly.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,6 +59,9 @@ class Encoder:
         self.added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # a vocabulary of another kind gets no word directly
+        self.direct = b"".join(map(self._direct, PROBE.split())) == np.array(self.tokenizer.encode(PROBE, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -65,8 +73,12 @@ class Encoder:
             if w not in self.young:
                 if w in self.old:
                     self.young[w] = self.old[w]
+                elif self._is_whole(w):
+                    whole.append(w)
+                elif self.direct and w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff"):
+                    self.young[w] = self._direct(w)
                 else:
-                    (whole if self._is_whole(w) else fresh).append(w)
+                    fresh.append(w)
         for w in whole:
             self.young[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         self._learn(fresh)
@@ -88,6 +100,11 @@ class Encoder:
         for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             self.young[w] = raw[a:b]
 
+    def _direct(self, word: str) -> bytes:
+        """The ids of a word of lower-case Latin-1 letters."""
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+        return np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+
     def _is_whole(self, chunk: str) -> bool:
         return any(x in chunk for x in self.added) or any(c in chunk for c in ODD_SPACE)
 
@@ -100,7 +117,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split()
-        # Latin-1 is composed already and has one lower case, and letters never share a token with a stop:
+        # Latin-1 is composed already and has one lower case, and letters never share a token with a sign after them:
         # fewer different chunks, the same ids
         return STOPS.sub(r" \1", text.lower()).split()
 

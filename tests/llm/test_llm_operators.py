@@ -518,3 +518,20 @@ def test_bins_are_those_of_a_plain_sum_of_squares():
         if gap - s:
             open_bins[seq] = gap - s
     assert used == len({seq for seq, _ in got})
+
+
+def test_plain_words_go_to_the_model_directly(monkeypatch):
+    from tokenizers import Tokenizer
+
+    r, plain, e = random.Random(7), Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    learned = []
+    monkeypatch.setattr(e, "_learn", lambda words, own=e._learn: (learned.extend(words), own(words))[1])
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    texts = ["".join(letters), *letters, "Don't it's x's, y'll. z'' 'tis 'S, caf\xe9!! stra\xdfe.### na\xefve,%%% a.b c$$$ 1st x2 2\xb2 x\xb2! \xb5%"]
+    texts += ["".join(r.choices([*letters, *map(chr, range(33, 127)), " ", " ", "\n", "'"], k=60)) for _ in range(400)]
+    texts += ["café İx 中文 plain words!", "plain words again###"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [w for w in learned if w.isascii() and w.isalpha() and w.islower()]
+    learned.clear()
+    list(e.ids(["fresh onewords### twowords!? threew\xf6rds\n"]))
+    assert not any(c.isalpha() for w in learned for c in w)
