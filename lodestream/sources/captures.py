@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from lodestream.functions.identity import compose_key
 from lodestream.operators.feeds import latest
+from lodestream.session import written
 
 FRAME = "path string, offset long, received_ns long, frame binary"
 #: Fixed values of the formats: magic numbers with the ns a unit, the kind of link, protocols, sets and option kinds.
@@ -327,7 +328,9 @@ def _records(body: bytes, fields: str) -> Iterator[dict]:
 
 
 def flow_records(sets: DataFrame, slice_width: int = 1 << 34) -> tuple[DataFrame, DataFrame]:
-    """(records, sets that were skipped as their exporter had announced no template for them by then)."""
+    """(records, sets that were skipped as their exporter had announced no template for them by then). The sets are written once, as
+    templates and data are each read more than once."""
+    sets = written(sets, "sets")
     key = compose_key(F.col("path"), F.col("exporter_address"), F.col("domain").cast("string"), F.col("template_id").cast("string"))
     templates = sets.where("fields IS NOT NULL")
     data = sets.where("body IS NOT NULL").drop("fields", "refused")

@@ -160,3 +160,11 @@ def test_the_mode_of_a_window_costs_a_row_no_more_than_one(spark):
         held = [b.x for b in rows if b.entity == a.entity and a.t - 50 <= b.t < a.t and b.x is not None]
         want[a.seq] = (len(held), max(held, key=lambda v: (held.count(v), v)) if len(held) >= 3 else None)
     assert {x.seq: (x.history_n, x.established) for x in out.collect()} == want
+
+
+def test_messages_are_cut_into_sets_once(spark):
+    from lodestream.plans import registry
+
+    # what remains in the plan is the reading of records, for which sets are a written table
+    out = registry.queries()["captured_flows"](spark, "/root/testdata/sf0.001")
+    assert plan(out).count("MapInArrow") == 1 and out.count() > 0
