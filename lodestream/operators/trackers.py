@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.order_statistics import window_order_statistics
-from lodestream.operators.stabbing import covering
+from lodestream.session import written
 
 SECOND = 1_000_000_000
 MINUTE, HOUR, DAY = 60 * SECOND, 3600 * SECOND, 86400 * SECOND
 
+#: Slices of a moving window's length, and counts that run side by side (a power of 2), where a mode is kept up.
+SLICES = 8
+WIDE = 16
+
 
 def _ordered(*keys: str) -> Window:
     return Window.partitionBy("entity", *keys).orderBy("t", "seq")
@@ -195,19 +199,49 @@ def nearest_rank(values: Column, quantile: float) -> Column:
 
 
 def value_history(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:
-    """established: the mode of the prior instants in [t-w, t), null below min_samples; history_n; deviates. Ties go to the largest value. Needs a
-    unique seq; rows without an entity have no mode."""
-    # how often a value stands in the window changes when a row of it enters or leaves; between changes its count is an interval,
-    # and the mode is the covering interval of the greatest (count, value)
-    known = df.where(F.col(value).isNotNull()).select("entity", F.col(value).alias("_v"), F.explode(F.array(F.struct((F.col("t") + 1).alias("at"), F.lit(1).alias("d")), F.struct((F.col("t") + window_ns + 1).alias("at"), F.lit(-1).alias("d")))).alias("_s"))
-    steps = known.groupBy("entity", "_v", F.col("_s.at").alias("_from")).agg(F.sum("_s.d").alias("_d"))
-    by_value = Window.partitionBy("entity", "_v").orderBy("_from")
-    counts = steps.withColumns({"_n": F.sum("_d").over(by_value.rowsBetween(Window.unboundedPreceding, 0)), "_to": F.lead("_from").over(by_value)}).where("_n > 0")
-    out = covering(df, counts, "entity", "_from", "_to", ["_n", "_v"], ["_v"], "_mode")
-    upto = Window.partitionBy("entity").orderBy("t")
-    n = F.count(value).over(upto.rangeBetween(Window.unboundedPreceding, -1)) - F.count(value).over(upto.rangeBetween(Window.unboundedPreceding, -window_ns - 1))
-    out = out.withColumn("history_n", n).withColumn("established", F.when(F.col("history_n") >= min_samples, F.col("_mode._v")))
-    return out.withColumn("deviates", F.col(value) != F.col("established")).drop("_mode")
+    """established: the mode of the prior instants in [t-w, t), null below min_samples; history_n; deviates. Ties go to the largest value. Rows
+    without an entity have no mode.
+
+    Time is cut into slices, each a fixed part of w, and an entity is dealt by slice. A slice starts with how often each value stands in the
+    window then; from there a value's count is the running sum of rows that enter and leave. The counts of ``WIDE`` values run side by side; where an
+    entity has more values, so do the tops of groups of them, a level each. A row meets no interval and no other row, and frames only grow.
+    """
+    width = -(-window_ns // SLICES)
+    start = lambda at: at - F.pmod(at, F.lit(width))
+    known = df.where(F.col(value).isNotNull() & F.col("t").isNotNull()).select("entity", F.col(value).alias("_value"), F.col("t").alias("_at"))
+    # a row is in the window at the start of each slice after its own, up to the one that it leaves in
+    held = known.groupBy("entity", "_value", start(F.col("_at")).alias("_from"), start(F.col("_at") + window_ns).alias("_to")).count()
+    held = held.select("entity", "_value", "count", F.explode(F.expr(f"sequence(_from + {width}, _to, {width}L)")).alias("_slice"))
+    held = written(held.groupBy("entity", "_slice", "_value").agg(F.sum("count").alias("_step")), "held")
+    most = held.select("entity", "_value").distinct().groupBy("entity").count().agg(F.max("count")).first()[0] or 1
+
+    own = df.withColumns({"_at": F.col("t"), "_value": F.when(F.col("t").isNotNull(), F.col(value)), "_own": F.lit(True)}).withColumns({"_step": F.when(F.col("_value").isNotNull(), F.lit(1).cast("long")), "_slice": start(F.col("_at"))})
+    leaving = known.withColumn("_at", F.col("_at") + window_ns).withColumns({"_step": F.lit(-1).cast("long"), "_slice": start(F.col("_at"))})
+    # what a slice starts with stands before its first instant
+    out = own.unionByName(leaving, allowMissingColumns=True).unionByName(held.withColumn("_at", F.col("_slice") - 1), allowMissingColumns=True)
+    out = out.withColumn("_rank", F.dense_rank().over(Window.partitionBy("entity", "_slice").orderBy(F.col("_value").asc_nulls_last())) - 1)
+
+    def tops(frame: Window, groups: int, level: int) -> Column:
+        """The greatest (count, value) of groups side by side."""
+        mine = [F.col("_rank").bitwiseAND(WIDE - 1) == k for k in range(min(groups, WIDE))]
+        if level:
+            each = [F.last(F.when(m, F.col("_top")), ignorenulls=True).over(frame) for m in mine]
+        else:
+            each = [F.struct(F.sum(F.when(m, F.col("_step"))).over(frame).alias("n"), F.max(F.when(m, F.col("_value"))).over(frame).alias("v")) for m in mine]
+        return F.greatest(*each) if len(each) > 1 else each[0]
+
+    groups, level = most, 0
+    while groups > WIDE:
+        out = out.withColumn("_group", F.shiftright("_rank", WIDE.bit_length() - 1))
+        # as of the end of an instant, so that rows of one instant tell the same of their group
+        out = out.withColumn("_top", tops(Window.partitionBy("entity", "_slice", "_group").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0), groups, level))
+        out = out.withColumn("_rank", F.col("_group")).drop("_group")
+        groups, level = -(-groups // WIDE), level + 1
+    before = Window.partitionBy("entity", "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({"history_n": F.coalesce(F.sum("_step").over(before), F.lit(0).cast("long")), "_mode": tops(before, groups, level)}).where("_own")
+    has = F.col("entity").isNotNull() & (F.col("_mode.n") > 0) & (F.col("history_n") >= min_samples)
+    out = out.select(*df.columns, "history_n", F.when(has, F.col("_mode.v")).alias("established"))
+    return out.withColumn("deviates", F.col(value) != F.col("established"))
 
 
 def value_floor(df: DataFrame, value: str, window_ns: int = 30 * DAY, min_samples: int = 5) -> DataFrame:

@@ -162,6 +162,24 @@ def test_the_mode_of_a_window_costs_a_row_no_more_than_one(spark):
     assert {x.seq: (x.history_n, x.established) for x in out.collect()} == want
 
 
+def test_the_mode_of_a_window_keeps_running_counts_by_slice(spark):
+    r = random.Random(13)
+    # over 16 and over 256 values, ties in time and in count, times below 0, rows without time, value or entity
+    rows = [(r.choice("ab"), r.randrange(-500, 900), k, f"v{r.choice([r.randrange(4), r.randrange(300)])}") for k in range(700)]
+    rows += [("a", None, 700, "v1"), ("b", 7, 701, None), (None, 7, 702, "v1"), ("c", 10, 703, "v1"), ("c", 10, 704, "v2"), ("c", 61, 705, "v2"), ("c", 60, 706, "v1"), (None, 8, 707, "v2")]
+    df = spark.createDataFrame(rows, "entity string, t long, seq long, x string")
+    for data, w in ((df, 50), (df, 3), (df, 1), (df, 411), (df.where("x < 'v2' OR seq >= 700"), 300), (df.where("x IS NULL"), 50)):
+        out = trackers.value_history(data, "x", w, 2)
+        held_by = plan(out)
+        assert "Join" not in held_by and all("_slice" in p for p in re.findall(r"windowspecdefinition\(entity#\d+,([^)]*)", held_by)) and "windowspecdefinition" in held_by
+        mine, want = data.collect(), {}
+        for a in mine:
+            held = [b.x for b in mine if a.entity and b.entity == a.entity and None not in (a.t, b.t, b.x) and a.t - w <= b.t < a.t]
+            mode = max(held, key=lambda v: (held.count(v), v)) if len(held) >= 2 else None
+            want[a.seq] = (len(held) if a.entity else None, mode, None if None in (mode, a.x) else a.x != mode)
+        assert {x.seq: (x.history_n if x.entity else None, x.established, x.deviates) for x in out.collect()} == want
+
+
 def test_messages_are_cut_into_sets_once(spark):
     from lodestream.plans import registry
 
