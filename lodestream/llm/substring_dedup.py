@@ -162,8 +162,8 @@ def _sent(batches: DataFrame, length: int, block: int, buckets: int) -> DataFram
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in rows:
-            for home, ids, texts in zip(batch["home"].to_pylist(), batch["ids"].to_pylist(), batch["texts"].to_pylist(), strict=True):
-                w = Windows(ids, texts, length, block, powers)
+            for home, ids, texts in zip(batch["home"], batch["ids"], batch["texts"], strict=True):
+                home, w = home.as_py(), Windows(ids.as_py(), texts.as_py(), length, block, powers)  # one row's texts at a time
                 keys, at = w.probes()
                 aligned = w.within[at] % block == 0
                 blocks, probes = np.unique(keys[aligned]), np.unique(keys[~aligned])
@@ -290,7 +290,7 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_words, n_removed, kept_sha256 of every row, and with_kept the words that remain, joined by one space."""
     block = (length + 1) // 2
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    batches = written(_batched(own, batch_bytes), "batches")
+    batches = written(_batched(own, batch_bytes), "batches", group_rows=1)
     size = batches.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     hits = written(_hits(_sent(batches, length, block, buckets)), "hits")

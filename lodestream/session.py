@@ -30,14 +30,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again. Its shuffles aren't needed any more and end with the write."""
+def written(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder and read it again. Its shuffles aren't needed any more and end with the write.
+
+    group_rows bounds a row group where rows are MB large: Spark reads up to 4,096 rows of a row group at once, whatever their bytes.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLES_END, None)
     spark.conf.set(SHUFFLES_END, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.option("parquet.block.row.count.limit", group_rows) if group_rows else out).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(SHUFFLES_END)

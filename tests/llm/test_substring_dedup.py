@@ -61,3 +61,17 @@ def test_a_passage_in_every_document(spark):
     rows = [(d, f"a{d} {passage} b{d} c{d}") for d in range(3000)]
     got = substring_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), batch_bytes=20_000)
     assert {(x.n_removed, x.n) for x in got.groupBy("n_removed").agg({"*": "count"}).toDF("n_removed", "n").collect()} == {(0, 1), (55, 2999)}
+
+
+def test_a_task_reads_one_batch_at_a_time(spark, monkeypatch):
+    """Row groups are read whole, so a file of many batches holds each in a row group of its own."""
+    import pyarrow.parquet as pq
+
+    tables = {}
+    monkeypatch.setattr(substring_dedup, "written", lambda df, tag, *a, f=substring_dedup.written, **b: tables.setdefault(tag, f(df, tag, *a, **b)))
+    rows = [(d, " ".join(f"w{d}x{k}" for k in range(200))) for d in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert substring_dedup.remove_passages(df, batch_bytes=10_000).count() == 150
+    groups = [pq.ParquetFile(x.removeprefix("file:")).metadata for x in tables["batches"].inputFiles()]
+    sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert len(sizes) > 10 and max(sizes) == 1
