@@ -94,15 +94,21 @@ def tc1_normalize(df: DataFrame, keys: list[str], counters: list[str], bits: int
     """entity_key, interval_seconds, <counter>_delta, counter_reset and counter_wrapped of each port's polls, and link_key. Polls of one instant are out
     of order, or may be tied."""
     out = df.withColumn("entity_key", compose_key(*(F.col(k).cast("string") for k in keys)))
-    out = track(out, ["entity_key"], lambda d: d.withColumn("s", (F.col("t") - F.lag("t").over(Window.partitionBy("entity").orderBy("t", "seq"))) / F.lit(float(SECOND))), {}, {"s": "interval_seconds"})
-    flags = []
-    for c in counters:
-        args: Args = {"v": c} | ({"up": uptime_ns} if uptime_ns else {})
-        out = track(out, ["entity_key"], lambda d: trackers.counter_delta(d, "v", bits, "up" if uptime_ns else None, tied), args, {"delta": f"{c}_delta", "counter_reset": f"_{c}_reset", "counter_wrapped": f"_{c}_wrapped"})
-        flags.append(c)
-    either = lambda kind: F.greatest(*[F.col(f"_{c}_{kind}") for c in flags]) if len(flags) > 1 else F.col(f"_{flags[0]}_{kind}")
-    if flags:
-        out = out.withColumns({"counter_reset": either("reset"), "counter_wrapped": either("wrapped")}).drop(*[f"_{c}_{k}" for c in flags for k in ("reset", "wrapped")])
+
+    def between(d: DataFrame) -> DataFrame:
+        """The interval and all deltas by one track, so that they are against the same poll."""
+        out = d.withColumn("s", (F.col("t") - F.lag("t").over(Window.partitionBy("entity").orderBy("t", "seq"))) / F.lit(float(SECOND)))
+        return trackers.counter_deltas(out, own, bits, "up" if uptime_ns else None, tied) if own else out
+
+    own = [f"v{k}" for k in range(len(counters))]
+    args: Args = dict(zip(own, counters, strict=True)) | ({"up": uptime_ns} if uptime_ns else {})
+    outputs = {"s": "interval_seconds"}
+    for v, c in zip(own, counters, strict=True):
+        outputs |= {f"{v}_delta": f"{c}_delta", f"{v}_reset": f"_{c}_reset", f"{v}_wrapped": f"_{c}_wrapped"}
+    out = track(out, ["entity_key"], between, args, outputs)
+    either = lambda kind: F.greatest(*[F.col(f"_{c}_{kind}") for c in counters]) if len(counters) > 1 else F.col(f"_{counters[0]}_{kind}")
+    if counters:
+        out = out.withColumns({"counter_reset": either("reset"), "counter_wrapped": either("wrapped")}).drop(*[f"_{c}_{k}" for c in counters for k in ("reset", "wrapped")])
     if neighbor:
         from lodestream.functions.identity import compose_link_key
 

@@ -373,15 +373,25 @@ def counter_delta(df: DataFrame, counter: str, bits: int = 32, uptime_ns: str |
     """delta of a monotone counter against the previous sample: a fall is a wrap (2**bits is added), or a reset if the
     uptime shows a restart since then, where the count itself is the delta. Ties are out of order: null; where they may be tied, samples of
     an instant follow each other by seq."""
+    out = counter_deltas(df.withColumn("_c", F.col(counter)), ["_c"], bits, uptime_ns, tied)
+    return out.withColumns({"delta": F.col("_c_delta"), "counter_reset": F.col("_c_reset"), "counter_wrapped": F.col("_c_wrapped")}).drop("_c", "_c_delta", "_c_reset", "_c_wrapped")
+
+
+def counter_deltas(df: DataFrame, counters: list[str], bits: int = 32, uptime_ns: str | None = None, tied: bool = False) -> DataFrame:
+    """counter_delta of several counters of a sample: <counter>_delta, _reset and _wrapped. All are read in one order, so that samples
+    which even seq doesn't tell apart have one sample before them."""
     out = df.withColumn("_in", F.lit(True) if tied else first_of_instant())
-    order = Window.partitionBy("entity", "_in").orderBy("t", "seq")
-    out = out.withColumns({"_p": F.lag(counter).over(order), "_pt": F.lag("t").over(order)})
-    value = F.col(counter).cast("decimal(38,0)")
+    order = Window.partitionBy("entity", *([] if tied else ["_in"])).orderBy("t", "seq")
+    out = out.withColumns({"_pt": F.lag("t").over(order)} | {f"_p{k}": F.lag(c).over(order) for k, c in enumerate(counters)})
     reset = (F.col(uptime_ns) < F.col("t") - F.col("_pt")) if uptime_ns else F.lit(False)
-    fell = F.col(counter) < F.col("_p")
-    raw = F.when(reset, value).when(fell, value - F.col("_p") + F.lit(2**bits).cast("decimal(38,0)")).otherwise(value - F.col("_p"))
-    delta = F.when(F.col("_in") & F.col("_p").isNotNull() & (raw <= F.lit(2**63 - 1).cast("decimal(38,0)")), raw.cast("long"))
-    return out.withColumns({"delta": delta, "counter_reset": F.col("_in") & F.coalesce(reset, F.lit(False)), "counter_wrapped": F.col("_in") & F.coalesce(fell & ~reset, F.lit(False))}).drop("_in", "_p", "_pt")
+    found = {}
+    for k, c in enumerate(counters):
+        value, before = F.col(c).cast("decimal(38,0)"), F.col(f"_p{k}")
+        fell = F.col(c) < before
+        raw = F.when(reset, value).when(fell, value - before + F.lit(2**bits).cast("decimal(38,0)")).otherwise(value - before)
+        found[f"{c}_delta"] = F.when(F.col("_in") & before.isNotNull() & (raw <= F.lit(2**63 - 1).cast("decimal(38,0)")), raw.cast("long"))
+        found |= {f"{c}_reset": F.col("_in") & F.coalesce(reset, F.lit(False)), f"{c}_wrapped": F.col("_in") & F.coalesce(fell & ~reset, F.lit(False))}
+    return out.withColumns(found).drop("_in", "_pt", *[f"_p{k}" for k in range(len(counters))])
 
 
 def link_flap(df: DataFrame, status: str, last_change: str, window_ns: int = HOUR, tied: bool = False) -> DataFrame:
